@@ -76,7 +76,7 @@ if __name__ == "__main__":
 
     scale, wanted = (sys.argv[1] if len(sys.argv) > 1 else "0.001"), sys.argv[2:]
     session = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     failed = check(session, f"/root/testdata/sf{scale}", wanted or None)
     print("all equal" if not failed else f"{len(failed)} differ: {sorted(failed)}")
     sys.exit(1 if failed else 0)
