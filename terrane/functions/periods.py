@@ -59,7 +59,7 @@ def in_window(period: Column, time_from: str = "", time_to: str = "") -> Column:
 
 def year_list(text: Column) -> Column:
     """`2020-2022,2024` -> sorted array of distinct years; null when a chunk is unreadable."""
-    chunks = F.filter(F.transform(F.split(text, ","), F.trim), lambda c: c != "")
+    chunks = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda c: c != "")
     readable = F.forall(chunks, lambda c: c.rlike(r"^\d+\s*(-\s*\d+)?$"))
 
     def expand(chunk: Column) -> Column:

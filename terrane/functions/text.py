@@ -85,7 +85,7 @@ def client_label(kind: Column, ident: Column) -> Column:
 
 def forwarded_address(peer: Column, forwarded: Column, hops: int) -> Column:
     """The `hops`-th address from the right of the forwarded chain, else the peer."""
-    chain = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda a: a != "")
+    chain = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda t: F.trim(t)), lambda a: a != "")
     if hops <= 0:
         return F.coalesce(peer, F.lit("unknown"))
     picked = F.element_at(chain, -F.least(F.lit(hops), F.size(chain)))

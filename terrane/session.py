@@ -21,6 +21,7 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -24,13 +24,13 @@ def parse_wide_lines(lines: DataFrame, files: int) -> DataFrame:
     is_header = first.contains("\\")
     headers = lines.where(is_header).select(
         "file",
-        F.transform(F.split(F.split_part(first, F.lit("\\"), F.lit(1)), ","), F.trim).alias("dim_names"),
-        F.transform(F.slice(F.split("line", TAB), 2, 1_000_000), F.trim).alias("periods"),
+        F.transform(F.split(F.split_part(first, F.lit("\\"), F.lit(1)), ","), lambda t: F.trim(t)).alias("dim_names"),
+        F.transform(F.slice(F.split("line", TAB), 2, 1_000_000), lambda t: F.trim(t)).alias("periods"),
     ).dropDuplicates(["file"])
     series = lines.where(~is_header & (F.col("line") != ""))
-    cells = F.transform(F.slice(F.split("line", TAB), 2, 1_000_000), F.trim)
+    cells = F.transform(F.slice(F.split("line", TAB), 2, 1_000_000), lambda t: F.trim(t))
     joined = series.join(broadcast_up_to(headers, files), "file")
-    codes = F.transform(F.split(first, ","), F.trim)
+    codes = F.transform(F.split(first, ","), lambda t: F.trim(t))
     width = F.least(F.size("dim_names"), F.size(codes))
     long = joined.select(
         "dataset",

@@ -28,8 +28,8 @@ def explode_jsonstat(docs: DataFrame, json: str = "json") -> DataFrame:
     ordered = F.transform(
         F.col("h.id"),
         lambda d: F.transform(
-            F.array_sort(F.transform(F.map_entries(F.col("h.dimension")[d]["category"]["index"]),
-                                     lambda e: F.struct(e["value"].alias("pos"), e["key"].alias("code")))),
+            F.sort_array(F.transform(F.map_entries(F.col("h.dimension")[d]["category"]["index"]),
+                                     lambda e: F.named_struct(F.lit("pos"), e["value"], F.lit("code"), e["key"]))),
             lambda s: s["code"]),
     )
     strides = F.transform(

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import indicator_queries  # noqa: F401
+from . import cube_queries, indicator_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
