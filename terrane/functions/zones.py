@@ -60,7 +60,7 @@ def level_hint(code: Column, level: Column, offered: Column) -> Column:
     finest coarser level; else only the level to list.
     """
     depth = level_depth(level)
-    ranked = F.array_sort(F.transform(offered, lambda v: F.struct(level_depth(v).alias("d"), v.alias("v"))))
+    ranked = F.sort_array(F.transform(offered, lambda v: F.named_struct(F.lit("d"), level_depth(v), F.lit("v"), v)))
     finer = F.filter(ranked, lambda r: r["d"] > depth)
     coarsest_first = F.element_at(ranked, -1)
     length = coarsest_first["d"] + 2

@@ -1,6 +1,10 @@
 """All registered queries."""
 
-from . import cube_queries, indicator_queries  # noqa: F401
+import importlib
+
 from .base import ORACLES, QUERIES
 
+for _family in ("indicator", "cube", "zone", "spatial", "raster", "search", "usage", "stream"):
+    importlib.import_module(f"{__package__}.{_family}_queries")
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -341,3 +341,19 @@ def changes(spark: SparkSession) -> DataFrame:
 
 
 CHANGES_SQL = """(VALUES ('R0A','R0Z',1), ('R1B','R1C',1), ('R2C',NULL,0), ('R3A','R3A',1), ('R4D','R4E',0)) AS ch(old_code, new_code, bijective)"""
+
+
+def cust_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as requested (indicator, zone) pairs, some of them wrong."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey") % 50
+    names = ["order_value", "order_count", "order_count_q", "supplier_count", "never_built"]
+    indicator = F.when(who < 25, "order_value").otherwise("gdp")
+    for k, name in enumerate(names):
+        indicator = F.when(key % 6 == k, name).otherwise(indicator)
+    zone = (
+        F.when(key % 5 == 0, F.col("c0")).when(key % 5 == 1, F.col("c1")).when(key % 5 == 2, F.col("c2"))
+        .when(key % 5 == 3, F.when(who < 40, F.col("c1")).otherwise("GR30"))
+        .otherwise(F.when(who < 30, F.col("c0")).otherwise("EU27_2020"))
+    )
+    return table(spark, sf, "orders").join(customers(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.concat(F.lit("q"), who).alias("request_id"), indicator.alias("indicator"), zone.alias("zone"))
