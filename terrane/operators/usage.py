@@ -23,8 +23,20 @@ MICROS = 1_000_000
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a timestamp without zone, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    """Microseconds since the epoch of a zone-less UTC time, whatever the session zone."""
+    ts = ts.cast("timestamp_ntz")
+    whole = F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole * MICROS + (F.extract(F.lit("SECOND"), ts) * MICROS).cast("bigint")
+
+
+def instant(ts: Column) -> Column:
+    """Timestamp of a zone-less UTC time, whatever the session zone."""
+    return F.timestamp_micros(micros(ts))
+
+
+def naive(ts: Column) -> Column:
+    """Zone-less UTC time of a timestamp, whatever the session zone."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def call_weight(tool: Column, weights: dict[str, int] | None = None) -> Column:
@@ -220,8 +232,7 @@ def admit(calls: DataFrame, limits: dict[str, int] | None = None, burst: int = B
     free = read.where("tier = 'pro'").select("call_id", "client", F.lit("admitted").alias("verdict"))
     limited = cut_lineage(read.where("tier is null or tier <> 'pro'").drop("tier"))
 
-    day_end = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                               F.date_add("day", 1).cast("timestamp_ntz"))
+    day_end = (F.unix_date("day") + 1).cast("bigint") * 86_400 * MICROS
 
     def carried_from(decided: DataFrame) -> DataFrame:
         tail = decided.where((F.col("verdict") == "admitted") & F.col("bucket").isNotNull()

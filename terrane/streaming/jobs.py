@@ -7,26 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.usage import instant, naive
 from ..session import shared_dir
 from ..sources.cubes import parse_wide_lines, write_cube
 
 
 def daily_counter(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Weight per UTC day and client; late calls are dropped after `delay`."""
+    """Weight per UTC day and client; late calls are dropped after `delay`.
+
+    `ts` is zone-less UTC; watermarks need an instant, so it is turned into one and back.
+    """
     return (
-        calls.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "client")
+        calls.withColumn("ts", instant(F.col("ts"))).withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("w"), "client")
         .agg(F.sum("weight").alias("used"))
-        .select(F.col("w.start").alias("day_start"), "client", "used")
+        .select(naive(F.col("w.start")).alias("day_start"), "client", "used")
     )
 
 
 def call_rollup(calls: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Calls, errors and latency per window, tool and status."""
     return (
-        calls.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "tool", "status")
+        calls.withColumn("ts", instant(F.col("ts"))).withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "tool", "status")
         .agg(F.count(F.lit(1)).alias("calls"), F.sum("ms").alias("total_ms"),
              F.percentile_approx("ms", 0.5).alias("median_ms"), F.max("ms").alias("max_ms"))
-        .select(F.col("w.start").alias("window_start"), "tool", "status", "calls", "total_ms", "median_ms", "max_ms")
+        .select(naive(F.col("w.start")).alias("window_start"), "tool", "status", "calls", "total_ms", "median_ms", "max_ms")
     )
 
 
@@ -39,7 +43,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
-def upsert_to_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
+def upsert_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Drain an `update` stream; each batch writes its changed rows under its own batch folder.
 
     Rewriting a batch replaces its folder, so a retry adds nothing twice.

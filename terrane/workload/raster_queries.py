@@ -101,18 +101,21 @@ def unit_offsets(spark, sf):
 
 # ------------------------------------------------------------------- coverage
 
-@query("zonal_coverage", "coverage", "cells", sql="""
-SELECT c1 AS geo_code, i, j, round(fraction, 6) AS fraction FROM coverage WHERE (SELECT count(*) FROM cells) > 0""")
+@query("zonal_coverage", "coverage", "raster", sql="""
+SELECT c1 AS geo_code, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(fraction, 6) AS fraction
+FROM coverage SEMI JOIN (SELECT DISTINCT i, j FROM raster) USING (i, j)""")
 def zonal_coverage(spark, sf):
-    return grid_coverage(zone_shapes(spark, sf), RASTER_GRID).where("fraction > 1e-9").select(
-        "geo_code", "i", "j", F.round("fraction", 6).alias("fraction"))
+    """Covered fraction of every cell that has observations."""
+    seen = raster_cells(spark, sf).select("i", "j").distinct()
+    covered = grid_coverage(zone_shapes(spark, sf), RASTER_GRID).where("fraction > 1e-9").join(seen, ["i", "j"], "left_semi")
+    return covered.select("geo_code", "i", "j", F.round("fraction", 6).alias("fraction"))
 
 
 view("covered", "coverage", "cells", sql="""
 SELECT c1, time, c.i, c.j, value, fraction FROM cells c JOIN coverage v ON v.i = c.i AND v.j = c.j WHERE value IS NOT NULL
 """)
 _STAT_SQL = """
-SELECT c1 AS geo_code, time, round({stat}, 6) AS value,
+SELECT c1 AS geo_code, time, round({stat}, 8) AS value,
        CASE WHEN sum(fraction) / (any_value(area) / 0.25) < 0.999 THEN 'partial_coverage' ELSE 'sampled' END AS quality
 FROM covered JOIN zarea USING (c1) GROUP BY c1, time"""
 
@@ -120,7 +123,7 @@ FROM covered JOIN zarea USING (c1) GROUP BY c1, time"""
 def _stat(stat):
     def run(spark, sf):
         out = zonal_statistics(raster_cells(spark, sf), zone_shapes(spark, sf), RASTER_GRID, stat, ["time"], "sampled")
-        return out.select("geo_code", "time", F.round("value", 6).alias("value"), "quality")
+        return out.select("geo_code", "time", F.round("value", 8).alias("value"), "quality")
 
     return run
 
@@ -131,7 +134,7 @@ for _name, _sql in {"mean": "sum(value * fraction) / sum(fraction)", "sum": "sum
 
 
 @query("zonal_median", "covered", "zarea", sql="""
-SELECT geo_code, time, round(CASE WHEN b IS NULL THEN a.v ELSE a.v + (t - a.s) * coalesce((b.v - a.v) / nullif(b.s - a.s, 0), 0) END, 6) AS value, quality FROM (
+SELECT geo_code, time, round(CASE WHEN b IS NULL THEN a.v ELSE a.v + (t - a.s) * coalesce((b.v - a.v) / nullif(b.s - a.s, 0), 0) END, 8) AS value, quality FROM (
   SELECT c1 AS geo_code, time, any_value(t) AS t, max(CASE WHEN s <= t THEN {'s': s, 'v': value} END) AS a, min(CASE WHEN s > t THEN {'s': s, 'v': value} END) AS b,
          CASE WHEN any_value(w) / (any_value(area) / 0.25) < 0.999 THEN 'partial_coverage' ELSE 'sampled' END AS quality FROM (
     SELECT *, k * fraction + (n - 1) * before AS s, (n - 1) * w / 2 AS t FROM (
@@ -147,7 +150,7 @@ _SPEC = {"id": "quantity_mean", "unit": "DEG_C", "source": "copernicus", "geo_le
 
 
 @query("zonal_indicator_years", "coverage", "raster", "zarea", sql="""
-SELECT 'quantity_mean' AS indicator, geo_code, time, round(CASE WHEN time < '1999' THEN value + 1 ELSE value END - 273.15, 6) AS value, quality, 'DEG_C' AS unit FROM (
+SELECT 'quantity_mean' AS indicator, geo_code, time, round(CASE WHEN time < '1999' THEN value + 1 ELSE value END - 273.15, 8) AS value, quality, 'DEG_C' AS unit FROM (
   SELECT c1 AS geo_code, time, sum(value * fraction) / sum(fraction) AS value,
          CASE WHEN sum(fraction) / (any_value(area) / 0.25) < 0.999 THEN 'partial_coverage' ELSE '' END AS quality
   FROM (SELECT y AS time, i, j, avg(value) AS value FROM (
@@ -162,4 +165,4 @@ def zonal_indicator_years(spark, sf):
     write_zonal(None, early, _SPEC, root, "first run")
     late = zonal_indicator(rows.where(F.year("ts") >= 1999), shapes, _SPEC, RASTER_GRID, "K")
     write_zonal(read_canonical(spark, root, [_SPEC["id"]]), late, _SPEC, root, "second run")
-    return read_canonical(spark, root).select("indicator", "geo_code", "time", F.round("value", 6).alias("value"), "quality", "unit")
+    return read_canonical(spark, root).select("indicator", "geo_code", "time", F.round("value", 8).alias("value"), "quality", "unit")

@@ -1 +1,112 @@
+"""Search over documents: index, ranking, fallback, suggestions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+from ..operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any
+from .base import query, table, view
+
+_WORDS = "string_split_regex(replace(strip_accents(lower({c})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+')"
+_STEM = "CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, -1) ELSE w END"
+
+view("tok", sql=f"SELECT doc, w FROM (SELECT doc_id AS doc, unnest({_WORDS.format(c='text')}) AS w FROM documents) WHERE w <> ''")
+view("idx", "tok", sql="SELECT w AS term, doc, count(*) AS tf FROM tok GROUP BY ALL")
+view("lens", "tok", sql="SELECT doc, count(*) AS length FROM tok GROUP BY doc")
+view("btok", sql=f"SELECT item_id AS query_id, w FROM (SELECT item_id, unnest({_WORDS.format(c='text')}) AS w FROM benchmark) WHERE w <> ''")
+# A query is the three longest distinct words of a passage.
+view("qwords", "btok", sql="""
+SELECT query_id, w FROM (SELECT query_id, w, row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) AS rn
+  FROM (SELECT DISTINCT query_id, w FROM btok)) WHERE rn <= 3
+""")
+view("qterms", "qwords", sql=f"SELECT DISTINCT query_id, {_STEM} AS q_term FROM qwords")
+
+
+def _hits_views(prefix: str, terms: str) -> None:
+    view(f"{prefix}hits", terms, "idx", sql=f"""
+SELECT q_term, doc, sum(tf) AS tf FROM (SELECT DISTINCT q_term FROM {terms}) JOIN (SELECT DISTINCT term FROM idx) v ON starts_with(v.term, q_term)
+JOIN idx USING (term) GROUP BY ALL
+""")
+    view(f"{prefix}score", f"{prefix}hits", "lens", terms, sql=f"""
+SELECT query_id, doc, sum(s) AS score, count(*) AS matched FROM (
+  SELECT q_term, doc, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6::DOUBLE END
+         * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75 * length / avg_length)) AS s
+  FROM {prefix}hits JOIN (SELECT q_term, CAST(count(*) AS DOUBLE) AS df FROM {prefix}hits GROUP BY q_term) USING (q_term) JOIN lens USING (doc),
+       (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), (SELECT (SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM documents) AS avg_length))
+JOIN {terms} USING (q_term) GROUP BY ALL
+""")
+
+
+_hits_views("q", "qterms")
+view("rawterms", "qwords", sql="SELECT DISTINCT query_id, w AS q_term FROM qwords")
+_hits_views("r", "rawterms")
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+
+
+def passages(spark, sf):
+    """Three longest distinct words of each benchmark passage, as a query text."""
+    words = F.array_distinct(tokens(F.col("text")))
+    ranked = F.sort_array(F.transform(words, lambda w: F.named_struct(F.lit("n"), -F.length(w), F.lit("w"), w)))
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(ranked, 1, 3), lambda r: r["w"]), " ").alias("query"))
+
+
+@query("term_statistics", "idx", sql="SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM idx GROUP BY term")
+def term_statistics(spark, sf):
+    return build_index(documents(spark, sf), "text").groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("uses"))
+
+
+@query("corpus_statistics", "tok", sql="""
+SELECT (SELECT count(*) FROM documents) AS docs, round((SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM documents), 6) AS mean_length""")
+def corpus(spark, sf):
+    return corpus_statistics(documents(spark, sf), "text").select("docs", F.round("mean_length", 6).alias("mean_length"))
+
+
+@query("search_scores", "qscore", sql="SELECT query_id, doc, round(score, 6) AS score, matched FROM qscore")
+def search_scores(spark, sf):
+    docs = documents(spark, sf)
+    hits = ranked_hits(passages(spark, sf), build_index(docs, "text"), corpus_statistics(docs, "text"))
+    return hits.select("query_id", "doc", F.round("score", 6).alias("score"), "matched")
+
+
+@query("search_all_then_any", "qscore", "qterms", sql="""
+SELECT query_id, CAST(place AS INT) AS place, doc, round(score, 6) AS score, partial FROM (
+  SELECT query_id, doc, score, NOT has_all AS partial, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS place
+  FROM (SELECT *, max(matched) OVER (PARTITION BY query_id) = terms AS has_all
+        FROM qscore JOIN (SELECT query_id, count(*) AS terms FROM qterms GROUP BY query_id) USING (query_id))
+  WHERE NOT has_all OR matched = terms) WHERE place <= 10""")
+def search_all(spark, sf):
+    docs = documents(spark, sf)
+    return search_all_then_any(passages(spark, sf), build_index(docs, "text"), corpus_statistics(docs, "text")).withColumn(
+        "score", F.round("score", 6))
+
+
+@query("search_bm25_topk", "rscore", sql="""
+SELECT query_id, CAST(place AS INT) AS place, doc, round(score, 6) AS score FROM (
+  SELECT query_id, doc, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS place FROM rscore
+  WHERE doc IN (SELECT doc_id FROM documents WHERE source = (SELECT min(source) FROM documents))) WHERE place <= 20
+UNION ALL SELECT -1, CAST(row_number() OVER (ORDER BY doc_id) AS INT), doc_id, 0.0::DOUBLE FROM (
+  SELECT doc_id FROM documents WHERE source = (SELECT min(source) FROM documents) ORDER BY doc_id LIMIT 20)""")
+def search_topk(spark, sf):
+    docs = documents(spark, sf)
+    first = docs.agg(F.min("source")).first()[0]
+    asked = passages(spark, sf).unionByName(spark.createDataFrame([(-1, " ")], "query_id bigint, query string"))
+    return search_any(asked, build_index(docs, "text"), corpus_statistics(docs, "text"), docs, first, 20).withColumn("score", F.round("score", 6))
+
+
+view("vocab", sql=f"SELECT DISTINCT upper(w) AS term FROM (SELECT unnest({_WORDS.format(c='text')}) AS w FROM conversations) WHERE w <> ''")
+
+
+@query("closest_terms", "vocab", "btok", sql="""
+SELECT word, CAST(place AS INT) AS place, term, CAST(d AS INT) AS distance FROM (
+  SELECT word, term, d, row_number() OVER (PARTITION BY word ORDER BY d, term) AS place FROM (
+    SELECT word, term, levenshtein(word, term) AS d FROM (SELECT DISTINCT upper(w) AS word FROM btok) JOIN vocab
+    ON abs(length(word) - length(term)) <= 2) WHERE d <= 2) WHERE place <= 3""")
+def closest(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("word"))
+    vocabulary = table(spark, sf, "conversations").select(F.explode(tokens(F.col("text"))).alias("term"))
+    return closest_terms(words, vocabulary)

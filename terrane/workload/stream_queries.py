@@ -1 +1,63 @@
+"""Streams drained to tables and compared with the batch answer."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.cubes import read_cube, spread_dims, to_wide, write_wide
+from ..streaming.admission import ROCKSDB, admit_stream
+from ..streaming.jobs import call_rollup, daily_counter, land_cubes, latest_of, run_to_table, stream_folder, upsert_to_table
+from .base import query, table
+from .cube_queries import YEARS
+from .shapes import CUBE_DIMS, DATASET, calls, cube_columns
+from .usage_queries import ADMISSION, admission_calls
+
+
+def event_stream(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("daily_counter_stream", "calls", sql="""
+SELECT strftime(ts, '%Y-%m-%d') AS day, client, CAST(sum(weight) AS BIGINT) AS used FROM calls GROUP BY ALL""")
+def daily_counter_stream(spark, sf):
+    out, checkpoint = stream_folder(spark, "usage")
+    upsert_to_table(daily_counter(calls(spark, sf, event_stream(spark, sf))), out, checkpoint)
+    return latest_of(spark, out, ["day_start", "client"]).select(
+        F.date_format("day_start", "yyyy-MM-dd").alias("day"), "client", "used")
+
+
+@query("usage_rollup_stream", "calls", sql="""
+SELECT strftime(ts, '%Y-%m-%d %H') AS hour, tool, CASE WHEN value > 40 THEN 'empty' ELSE 'ok' END AS status, count(*) AS calls,
+       CAST(sum(CAST(floor(value) AS INT)) AS BIGINT) AS total_ms, max(CAST(floor(value) AS INT)) AS max_ms FROM calls GROUP BY ALL""")
+def usage_rollup_stream(spark, sf):
+    out, checkpoint = stream_folder(spark, "rollup")
+    logged = calls(spark, sf, event_stream(spark, sf)).select(
+        "ts", "tool", F.when(F.col("value") > 40, "empty").otherwise("ok").alias("status"), F.floor("value").cast("int").alias("ms"))
+    upsert_to_table(call_rollup(logged), out, checkpoint)
+    return latest_of(spark, out, ["window_start", "tool", "status"]).select(
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tool", "status", "calls", "total_ms", "max_ms")
+
+
+@query("landing_stream", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube WHERE freq = 'A'")
+def landing_stream(spark, sf):
+    """Land wide files, run twice; the second run finds nothing new."""
+    out, checkpoint = stream_folder(spark, "landing")
+    write_wide(to_wide(cube_columns(spark, sf).where("freq = 'A'"), CUBE_DIMS, YEARS), f"{out}/files/dataset={DATASET}")
+    for _ in range(2):
+        land_cubes(spark, f"{out}/files", f"{out}/store", checkpoint)
+    return spread_dims(read_cube(spark, f"{out}/store"), CUBE_DIMS).drop("dataset")
+
+
+@query("admission_stream")
+def admission_stream(spark, sf):
+    """The verdicts of `admission_control`, from keyed state."""
+    out, checkpoint = stream_folder(spark, "admission")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        run_to_table(admit_stream(admission_calls(spark, sf, event_stream(spark, sf)), **ADMISSION), out, checkpoint)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out)
