@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+def _zero() -> Column:
+    return F.lit(0.0)
 
 
 def _edges_of_ring(ring: Column) -> Column:
@@ -23,7 +24,7 @@ def _cross(e: Column) -> Column:
 
 def signed_ring_area(ring: Column) -> Column:
     """Positive for a counter-clockwise ring; 0 below three points."""
-    total = F.aggregate(_edges_of_ring(ring), ZERO, lambda acc, e: acc + _cross(e))
+    total = F.aggregate(_edges_of_ring(ring), _zero(), lambda acc, e: acc + _cross(e))
     return F.when(F.size(ring) < 3, 0.0).otherwise(total / 2)
 
 
@@ -33,9 +34,9 @@ def polygon_area(geometry: Column) -> Column:
     def one(polygon: Column) -> Column:
         return F.aggregate(
             F.transform(polygon, lambda ring, i: F.abs(signed_ring_area(ring)) * F.when(i == 0, 1.0).otherwise(-1.0)),
-            ZERO, lambda acc, a: acc + a)
+            _zero(), lambda acc, a: acc + a)
 
-    return F.greatest(F.aggregate(F.transform(geometry, one), ZERO, lambda acc, a: acc + a), ZERO)
+    return F.greatest(F.aggregate(F.transform(geometry, one), _zero(), lambda acc, a: acc + a), _zero())
 
 
 def edges(geometry: Column) -> Column:
@@ -65,7 +66,7 @@ def centroid(geometry: Column) -> Column:
     """Area-weighted centre; holes weigh negative. Null without area."""
     sums = F.aggregate(
         edges(geometry),
-        F.struct(ZERO.alias("a"), ZERO.alias("x"), ZERO.alias("y")),
+        F.struct(_zero().alias("a"), _zero().alias("x"), _zero().alias("y")),
         lambda acc, e: F.struct(
             (acc["a"] + _cross(e)).alias("a"),
             (acc["x"] + (e["x1"] + e["x2"]) * _cross(e)).alias("x"),
@@ -95,7 +96,7 @@ def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:
 
     def crosses(e: Column) -> Column:
         spans = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], ZERO)
+        at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], _zero())
         return spans & (x < at)
 
     crossings = F.size(F.filter(edge_list, crosses))
