@@ -46,8 +46,7 @@ def contains_folded(text: Column, needle: str) -> Column:
 
 def tokens(text: Column) -> Column:
     """Folded runs of letters and digits."""
-    parts = F.split(fold(text), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def stem(term: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, strictly_inside
-from ..session import salted_join
+from ..session import BROADCAST_ROWS, cut_lineage, salted_join
 from .coverage import Grid, coverage_runs, row_pieces
 
 # Country code by extract name, members of the union, exported shapes.
@@ -123,19 +123,21 @@ def points_in_zones(points: DataFrame, zones: DataFrame, grid: Grid, same_countr
     """Points strictly inside zones: the point's columns plus `geo_code, level`.
 
     Equi-join on the grid cell (and country), exact test only in boundary
-    cells. The zone side is repeated per salt so that one crowded cell does
-    not end in one task.
+    cells. The index of the zones is written once; counted, it is broadcast
+    while small and else repeated per salt, so that one crowded cell does not
+    end in one task.
     """
     keys = ["geo_code", "level", "zone_country"]
     shaped = zones.select("geo_code", "level", F.left("geo_code", F.lit(2)).alias("zone_country"), "geometry")
-    index = zone_index(shaped, grid, keys)
+    index = cut_lineage(zone_index(shaped, grid, keys))
     placed = points.withColumn("i", grid.column(F.col("lon"))).withColumn("j", grid.row(F.col("lat")))
     on = ["i", "j"]
     if same_country:
         index, on = index.withColumnRenamed("zone_country", "country"), ["country", "i", "j"]
     else:
         index = index.drop("zone_country")
-    hits = salted_join(placed, index, on)
+    small = index.count() <= BROADCAST_ROWS
+    hits = placed.join(F.broadcast(index), on) if small else salted_join(placed, index, on)
     inside = F.col("cell_edges").isNull() | strictly_inside(F.col("lon"), F.col("lat"), F.col("cell_edges"))
     return hits.where(inside).drop("cell_edges", "i", "j")
 

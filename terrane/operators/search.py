@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem, tokens
-from ..session import salted_join
+from ..session import cut_lineage
 
 # The ranking constants of the usual BM25.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -20,15 +20,21 @@ def token_rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, *columns: str) -> DataFrame:
-    """Inverted index `term, doc, tf, length`."""
-    return token_rows(docs, *columns).groupBy("term", "doc").agg(
+    """Inverted index `term, doc, tf, length`.
+
+    The texts move once, by document. That placement already groups
+    `(term, doc)`, so the postings, several times the size of the texts, are
+    not shuffled.
+    """
+    placed = docs.select("doc", *columns).repartition("doc")
+    return token_rows(placed, *columns).groupBy("term", "doc").agg(
         F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
-def corpus_statistics(docs: DataFrame, *columns: str) -> DataFrame:
-    """One row: number of documents and their mean length in tokens."""
-    size = F.size(F.concat(*[tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]))
-    return docs.agg(F.count(F.lit(1)).alias("docs"), (F.sum(size) / F.count(F.lit(1))).alias("mean_length"))
+def corpus_statistics(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: number of documents and their mean length in tokens, without reading the texts again."""
+    count = docs.select(F.count(F.lit(1))).scalar()
+    return index.agg(count.alias("docs"), (F.sum("tf") / count).alias("mean_length"))
 
 
 def query_terms(queries: DataFrame, singular: bool = True) -> DataFrame:
@@ -41,16 +47,20 @@ def term_hits(index: DataFrame, q_terms: DataFrame) -> DataFrame:
     """`q_term, doc, tf, length`: documents with a word that starts with the query term.
 
     The vocabulary is matched first: each word is listed under its prefixes, so
-    that the prefix test becomes an equality. Only matching words reach the
-    postings.
+    that the prefix test becomes an equality. The matching words are written,
+    which gives the planner their size: while small they are broadcast to the
+    postings, which then stay where they are. The hits are written as well,
+    since document frequencies and scores both read them.
     """
     asked = q_terms.select("q_term").distinct().withColumn("prefix", F.left("q_term", F.lit(_PREFIX)))
-    words = index.select("term").distinct().select(
-        "term", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(_PREFIX))),
-                                      lambda n: F.left(F.col("term"), n))).alias("prefix"))
+    # At most twelve prefix lengths occur; a word is listed under those only.
+    lengths = asked.select(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
+    words = index.select("term").distinct().select("term", F.explode(lengths).alias("n")).where(
+        F.length("term") >= F.col("n")).select("term", F.expr("left(term, n)").alias("prefix"))
     matched = words.join(asked, "prefix").where(F.col("term").startswith(F.col("q_term"))).select("term", "q_term")
-    return salted_join(index, matched, ["term"]).groupBy("q_term", "doc").agg(
+    hits = index.join(cut_lineage(matched), "term").groupBy("q_term", "doc").agg(
         F.sum("tf").alias("tf"), F.first("length").alias("length"))
+    return cut_lineage(hits)
 
 
 def bm25(hits: DataFrame, statistics: DataFrame) -> DataFrame:
@@ -71,7 +81,7 @@ def ranked_hits(queries: DataFrame, index: DataFrame, statistics: DataFrame, sin
     scored = bm25(term_hits(index, q_terms), statistics)
     size = q_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
     per_query = q_terms.join(size, "query_id")
-    return salted_join(scored, per_query, ["q_term"]).groupBy("query_id", "doc").agg(
+    return scored.join(per_query, "q_term").groupBy("query_id", "doc").agg(
         F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("terms").alias("terms"))
 
 
@@ -128,8 +138,10 @@ def closest_terms(words: DataFrame, vocabulary: DataFrame, k: int = 3, max_dista
     deletions, so candidates come from an equality on deletion variants
     instead of all pairs.
     """
-    asked = words.select(F.upper("word").alias("word")).distinct()
-    known = vocabulary.select(F.upper("term").alias("term")).distinct()
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    # Few bytes but much work per row: the explicit count keeps AQE from merging the partitions.
+    asked = words.select(F.upper("word").alias("word")).distinct().repartition(cores)
+    known = vocabulary.select(F.upper("term").alias("term")).distinct().repartition(cores)
     left = asked.select("word", F.explode(_deletions(F.col("word"), max_distance)).alias("variant"))
     right = known.select("term", F.explode(_deletions(F.col("term"), max_distance)).alias("variant"))
     pairs = left.join(right, "variant").select("word", "term").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import client_label, forwarded_address
-from ..session import cut_lineage, salted_join
+from ..session import cut_lineage
 
 # Weights, tiers and default limits of calls.
 WEIGHTS = {"get_indicators": 2, "query_data": 2}
@@ -104,7 +104,7 @@ def attribute_clients(requests: DataFrame, keys: DataFrame, networks: DataFrame,
         F.coalesce(header, bearer, from_query).alias("key"))
     tiers = keys.groupBy("key").agg(F.max(F.when(F.col("tier").isin(*TIERS), F.col("tier")).otherwise("free")).alias("key_tier"))
     shared = shared_addresses(read, networks).withColumn("is_shared", F.lit(True))
-    joined = salted_join(salted_join(read, tiers, ["key"], how="left"), shared, ["ip"], how="left")
+    joined = read.join(tiers, "key", "left").join(shared, "ip", "left")
     by_key = F.col("key_tier").isNotNull()
     in_net = F.coalesce("is_shared", F.lit(False))
     return joined.select(

@@ -10,7 +10,6 @@ from ..schemas import (
     CURRENT_VINTAGE, ELEMENT_TYPES, FREQUENCIES, LEVELS, MAX_INDICATORS, MAX_ZONES, PREVIOUS_VINTAGE, SOURCES,
     TEMPORAL_STATS, ZONAL_STATS,
 )
-from ..session import salted_join
 
 
 def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, present: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, p
     places = zones.select(F.col("geo_code").alias("zone"), "level")
     built = present.select("indicator").distinct().withColumn("built", F.lit(True))
     joined = (
-        salted_join(asked, size, ["request_id"])
+        asked.join(size, "request_id")
         .join(known, "indicator", "left").join(built, "indicator", "left").join(places, "zone", "left")
     )
     code = (

@@ -52,7 +52,9 @@ def covered_cells(cells: DataFrame, zones: DataFrame, grid: Grid) -> DataFrame:
 
 
 def weighted_median(covered: DataFrame, keys: list[str]) -> DataFrame:
-    """Interpolated weighted median of `value` by `fraction`, exact, in bounded groups.
+    """Interpolated weighted `median` of `value` by `fraction`, and the weight `covered`.
+
+    Exact, and in bounded groups.
 
     Sorted values x_k with weights w_k sit at s_k = k w_k + (n - 1) (w_0 + .. +
     w_{k-1}); the median is read at half of the last s. Equal values are merged
@@ -81,16 +83,16 @@ def weighted_median(covered: DataFrame, keys: list[str]) -> DataFrame:
     m = F.col("n_all") - 1
     first = F.col("k") * F.col("w_min") + m * F.col("c")
     last = (F.col("k") + F.col("n") - 1) * F.col("w_max") + m * (F.col("c") + F.col("w") - F.col("w_max"))
-    ends = placed.select(*keys, "value", (m * F.col("w_all") * 0.5).alias("target"), F.explode(F.array(first, last)).alias("s"))
+    ends = placed.select(*keys, "value", "w_all", (m * F.col("w_all") * 0.5).alias("target"), F.explode(F.array(first, last)).alias("s"))
     below, above = F.col("s") <= F.col("target"), F.col("s") > F.col("target")
     found = ends.groupBy(*keys).agg(
         F.max(F.when(below, F.struct("s", "value"))).alias("a"),
         F.min(F.when(above, F.struct("s", "value"))).alias("b"),
-        F.max("target").alias("t"))
+        F.max("target").alias("t"), F.max("w_all").alias("covered"))
     a, b = F.col("a"), F.col("b")
     slope = (b["value"] - a["value"]) / F.nullif(b["s"] - a["s"], F.lit(0.0))
     return found.select(*keys, F.when(a.isNull(), b["value"]).when(b.isNull(), a["value"]).otherwise(
-        a["value"] + (F.col("t") - a["s"]) * F.coalesce(slope, F.lit(0.0))).alias("median"))
+        a["value"] + (F.col("t") - a["s"]) * F.coalesce(slope, F.lit(0.0))).alias("median"), "covered")
 
 
 def zonal_statistics(cells: DataFrame, zones: DataFrame, grid: Grid, stat: str = "mean",
@@ -107,11 +109,11 @@ def zonal_statistics(cells: DataFrame, zones: DataFrame, grid: Grid, stat: str =
     keys = ["geo_code", "level", *(by or [])]
     covered = covered_cells(cells, zones, grid)
     v, w = F.col("value"), F.col("fraction")
-    simple = {"mean": F.sum(v * w) / F.sum(w), "sum": F.sum(v * w), "count": F.sum(w),
-              "min": F.min(v), "max": F.max(v), "median": F.lit(None).cast("double")}[stat]
-    stats = covered.groupBy(*keys).agg(simple.alias("value"), F.sum(w).alias("covered"))
     if stat == "median":
-        stats = stats.drop("value").join(weighted_median(covered, keys).withColumnRenamed("median", "value"), keys)
+        stats = weighted_median(covered, keys).withColumnRenamed("median", "value")
+    else:
+        simple = {"mean": F.sum(v * w) / F.sum(w), "sum": F.sum(v * w), "count": F.sum(w), "min": F.min(v), "max": F.max(v)}
+        stats = covered.groupBy(*keys).agg(simple[stat].alias("value"), F.sum(w).alias("covered"))
     area = zones.select("geo_code", "level", (polygon_area(F.col("geometry")) / grid.cell_area).alias("expected"))
     share = F.when(F.col("expected") > 0, F.col("covered") / F.col("expected")).otherwise(1.0)
     shift = offset if isinstance(offset, Column) else F.lit(float(offset))

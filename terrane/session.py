@@ -70,7 +70,16 @@ def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16,
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than cores before heavy work per row.
+
+    A large table has more splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 8,
                 how: str = "inner") -> DataFrame:
     """Equi-join that spreads each hot key of `big` over `salts` partitions.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any
+from ..session import cut_lineage, use_all_cores
 from .base import query, table, view
 
 _WORDS = "string_split_regex(replace(strip_accents(lower({c})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+')"
@@ -47,6 +48,12 @@ def documents(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
 
 
+def indexed(spark, sf):
+    """The documents and their index, the index written once as it would be at rest."""
+    docs = documents(spark, sf)
+    return docs, cut_lineage(build_index(docs, "text"))
+
+
 def passages(spark, sf):
     """Three longest distinct words of each benchmark passage, as a query text."""
     words = F.array_distinct(tokens(F.col("text")))
@@ -63,13 +70,14 @@ def term_statistics(spark, sf):
 @query("corpus_statistics", "tok", sql="""
 SELECT (SELECT count(*) FROM documents) AS docs, round((SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM documents), 6) AS mean_length""")
 def corpus(spark, sf):
-    return corpus_statistics(documents(spark, sf), "text").select("docs", F.round("mean_length", 6).alias("mean_length"))
+    docs = documents(spark, sf)
+    return corpus_statistics(build_index(docs, "text"), docs).select("docs", F.round("mean_length", 6).alias("mean_length"))
 
 
 @query("search_scores", "qscore", sql="SELECT query_id, doc, round(score, 6) AS score, matched FROM qscore")
 def search_scores(spark, sf):
-    docs = documents(spark, sf)
-    hits = ranked_hits(passages(spark, sf), build_index(docs, "text"), corpus_statistics(docs, "text"))
+    docs, index = indexed(spark, sf)
+    hits = ranked_hits(passages(spark, sf), index, corpus_statistics(index, docs))
     return hits.select("query_id", "doc", F.round("score", 6).alias("score"), "matched")
 
 
@@ -80,8 +88,8 @@ SELECT query_id, CAST(place AS INT) AS place, doc, round(score, 6) AS score, par
         FROM qscore JOIN (SELECT query_id, count(*) AS terms FROM qterms GROUP BY query_id) USING (query_id))
   WHERE NOT has_all OR matched = terms) WHERE place <= 10""")
 def search_all(spark, sf):
-    docs = documents(spark, sf)
-    return search_all_then_any(passages(spark, sf), build_index(docs, "text"), corpus_statistics(docs, "text")).withColumn(
+    docs, index = indexed(spark, sf)
+    return search_all_then_any(passages(spark, sf), index, corpus_statistics(index, docs)).withColumn(
         "score", F.round("score", 6))
 
 
@@ -92,10 +100,10 @@ SELECT query_id, CAST(place AS INT) AS place, doc, round(score, 6) AS score FROM
 UNION ALL SELECT -1, CAST(row_number() OVER (ORDER BY doc_id) AS INT), doc_id, 0.0::DOUBLE FROM (
   SELECT doc_id FROM documents WHERE source = (SELECT min(source) FROM documents) ORDER BY doc_id LIMIT 20)""")
 def search_topk(spark, sf):
-    docs = documents(spark, sf)
+    docs, index = indexed(spark, sf)
     first = docs.agg(F.min("source")).first()[0]
     asked = passages(spark, sf).unionByName(spark.createDataFrame([(-1, " ")], "query_id bigint, query string"))
-    return search_any(asked, build_index(docs, "text"), corpus_statistics(docs, "text"), docs, first, 20).withColumn("score", F.round("score", 6))
+    return search_any(asked, index, corpus_statistics(index, docs), docs, first, 20).withColumn("score", F.round("score", 6))
 
 
 view("vocab", sql=f"SELECT DISTINCT upper(w) AS term FROM (SELECT unnest({_WORDS.format(c='text')}) AS w FROM conversations) WHERE w <> ''")
@@ -108,5 +116,5 @@ SELECT word, CAST(place AS INT) AS place, term, CAST(d AS INT) AS distance FROM
     ON abs(length(word) - length(term)) <= 2) WHERE d <= 2) WHERE place <= 3""")
 def closest(spark, sf):
     words = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("word"))
-    vocabulary = table(spark, sf, "conversations").select(F.explode(tokens(F.col("text"))).alias("term"))
+    vocabulary = use_all_cores(table(spark, sf, "conversations")).select(F.explode(tokens(F.col("text"))).alias("term"))
     return closest_terms(words, vocabulary)
