@@ -10,7 +10,7 @@ from ..streaming.jobs import call_rollup, daily_counter, land_cubes, latest_of,
 from .base import query, table
 from .cube_queries import YEARS
 from .shapes import CUBE_DIMS, DATASET, calls, cube_columns
-from .usage_queries import ADMISSION, admission_calls
+from .usage_queries import ADMISSION_SQL, ADMISSION, admission_calls
 
 
 def event_stream(spark, sf):
@@ -49,7 +49,7 @@ def landing_stream(spark, sf):
     return spread_dims(read_cube(spark, f"{out}/store"), CUBE_DIMS).drop("dataset")
 
 
-@query("admission_stream")
+@query("admission_stream", "calls", sql=ADMISSION_SQL)
 def admission_stream(spark, sf):
     """The verdicts of `admission_control`, from keyed state."""
     out, checkpoint = stream_folder(spark, "admission")

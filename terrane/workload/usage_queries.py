@@ -103,7 +103,30 @@ def admission_calls(spark, sf, events=None):
 ADMISSION = dict(limits={"free": 5, "shared": 60, "anon": 4}, burst=3, seconds=6 * 3600)
 
 
-@query("admission_control")
+# One step per call and client: what was admitted in the last window, and the weight of the day.
+ADMISSION_SQL = f"""
+SELECT call_id, client, verdict FROM (WITH RECURSIVE n AS (
+  SELECT call_id, label AS client, CAST(ts AS DATE) AS day, epoch_us(ts) AS us, weight, tier, lim,
+         CASE WHEN tier = 'pro' THEN NULL WHEN kind = 'shared' THEN CASE WHEN user_id % 10 = 4 THEN 'shared:u' || user_id END ELSE label END AS bucket,
+         row_number() OVER (PARTITION BY label ORDER BY ts, call_id) AS k
+  FROM (SELECT *, kind || ':' || left(sha256(CASE WHEN kind = 'shared' THEN 'shared' ELSE client END), 10) AS label FROM (
+    SELECT *, CASE WHEN tier = 'shared' THEN 'shared' WHEN tier IN ('pro', 'free') THEN 'key' ELSE 'ip' END AS kind,
+           CASE tier WHEN 'free' THEN 5 WHEN 'shared' THEN 60 WHEN 'anon' THEN 4 END AS lim FROM calls))),
+run AS (
+  SELECT client, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS used,
+         CAST([] AS STRUCT(us BIGINT, b VARCHAR, w BIGINT)[]) AS recent FROM (SELECT DISTINCT client FROM n)
+  UNION ALL
+  SELECT client, k, call_id, verdict, day, CASE WHEN verdict = 'admitted' THEN used + weight ELSE used END,
+         CASE WHEN verdict = 'admitted' AND bucket IS NOT NULL THEN list_append(live, {{'us': us, 'b': bucket, 'w': CAST(weight AS BIGINT)}}) ELSE live END
+  FROM (SELECT *, CASE WHEN tier = 'pro' THEN 'admitted'
+                WHEN bucket IS NOT NULL AND coalesce(list_sum(list_transform(list_filter(live, lambda x: x.b = bucket), lambda x: x.w)), 0) + weight > {ADMISSION["burst"]} THEN 'burst'
+                WHEN used + weight > lim THEN 'daily' ELSE 'admitted' END AS verdict
+        FROM (SELECT n.client, n.k, n.call_id, n.day, n.us, n.weight, n.tier, n.lim, n.bucket, CASE WHEN run.day = n.day THEN run.used ELSE 0 END AS used,
+                     list_filter(run.recent, lambda x: x.us > n.us - {ADMISSION["seconds"] * 1_000_000}) AS live
+              FROM run JOIN n ON n.client = run.client AND n.k = run.k + 1)))
+SELECT * FROM run WHERE k > 0)"""
+
+
+@query("admission_control", "calls", sql=ADMISSION_SQL)
 def admission(spark, sf):
-    """Order-dependent, hence without SQL; a sequential check is in the tests."""
     return admit(admission_calls(spark, sf), **ADMISSION)
