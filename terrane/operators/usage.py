@@ -211,8 +211,65 @@ def _fold(rows: DataFrame, burst: int, window: int) -> DataFrame:
     return ordered.mapInPandas(run, f"{schema}, verdict string")
 
 
+def _slice(window: int) -> Column:
+    """Number of the window-long slice of the day; carried calls have negative ones."""
+    return F.floor((F.col("us") - F.unix_date("day").cast("bigint") * 86_400 * MICROS) / window)
+
+
+def _exhausted_after(rows: DataFrame, burst: int, window: int) -> DataFrame:
+    """`client, day, cut`: the slice by whose end the day's limit must be used up.
+
+    A burst refusal of weight w proves that more than `burst - w` was admitted
+    in this slice and the one before; without refusal all of the slice was. Two
+    neighbours count half each. Sums per slice, so a busy client shrinks to at
+    most one row per slice and bucket.
+    """
+    per_bucket = rows.where("not carried").groupBy("client", "day", "bucket", _slice(window).alias("slice")).agg(
+        F.sum("weight").alias("asked"), F.max("weight").alias("largest"), F.max("day_limit").alias("day_limit"))
+    proven = F.greatest(F.least(F.col("asked"), burst - F.col("largest") + 1), F.lit(0)) / 2
+    gain = F.when(F.col("bucket").isNull(), F.col("asked")).when(F.col("slice") > 0, proven).otherwise(0)
+    per_slice = per_bucket.groupBy("client", "day", "slice").agg(F.sum(gain).alias("gain"), F.max("day_limit").alias("day_limit"))
+    so_far = F.sum("gain").over(Window.partitionBy("client", "day").orderBy("slice"))
+    return per_slice.withColumn("so_far", so_far).where("so_far >= day_limit").groupBy("client", "day").agg(F.min("slice").alias("cut"))
+
+
+def _decide(rows: DataFrame, burst: int, window: int, ordered_rows: int) -> DataFrame:
+    """Verdicts of `client, day` groups that may hold carried calls.
+
+    Groups of up to `ordered_rows` calls are simply taken in order. For larger
+    ones only the part before the day is used up needs the order. After it
+    nothing is admitted any more, so every later call is judged by itself
+    against the state reached. Should one still fit, its group is taken in
+    order as a whole.
+    """
+    largest = rows.groupBy("client", "day").count().agg(F.max("count")).first()[0] or 0
+    if largest <= ordered_rows:
+        return cut_lineage(_fold(rows, burst, window))
+    cuts = cut_lineage(_exhausted_after(rows, burst, window))
+    placed = rows.join(cuts, ["client", "day"], "left").withColumn("slice", _slice(window))
+    late = F.coalesce(F.col("slice") > F.col("cut"), F.lit(False))
+    head = cut_lineage(_fold(placed.where(~late).select(*rows.columns), burst, window))
+    admitted = head.where("verdict = 'admitted'").join(cuts, ["client", "day"])
+    # What is still in the window later lies in the last slice of the head; bounded by the day's limit.
+    live = F.when((_slice(window) == F.col("cut")) & F.col("bucket").isNotNull(), F.struct("us", "bucket", "weight"))
+    reached = admitted.groupBy("client", "day").agg(F.sum("weight").alias("used"), F.collect_list(live).alias("live"))
+    judged = placed.where(late).select(*rows.columns).drop("carried").join(reached, ["client", "day"], "left")
+    load = F.aggregate(
+        F.filter("live", lambda e: (e["us"] > F.col("us") - window) & (e["bucket"] == F.col("bucket"))),
+        F.lit(0), lambda acc, e: acc + e["weight"])
+    verdict = F.when(F.col("bucket").isNotNull() & (F.coalesce(load, F.lit(0)) + F.col("weight") > burst), "burst").when(
+        F.coalesce("used", F.lit(0)) + F.col("weight") > F.col("day_limit"), "daily")
+    tail = cut_lineage(judged.select(*[c for c in head.columns if c != "verdict"], verdict.alias("verdict")))
+    both = head.unionByName(tail)
+    still_open = cut_lineage(tail.where("verdict is null").select("client", "day").distinct())
+    if still_open.isEmpty():
+        return both
+    again = cut_lineage(_fold(rows.join(still_open, ["client", "day"], "left_semi").select(*rows.columns), burst, window))
+    return both.join(still_open, ["client", "day"], "left_anti").select(*again.columns).unionByName(again)
+
+
 def admit(calls: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST,
-          seconds: int = BURST_SECONDS) -> DataFrame:
+          seconds: int = BURST_SECONDS, ordered_rows: int = 100_000) -> DataFrame:
     """`call_id, client, verdict` per call: admitted, or refused by `burst` or `daily`.
 
     `calls`: `call_id, ts, kind, ident, tier, session, weight`, taken in the
@@ -243,7 +300,7 @@ def admit(calls: DataFrame, limits: dict[str, int] | None = None, burst: int = B
     def moved(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.exceptAll(b).unionByName(b.exceptAll(a)).select("client", "day").distinct()
 
-    decided = cut_lineage(_fold(limited.withColumn("carried", F.lit(False)), burst, window))
+    decided = _decide(limited.withColumn("carried", F.lit(False)), burst, window, ordered_rows)
     known = limited.limit(0)
     while True:
         carried = carried_from(decided)
@@ -254,6 +311,6 @@ def admit(calls: DataFrame, limits: dict[str, int] | None = None, burst: int = B
         again = limited.join(touched, ["client", "day"], "left_semi").withColumn("carried", F.lit(False)).unionByName(
             carried.join(touched, ["client", "day"], "left_semi").withColumn("carried", F.lit(True)))
         kept = decided.join(touched, ["client", "day"], "left_anti")
-        decided = cut_lineage(kept.unionByName(_fold(again, burst, window)))
+        decided = cut_lineage(kept.unionByName(_decide(again, burst, window, ordered_rows).select(*kept.columns)))
         known = carried
     return free.unionByName(decided.select("call_id", "client", "verdict"))

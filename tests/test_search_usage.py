@@ -146,7 +146,24 @@ def sequential(rows, limits, burst, seconds=60):
 @pytest.mark.parametrize("limits, burst, seconds", [({"anon": 400, "shared": 90}, 2, 600), ({"anon": 40, "shared": 20}, 3, 3600), ({"anon": 7, "shared": 5}, 4, 60)])
 def test_admission_equals_sequential(spark, limits, burst, seconds):
     rows = crowd()
-    assert verdicts(spark, rows, limits=limits, burst=burst, seconds=seconds) == sequential(rows, limits, burst, seconds)
+    want = sequential(rows, limits, burst, seconds)
+    assert verdicts(spark, rows, limits=limits, burst=burst, seconds=seconds) == want
+    assert verdicts(spark, rows, limits=limits, burst=burst, seconds=seconds, ordered_rows=0) == want
+
+
+def test_used_up_days_need_no_order(spark):
+    """A busy client: most of its day lies behind the cut, and a call that still fits reopens the day."""
+    from terrane.operators.usage import MICROS, _exhausted_after
+
+    rows = [(3600 + 5 * k, "ip", "hot", "anon", "", 1 if k % 50 == 0 else 2) for k in range(2000)]
+    how = dict(limits={"anon": 51}, burst=10, seconds=60)
+    want = sequential(rows, how["limits"], 10)
+    assert verdicts(spark, rows, ordered_rows=0, **how) == want
+    even = [(t, k, w, x, s, 2) for t, k, w, x, s, _ in rows]
+    assert verdicts(spark, even, ordered_rows=0, **how) == sequential(even, how["limits"], 10)
+    shaped = calls(spark, even).select("call_id", F.lit("c").alias("client"), F.to_date("ts").alias("day"), (F.unix_date(F.to_date("ts")).cast("bigint") * 86_400 * MICROS + F.col("call_id").cast("bigint") * 5 * MICROS).alias("us"),
+                                       F.lit("c").alias("bucket"), "weight", F.lit(51).alias("day_limit"), F.lit(False).alias("carried"))
+    assert 0 < _exhausted_after(shaped, 10, 60 * MICROS).first().cut < 30
 
 
 def test_stream_admission_over_several_batches(spark):
