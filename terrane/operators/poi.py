@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, strictly_inside
-from ..session import BROADCAST_ROWS, cut_lineage, salted_join
+from ..session import BROADCAST_ROWS, cut_lineage, join_counted, salted_join
 from .coverage import Grid, coverage_runs, row_pieces
 
 # Country code by extract name, members of the union, exported shapes.
@@ -96,8 +96,9 @@ def match_specs(elements: DataFrame, specs: DataFrame) -> DataFrame:
         F.col("id").alias("indicator"), F.col("extraction.tags").alias("pairs"),
         F.col("extraction.geometry").alias("types"))
     by_type = wanted.select("indicator", "pairs", F.explode("types").alias("osm_type"))
+    # Three types share all elements, so the elements never move by type.
     hit = F.exists("pairs", lambda p: F.coalesce(F.col("tags")[p["key"]] == p["value"], F.lit(False)))
-    return elements.join(by_type, "osm_type").where(hit).drop("pairs")
+    return join_counted(elements, by_type, ["osm_type"]).where(hit).drop("pairs")
 
 
 def zone_index(zones: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
@@ -155,7 +156,7 @@ def count_in_zones(matched: DataFrame, zones: DataFrame, specs: DataFrame, grid:
     )
     in_scope = zones.select("geo_code", "level", F.left("geo_code", F.lit(2)).alias("country")).join(
         covered.select("country").distinct(), "country", "left_semi")
-    scope = in_scope.join(levels, "level").select("indicator", "level", "geo_code")
+    scope = join_counted(in_scope, levels, ["level"]).select("indicator", "level", "geo_code")
     return scope.join(counts, ["indicator", "level", "geo_code"], "left").select(
         "indicator", "level", "geo_code", F.coalesce("n", F.lit(0)).cast("double").alias("value"),
         F.lit(POI_QUALITY).alias("quality"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import blank_to_null, merge_quality
 from ..schemas import CURRENT_VINTAGE
+from ..session import join_counted
 
 
 def spec_filter(dims: Column, filters: dict[str, str]) -> Column:
@@ -91,8 +92,8 @@ def project_indicators(cube: DataFrame, specs: DataFrame, zones: DataFrame,
         F.coalesce("extraction.time_dim", F.lit("time")).alias("time_dim"),
         F.coalesce(F.map_entries("extraction.filters"), F.array().cast("array<struct<key:string,value:string>>")).alias("pairs"),
     )
-    # Specs are configuration: counted, and sent to the cube instead of the reverse.
-    hits = cube.where(F.col("value").isNotNull()).join(wanted, "dataset").where(
+    # A dataset may hold a third of the cube, so the cube never moves by dataset.
+    hits = join_counted(cube.where(F.col("value").isNotNull()), wanted, ["dataset"]).where(
         F.forall("pairs", lambda p: F.col("dims")[p["key"]].eqNullSafe(p["value"])))
     rows = hits.select(
         "indicator", "unit", "source", "geo_levels", "nuts_vintage", "dataset",

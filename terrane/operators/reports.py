@@ -11,9 +11,14 @@ from .pivot import latest_per_zone
 
 
 def indicator_profile(canonical: DataFrame) -> DataFrame:
-    """Rows, source, newest dates and span per indicator."""
-    return canonical.groupBy("indicator").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("source").alias("source"),
+    """Rows, source, newest dates and span per indicator.
+
+    Rows are counted per distinct set of texts first: a text may be a key of a
+    hash aggregate but not its result, and few sets remain for the rest.
+    """
+    sets = canonical.groupBy("indicator", "source", "source_date", "ingested_at", "time").agg(F.count(F.lit(1)).alias("rows"))
+    return sets.groupBy("indicator").agg(
+        F.sum("rows").alias("rows"), F.max("source").alias("source"),
         F.max("source_date").alias("source_date"), F.max("ingested_at").alias("ingested_at"),
         F.min("time").alias("time_min"), F.max("time").alias("time_max"),
     )
@@ -21,6 +26,7 @@ def indicator_profile(canonical: DataFrame) -> DataFrame:
 
 def provenance(canonical: DataFrame) -> DataFrame:
     """Per indicator the source, date and load time of its newest source date."""
+    canonical = canonical.select("indicator", "source", "source_date", "ingested_at").distinct()
     newest = F.max_by(F.struct("source", "source_date", "ingested_at"),
                       F.struct(F.coalesce("source_date", F.lit("")), "ingested_at", "source")).alias("p")
     return canonical.groupBy("indicator").agg(newest).select("indicator", "p.source", "p.source_date", "p.ingested_at")

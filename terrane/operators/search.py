@@ -110,10 +110,10 @@ def search_any(queries: DataFrame, index: DataFrame, statistics: DataFrame, docs
         docs = docs.where(F.col("source") == source)
     found = top_hits(hits, limit).select("query_id", "place", "doc", "score")
     blank = queries.where(F.trim("query") == "").select("query_id")
-    first = docs.orderBy("doc").limit(limit).select("doc")
-    listed = first.select(F.row_number().over(Window.orderBy("doc")).alias("place"), "doc", F.lit(0.0).alias("score"))
-    everything = blank.withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return found.unionByName(everything.select("query_id", "place", "doc", "score"))
+    first = docs.orderBy("doc").limit(limit).select(F.array_sort(F.collect_list("doc"))).scalar()
+    everything = blank.select("query_id", F.posexplode(first).alias("at", "doc")).select(
+        "query_id", (F.col("at") + 1).alias("place"), "doc", F.lit(0.0).alias("score"))
+    return found.unionByName(everything)
 
 
 def _shorter(text: Column) -> Column:

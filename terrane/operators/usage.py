@@ -117,8 +117,8 @@ def attribute_clients(requests: DataFrame, keys: DataFrame, networks: DataFrame,
 
 def daily_usage(calls: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Weight per UTC day and client against the tier's limit."""
-    per_day = calls.groupBy(F.to_date("ts").alias("day"), "client").agg(
-        F.sum("weight").alias("used"), F.max("tier").alias("tier"))
+    per_tier = calls.groupBy(F.to_date("ts").alias("day"), "client", "tier").agg(F.sum("weight").alias("used"))
+    per_day = per_tier.groupBy("day", "client").agg(F.sum("used").alias("used"), F.max("tier").alias("tier"))
     limit = daily_limit(F.col("tier"), limits)
     return per_day.select("day", "client", "tier", "used", limit.alias("limit"),
                           F.coalesce(F.col("used") > limit, F.lit(False)).alias("over"))

@@ -10,6 +10,7 @@ from ..schemas import (
     CURRENT_VINTAGE, ELEMENT_TYPES, FREQUENCIES, LEVELS, MAX_INDICATORS, MAX_ZONES, PREVIOUS_VINTAGE, SOURCES,
     TEMPORAL_STATS, ZONAL_STATS,
 )
+from ..session import join_counted
 
 
 def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, present: DataFrame) -> DataFrame:
@@ -27,8 +28,8 @@ def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, p
     places = zones.select(F.col("geo_code").alias("zone"), "level")
     built = present.select("indicator").distinct().withColumn("built", F.lit(True))
     joined = (
-        asked.join(size, "request_id")
-        .join(known, "indicator", "left").join(built, "indicator", "left").join(places, "zone", "left")
+        join_counted(join_counted(asked.join(size, "request_id"), known, ["indicator"], "left"), built, ["indicator"], "left")
+        .join(places, "zone", "left")
     )
     code = (
         F.when(F.col("n_indicators") > MAX_INDICATORS, "too_many_indicators")

@@ -70,6 +70,18 @@ def broadcast_up_to(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
+                 limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Equi-join with a table that is configuration: counted, then broadcast, or salted beyond the bound.
+
+    Needed where the planner cannot know the size, as for rows made in Python,
+    and where `big` is concentrated on few keys.
+    """
+    if small.limit(limit + 1).count() <= limit:
+        return big.join(F.broadcast(small), keys, how)
+    return salted_join(big, small, keys, how=how)
+
+
 def use_all_cores(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than cores before heavy work per row.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import box_geometry
+from ..functions.zones import level_of_code
 from ..operators.coverage import Grid
 from ..operators.projection import project_indicators
 from ..schemas import CHANGES, SPECS
@@ -102,26 +103,26 @@ def cube_columns(spark: SparkSession, sf: str) -> DataFrame:
     base = table(spark, sf, "orders").join(customers(spark, sf), F.col("o_custkey") == F.col("c_custkey")).groupBy(
         "c0", "c1", "c2", F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"), F.count(F.lit(1)).alias("n"),
-        F.max("o_orderstatus").alias("st"))
+        F.bool_or(F.col("o_orderstatus") == "P").alias("open"))
     year = F.left("ym", F.lit(4))
     quarter = F.concat(year, F.lit("-Q"), F.floor((F.right("ym", F.lit(2)).cast("int") + 2) / 3))
     periods = F.array(*[F.struct(F.lit(f).alias("freq"), t.alias("time")) for f, t in
                         (("A", year), ("Q", quarter), ("M", F.col("ym")))])
     geos = F.array(F.col("c0"), F.col("c1"), F.col("c2"), F.lit("EU27_2020"))
-    rolled = base.select("v", "n", "st", F.explode(periods).alias("p"), geos.alias("geos")).select(
-        "v", "n", "st", "p.freq", "p.time", F.explode("geos").alias("geo")).groupBy("freq", "geo", "time").agg(
-        F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("st").alias("st"))
+    rolled = base.select("v", "n", "open", F.explode(periods).alias("p"), geos.alias("geos")).select(
+        "v", "n", "open", "p.freq", "p.time", F.explode("geos").alias("geo")).groupBy("freq", "geo", "time").agg(
+        F.sum("v").alias("v"), F.sum("n").alias("n"), F.bool_or("open").alias("open"))
     measures = F.array(F.struct(F.lit("VAL").alias("unit"), F.col("v").cast("double").alias("value")),
                        F.struct(F.lit("CNT").alias("unit"), F.col("n").cast("double").alias("value")))
-    return rolled.select("freq", "geo", "time", F.when(F.col("st") == "P", "p").otherwise("").alias("flag"),
+    return rolled.select("freq", "geo", "time", F.when(F.col("open"), "p").otherwise("").alias("flag"),
                          F.explode(measures).alias("m")).select("freq", "m.unit", "geo", "time", "m.value", "flag")
 
 
 def cube(spark: SparkSession, sf: str) -> DataFrame:
     """The same cube as long rows with a map of dimensions."""
     pairs = [x for d in CUBE_DIMS for x in (F.lit(d), F.col(d))]
-    return cube_columns(spark, sf).select(F.lit(DATASET).alias("dataset"), F.create_map(*pairs).alias("dims"),
-                                          "time", "value", "flag")
+    dataset = F.concat(F.lit("orders_"), F.when(F.col("freq").isin("A", "Q", "M"), "cube").otherwise("other"))
+    return cube_columns(spark, sf).select(dataset.alias("dataset"), F.create_map(*pairs).alias("dims"), "time", "value", "flag")
 
 
 def _spec(id: str, unit: str, source: str, frequency: str, levels: list[str], vintage: int = 2024, **extraction) -> T.Row:
@@ -220,7 +221,7 @@ def zone_shapes(spark: SparkSession, sf: str) -> DataFrame:
             for ring in rings]))
         test = F.col("n_nationkey") % 3 == kind
         shape = F.when(test, geometry) if shape is None else shape.when(test, geometry)
-    return nations(spark, sf).select(F.col("c1").alias("geo_code"), F.lit("NUTS1").alias("level"), shape.alias("geometry"))
+    return nations(spark, sf).select(F.col("c1").alias("geo_code"), level_of_code(F.col("c1")).alias("level"), shape.alias("geometry"))
 
 
 # ------------------------------------------------------------------------ poi

@@ -12,6 +12,7 @@ from ..operators.incremental import merge_years, run_report, year_delta
 from ..operators.validate import duplicate_ids, validate_requests, validate_specs
 from ..operators.zones import build_changes, city_zones, levels_available, list_zones, nuts_zones, zone_reference
 from ..schemas import SPECS
+from ..session import cut_lineage
 from .base import query, table, view
 from .shapes import canonical, cust_requests, nations, specs, zones
 
@@ -139,7 +140,8 @@ FROM (SELECT r.*, level, CASE WHEN ni > 5 THEN 'too_many_indicators' WHEN nz > 1
   FROM requests r JOIN (SELECT request_id, count(DISTINCT indicator) AS ni, count(DISTINCT zone) AS nz FROM requests GROUP BY request_id) USING (request_id)
   LEFT JOIN zones ON geo_code = zone)""")
 def validate(spark, sf):
-    return validate_requests(cust_requests(spark, sf), specs(spark), zones(spark, sf), canonical(spark, sf).select("indicator"))
+    present = cut_lineage(canonical(spark, sf).select("indicator").distinct())
+    return validate_requests(cust_requests(spark, sf), specs(spark), zones(spark, sf), present)
 
 
 view("partspecs", sql="""
