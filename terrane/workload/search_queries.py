@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any
 from ..session import cut_lineage, use_all_cores
+from ..plans.lookup import search_datasets
+from ..sources.files import catalogue_from_lines
 from .base import query, table, view
+from .cube_queries import toc_lines
 
 _WORDS = "string_split_regex(replace(strip_accents(lower({c})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+')"
 _STEM = "CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, -1) ELSE w END"
@@ -24,17 +27,18 @@ SELECT query_id, w FROM (SELECT query_id, w, row_number() OVER (PARTITION BY que
 view("qterms", "qwords", sql=f"SELECT DISTINCT query_id, {_STEM} AS q_term FROM qwords")
 
 
-def _hits_views(prefix: str, terms: str) -> None:
-    view(f"{prefix}hits", terms, "idx", sql=f"""
-SELECT q_term, doc, sum(tf) AS tf FROM (SELECT DISTINCT q_term FROM {terms}) JOIN (SELECT DISTINCT term FROM idx) v ON starts_with(v.term, q_term)
-JOIN idx USING (term) GROUP BY ALL
+def _hits_views(prefix: str, terms: str, c: str = "", docs: str = "documents") -> None:
+    """Hits and scores of `terms` on the corpus whose views start with `c`."""
+    view(f"{prefix}hits", terms, f"{c}idx", sql=f"""
+SELECT q_term, doc, sum(tf) AS tf FROM (SELECT DISTINCT q_term FROM {terms}) JOIN (SELECT DISTINCT term FROM {c}idx) v ON starts_with(v.term, q_term)
+JOIN {c}idx USING (term) GROUP BY ALL
 """)
-    view(f"{prefix}score", f"{prefix}hits", "lens", terms, sql=f"""
+    view(f"{prefix}score", f"{prefix}hits", f"{c}lens", terms, sql=f"""
 SELECT query_id, doc, sum(s) AS score, count(*) AS matched FROM (
   SELECT q_term, doc, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6::DOUBLE END
          * tf * 2.2 / (tf + 1.2::DOUBLE * (0.25 + 0.75 * length / avg_length)) AS s
-  FROM {prefix}hits JOIN (SELECT q_term, CAST(count(*) AS DOUBLE) AS df FROM {prefix}hits GROUP BY q_term) USING (q_term) JOIN lens USING (doc),
-       (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), (SELECT (SELECT count(*) FROM tok)::DOUBLE / (SELECT count(*) FROM documents) AS avg_length))
+  FROM {prefix}hits JOIN (SELECT q_term, CAST(count(*) AS DOUBLE) AS df FROM {prefix}hits GROUP BY q_term) USING (q_term) JOIN {c}lens USING (doc),
+       (SELECT CAST(count(*) AS DOUBLE) AS n FROM {docs}), (SELECT (SELECT count(*) FROM {c}tok)::DOUBLE / (SELECT count(*) FROM {docs}) AS avg_length))
 JOIN {terms} USING (q_term) GROUP BY ALL
 """)
 
@@ -44,6 +48,23 @@ view("rawterms", "qwords", sql="SELECT DISTINCT query_id, w AS q_term FROM qword
 _hits_views("r", "rawterms")
 
 
+# Catalogue search: a query is a part name, a plural and a year.
+view("cat", "toc", sql="""
+SELECT code, title, data_start, data_end, last_update FROM (
+  SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM toc WHERE type IN ('dataset', 'table')) WHERE rn = 1
+""")
+view("ctok", "cat", sql=f"""
+SELECT doc, w FROM (SELECT code AS doc, unnest({_WORDS.format(c="concat_ws(' ', code, title, data_start, data_end, last_update)")}) AS w FROM cat) WHERE w <> ''
+""")
+view("cidx", "ctok", sql="SELECT w AS term, doc, count(*) AS tf FROM ctok GROUP BY ALL")
+view("clens", "ctok", sql="SELECT doc, count(*) AS length FROM ctok GROUP BY doc")
+view("cterms", sql="""
+SELECT DISTINCT query_id, CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, -1) ELSE w END AS q_term
+FROM (SELECT p_name AS query_id, unnest(string_split(p_name || ' brands 19' || length(p_name) || '5', ' ')) AS w FROM part)
+""")
+_hits_views("c", "cterms", "c", "cat")
+
+
 def documents(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
 
@@ -106,6 +127,20 @@ def search_topk(spark, sf):
     return search_any(asked, index, corpus_statistics(index, docs), docs, first, 20).withColumn("score", F.round("score", 6))
 
 
+@query("search_datasets", "cscore", "cterms", "cat", sql="""
+SELECT query_id, CAST(place AS INT) AS place, code, title, data_start, data_end, round(score, 6) AS score, partial FROM (
+  SELECT query_id, doc, score, NOT has_all AS partial, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS place
+  FROM (SELECT *, max(matched) OVER (PARTITION BY query_id) = terms AS has_all
+        FROM cscore JOIN (SELECT query_id, count(*) AS terms FROM cterms GROUP BY query_id) USING (query_id))
+  WHERE NOT has_all OR matched = terms) JOIN cat ON code = doc WHERE place <= 10""")
+def datasets(spark, sf):
+    name = F.col("p_name")
+    text = F.concat(name, F.lit(" Brands 19"), F.length(name), F.lit("5"))
+    asked = table(spark, sf, "part").select(name.alias("query_id"), text.alias("query")).distinct()
+    found = search_datasets(asked, catalogue_from_lines(toc_lines(spark, sf)))
+    return found.withColumn("score", F.round("score", 6))
+
+
 view("vocab", sql=f"SELECT DISTINCT upper(w) AS term FROM (SELECT unnest({_WORDS.format(c='text')}) AS w FROM conversations) WHERE w <> ''")
 
 

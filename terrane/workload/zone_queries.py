@@ -11,6 +11,7 @@ from ..functions.zones import (
 from ..operators.incremental import merge_years, run_report, year_delta
 from ..operators.validate import duplicate_ids, validate_requests, validate_specs
 from ..operators.zones import build_changes, city_zones, levels_available, list_zones, nuts_zones, zone_reference
+from ..plans.lookup import zones_page
 from ..schemas import SPECS
 from ..session import cut_lineage
 from .base import query, table, view
@@ -34,6 +35,13 @@ def zone_contains(spark, sf):
     return list_zones(zones(spark, sf), "NUTS2", contains="ÎLE r0")
 
 
+@query("zones_page", "zones", sql="""
+SELECT geo_code, name, level, parent_code, n > 60 AS truncated FROM (
+  SELECT *, row_number() OVER (ORDER BY geo_code) AS rn, count(*) OVER () AS n FROM zones WHERE level = 'NUTS3') WHERE rn <= 60""")
+def zone_page(spark, sf):
+    return zones_page(zones(spark, sf), "NUTS3", limit=60)
+
+
 @query("zone_levels", "zones", sql="SELECT DISTINCT level FROM zones")
 def zone_levels(spark, sf):
     return levels_available(zones(spark, sf))

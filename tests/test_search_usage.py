@@ -50,6 +50,20 @@ def test_any_term_by_source_and_blank_query(spark, corpus):
     assert search_any(asked.where("query_id = 2"), index, stats, docs).count() == 3
 
 
+def test_spec_and_dataset_search(spark, specs, canonical):
+    from terrane.plans.lookup import search_datasets, search_indicators
+    from terrane.schemas import CATALOGUE
+
+    asked = spark.createDataFrame([(1, "gdp"), (2, "hospital population")], "query_id int, query string")
+    got = {(r.query_id, r.id): r.materialized for r in search_indicators(asked, specs, canonical.where("indicator <> 'population'")).collect()}
+    assert got == {(1, "gdp_per_capita"): True, (2, "population"): False, (2, "hospitals_count"): True}
+    assert {r.id for r in search_indicators(asked, specs, canonical, source="osm").collect()} == {"hospitals_count"}
+    catalogue = spark.createDataFrame([("nama", TITLES[0][1], "2000", "2024", "x"), ("tour", TITLES[1][1], "1990-01", "2026-05", "x")], CATALOGUE)
+    asked = spark.createDataFrame([(1, "gross domestic product regions"), (2, "GDP per inhabitant"), (3, "nights 1990")], "query_id int, query string")
+    got = {(r.query_id, r.place): (r.code, r.partial, r.data_end) for r in search_datasets(asked, catalogue).collect()}
+    assert got[1, 1] == ("nama", False, "2024") and got[2, 1][1] is True and got[3, 1] == ("tour", False, "2026-05")
+
+
 def test_folding(spark):
     rows = spark.createDataFrame([("Île-de-FRANCE Straße Ærø",)], "t string")
     assert rows.select(fold(F.col("t")).alias("f")).first().f == "ile-de-france strasse ærø"
