@@ -14,7 +14,7 @@ from ..sources.cubes import read_cube, read_wide_cubes, spread_dims, to_wide, wr
 from ..sources.files import catalogue_from_lines, catalogue_period, upsert_state
 from ..sources.jsonstat import explode_jsonstat, explode_structure
 from .base import query, table, view
-from .shapes import CUBE_DIMS, DATASET, cube, cube_columns, specs, zones
+from .shapes import CUBE_DIMS, DATASET, cube, cube_columns, zones
 
 YEARS = [str(y) for y in range(1995, 2002)]
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox, bbox_intersects, box_geometry, centroid, polygon_area
+from ..functions.geometry import bbox, bbox_intersects, centroid, polygon_area
 from ..functions.zones import zone_country
 from ..operators.poi import (
-    any_tag, as_points, count_in_zones, exportable, extract_country, match_specs, points_in_zones, tag_expressions, tag_pairs,
+    any_tag, as_points, exportable, extract_country, match_specs, points_in_zones, tag_expressions, tag_pairs,
 )
 from ..plans.spatial import count_poi, write_poi_counts
 from ..session import shared_dir
 from ..sources.canonical import read_canonical
 from ..sources.files import read_poi, write_poi
 from .base import query, table, view
-from .shapes import POI_GRID, nations, poi, poi_specs, zone_shapes
+from .shapes import POI_GRID, poi, poi_specs, zone_shapes
 from .zone_queries import part_specs
 
 view("poi_hit", "poi_match", "zedge", sql="""
