@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing
+from . import decontaminate, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.col("_found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "_found.items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@register("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
