@@ -50,12 +50,12 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def sampled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2,
-            seed: int = 42) -> DataFrame:
+def sampled(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2),
+            cap: int = 2, seed: int = 42) -> DataFrame:
     """How often each row of `docs` goes into the mix.
 
     `docs` needs doc_id, text and source; the result has (row, source, size, source_size, target, copies), where
-    `row` holds all columns of `docs` in a struct, so their names can't clash. Within a source the rows stand in
+    `row` holds the columns `carry` of `docs` in a struct, so their names can't clash. Within a source the rows stand in
     order of size, then doc_id. A row's expected copies are target / source_size; they are summed up along that
     order, starting at the source's offset, and the row is taken once for each whole number the sum passes. Hence a
     row is taken at most ceil(cap) times, and since neighbours have like sizes, the words taken stay within about
@@ -69,8 +69,9 @@ def sampled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[
     Null doc_id and repeated rows: each row counts by itself. Empty table: empty result. A source without words:
     target 0, no copies.
     """
-    sized = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), "doc_id")
-    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.xxhash64("row.text")]
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "source",
+                        word_count(F.col("text")).alias("size"), "doc_id", F.xxhash64("text").alias("tie"))
+    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.col("tie")]
     ranged = cut_lineage(sized.repartitionByRange(*order).sortWithinPartitions(*order)
                          .select("row", "source", "size", F.spark_partition_id().alias("range"),
                                  F.monotonically_increasing_id().alias("place")))
@@ -79,10 +80,10 @@ def sampled(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[
     ranges = ranges.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
     targets = source_targets(ranged, weights, share, cap).withColumn("u", offset(F.col("source"), seed)).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    # ranges hold at most one row per source and task and targets one per source, so both are small beside the documents
+    # at most a row for each range and source; written, so that the planner knows its size and need not move the rows
     heads = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
         F.col("r.source").alias("of"), F.col("range").alias("at"), "head", "before", "source_size", "target", "u", "rate")
-    ranked = ranged.join(heads, (F.col("range") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
+    ranked = ranged.join(cut_lineage(heads), (F.col("range") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
     rank = F.col("place") - F.col("head") + F.col("before")
     copies = F.floor(F.col("rate") * (rank + 1) + F.col("u")) - F.floor(F.col("rate") * rank + F.col("u"))
     return ranked.select("row", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
@@ -93,13 +94,12 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
     A column `copy` of `docs` is replaced.
     """
-    taken = sampled(docs, **settings).filter("copies > 0")
+    taken = sampled(docs, docs.columns, **settings).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(
         *[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copy"], F.col("_copy").alias("copy"))
 
 
 def mixed_sources(docs: DataFrame, **settings) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, copies and taken words."""
-    narrow = docs.select("doc_id", "text", "source")
-    return sampled(narrow, **settings).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "source_size", "target",
+    return sampled(docs, ["doc_id"], **settings).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "source_size", "target",
                                               "copies", (F.col("copies") * F.col("size")).alias("taken"))
