@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -103,3 +103,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("row.doc_id", "n_words", "n_removed", "spans", "text")
