@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, substring, toxicity
+from . import decontaminate, language, mixing, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,3 +118,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, out="score").select(
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, train=fold(F.col("doc_id"), 4) != 2)
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+_MEASURES_SQL = {
+    "word_length": "word_chars * 1000 // n_words", "symbols": "n_symbols * 1000 // n_words", "dup_lines": "n_dup_lines * 1000 // n_lines",
+    "repeats": "n_repeat_words * 1000 // n_words", "punctuation": "n_punctuation * 1000 // n_words", "capitals": "n_capitals * 1000 // n_words"}
+_LIMITS_SQL = """
+  SELECT {keys} name, max(texts) AS texts, min(bucket) FILTER (upto * 100 >= texts * 25) AS q25, min(bucket) FILTER (upto * 100 >= texts * 75) AS q75
+  FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} name ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} name) AS texts
+        FROM (SELECT {keys} name, bucket, count(*) AS n FROM m GROUP BY ALL)) GROUP BY ALL
+"""
+_QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), ln AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k
+), wi AS (
+  SELECT k, p, array_to_string(w[p : p + 7], ' ') AS win FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS p FROM d)
+), rp AS (
+  SELECT k, count(DISTINCT q) AS n_repeat_words
+  FROM (SELECT k, unnest(range(p, p + 8)) AS q FROM (SELECT *, count(*) OVER (PARTITION BY k, win) AS c FROM wi) WHERE c > 1) GROUP BY k
+), f AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^!-/:-@\[-`{-~]', '', 'g')) AS n_punctuation,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, k
+  FROM d LEFT JOIN ln USING (k) LEFT JOIN rp USING (k)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+), v AS (
+  SELECT k, lang, source, base_failed, s.name, s.v >> greatest(length(bin(s.v)) - 8, 0) << greatest(length(bin(s.v)) - 8, 0) AS bucket, s.spread, s.low_too
+  FROM (SELECT k, lang, source, base_failed, unnest([VALUES]) AS s FROM b WHERE n_words > 0)
+), m AS (SELECT * FROM v WHERE NOT base_failed),
+o AS (OWN), l AS (LANG), e AS (EVERY), c AS (
+  SELECT o.lang, o.source, o.name, CASE WHEN o.texts >= 200 THEN o.q25 WHEN l.texts >= 200 THEN l.q25 ELSE e.q25 END AS q25,
+         CASE WHEN o.texts >= 200 THEN o.q75 WHEN l.texts >= 200 THEN l.q75 ELSE e.q75 END AS q75
+  FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.name = l.name JOIN e ON o.name = e.name
+), ok AS (
+  SELECT k, bool_and((NOT low_too OR bucket >= q25 - 3 * greatest(q75 - q25, spread)) AND bucket <= q75 + 3 * greatest(q75 - q25, spread)) AS good
+  FROM v JOIN c ON v.lang IS NOT DISTINCT FROM c.lang AND v.source IS NOT DISTINCT FROM c.source AND v.name = c.name GROUP BY k
+)
+SELECT doc_id, lang, source, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       CAST(n_punctuation AS BIGINT) AS n_punctuation, CAST(n_capitals AS BIGINT) AS n_capitals, base_failed,
+       NOT base_failed AND coalesce(good, false) AS kept
+FROM b LEFT JOIN ok USING (k)
+""".replace("VALUES", ", ".join(f"{{'name': '{m}', 'v': CAST({_MEASURES_SQL[m]} AS BIGINT), 'spread': {s}, 'low_too': {str(t).lower()}}}" for m, (s, t) in quality.MEASURES.items())
+            ).replace("OWN", _LIMITS_SQL.format(keys="lang, source,")).replace("LANG", _LIMITS_SQL.format(keys="lang,")).replace("EVERY", _LIMITS_SQL.format(keys=""))
+
+
+@register("op6_quality", sql=_QUALITY_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents"))
