@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, simhash, substring, toxicity
+from . import decontaminate, language, mixing, ppm, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,3 +180,10 @@ FROM b LEFT JOIN ok USING (k)
 @register("op6_quality", sql=_QUALITY_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(read(spark, sf_dir, "documents"))
+
+
+@register("op7_ppm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm.scored(docs, train=fold(F.col("doc_id"), 10) != 0).select(
+        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
