@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ppm, quality, simhash, substring, toxicity
+from . import decontaminate, language, mixing, ppm, quality, simhash, substring, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,3 +187,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ppm.scored(docs, train=fold(F.col("doc_id"), 10) != 0).select(
         "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op4_main_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extracted(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
