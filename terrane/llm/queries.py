@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ppm, quality, simhash, substring, toxicity, wrapper
+from . import decontaminate, language, licenses, mixing, ppm, quality, simhash, substring, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -193,3 +193,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper.extracted(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("op3_license_scan", sql=licenses.oracle())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("_licences.sentences", ",").alias("sentences"), F.array_join("_licences.licences", ",").alias("licences"),
+                        F.size("_licences.unmatched").cast("long").alias("n_unmatched"))
