@@ -26,7 +26,9 @@ from .tokens import Runs, buffers, mixed, pieces, prefix_sums, span_codes, words
 #: One word in so many ends a chunk.
 CHUNK_WORDS = 6
 #: A chunk of more words is cut after so many, for texts that repeat one word without a natural cut.
-LONGEST_CHUNK = 24
+LONGEST_CHUNK = 16
+#: Shorter chunks repeat by chance; they aren't compared, the agreement around their neighbours covers them.
+LEAST_CHUNK = 4
 #: Words of a repeated span from which on it is cut out. A passage of over 50 words keeps at least so many in whole
 #: chunks and their agreeing surroundings but for about one in fifty of the shortest.
 MIN_WORDS = 40
@@ -48,7 +50,7 @@ def gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunks(column: pa.Array) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a piece, the first and the last + 1 word of each chunk, and the digests."""
+    """Words of a piece, the first and the last + 1 word of each chunk that is compared, and the digests."""
     data, offsets = buffers(column)
     found = words(data, offsets, lower=False)
     n = len(found.starts)
@@ -57,12 +59,26 @@ def chunks(column: pa.Array) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
     ends[lasts] = True
     stop = np.flatnonzero(ends) + 1
     start = np.concatenate([[0], stop[:-1]]) if n else stop
+    start, stop = _joined(start, stop, found.row[start])
     more = (stop - start - 1) // LONGEST_CHUNK
     forced = np.repeat(start, more) + LONGEST_CHUNK * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
     start, stop = np.sort(np.concatenate([start, forced])), np.sort(np.concatenate([stop, forced]))
+    long = stop - start >= LEAST_CHUNK
+    start, stop = start[long], stop[long]
     return found, start, stop, span_codes(prefix_sums(found.codes), start, stop)
 
 
+def _joined(start: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join four or more short chunks in a row into one, as where a repeated word is a cut each time."""
+    short = stop - start < LEAST_CHUNK
+    head = np.ones(len(start), bool)
+    head[1:] = ~(short[1:] & short[:-1] & (row[1:] == row[:-1]))
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(start)))
+    inner = np.repeat(size >= 4, size)
+    return start[head | ~inner], stop[np.append(head[1:], True) | ~inner] if len(stop) else stop
+
+
 def _bits(digests: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     top = np.uint64(size - 1)
     return digests & top, mixed(digests) & top
