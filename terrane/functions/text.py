@@ -14,17 +14,17 @@ _EXPANSIONS = {"ß": "ss", "ĳ": "ij", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "
 
 
 def _fold_table() -> tuple[str, str]:
-    """Lower-case Latin letters with marks -> bare letter; combining marks -> nothing."""
-    source, target = [], []
-    blocks = (range(0x00AA, 0x0250), range(0x1E00, 0x1F00))
-    for code in (c for block in blocks for c in block):
+    """Lower-case letters of the basic plane with marks or a wide form -> bare letter; combining marks -> nothing."""
+    source, target, marks = [], [], []
+    for code in (c for c in range(0x00AA, 0x10000) if not 0xD800 <= c < 0xE000):
         char = chr(code)
-        bare = "".join(ch for ch in unicodedata.normalize("NFKD", char)
-                       if not unicodedata.combining(ch)).casefold()
-        if len(bare) == 1 and bare != char:
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        bare = "".join(ch for ch in unicodedata.normalize("NFKD", char) if not unicodedata.combining(ch)).casefold()
+        if len(bare) == 1 and bare != char and bare.isalnum():
             source.append(char)
             target.append(bare)
-    marks = [chr(c) for c in range(0x0300, 0x0370) if unicodedata.combining(chr(c))]
     return "".join(source + marks), "".join(target)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, strictly_inside
@@ -30,22 +30,27 @@ EXPORTED_SHAPES = ("POINT", "POLYGON", "MULTIPOLYGON")
 POI_QUALITY = "osm_completeness_unknown"
 
 
-def expand_extracts(items: list[str], known_countries: list[str] | None = None) -> list[str]:
-    """Configuration list to extract paths; `eu27` and `europe` expand, repeats drop."""
-    out: list[str] = []
-    for item in (i.strip() for i in items):
-        if not item:
-            continue
-        if "/" in item:
-            names = [item]
-        elif item.lower() == "eu27":
-            names = [f"europe/{n}" for n, c in EXTRACT_COUNTRY.items() if c in EU27]
-        elif item.lower() == "europe" and known_countries is not None:
-            names = [f"europe/{n}" for n, c in EXTRACT_COUNTRY.items() if c in known_countries]
-        else:
-            raise ValueError(f"unknown extract keyword: {item}")
-        out.extend(n for n in names if n not in out)
-    return out
+def extract_table(spark: SparkSession) -> DataFrame:
+    """`extract, country, pos`: every extract known by name."""
+    rows = [(f"europe/{name}", country, pos) for pos, (name, country) in enumerate(EXTRACT_COUNTRY.items())]
+    return spark.createDataFrame(rows, "extract string, country string, pos int")
+
+
+def requested_extracts(asked: DataFrame, extracts: DataFrame, countries: DataFrame) -> DataFrame:
+    """`extract, problem` for a request `(place, item)`: one row per extract, in the order of first mention.
+
+    An item with a slash is an extract itself. `eu27` stands for the extracts of the member states, `europe` for
+    those of `countries` (`country`). Other items come back with the problem `unknown_extract`.
+    """
+    items = asked.select("place", F.trim("item").alias("item")).where("item <> ''").withColumn("group", F.lower("item"))
+    members = extracts.where(F.col("country").isin(*EU27)).withColumn("group", F.lit("eu27")).unionByName(
+        extracts.join(countries.select("country").distinct(), "country", "left_semi").withColumn("group", F.lit("europe")))
+    plain = items.where(F.contains("item", F.lit("/"))).select("place", F.lit(0).alias("pos"), F.col("item").alias("extract"), F.lit(None).cast("string").alias("problem"))
+    grouped = items.join(members, "group").select("place", "pos", "extract", F.lit(None).cast("string").alias("problem"))
+    other = items.where(~F.contains("item", F.lit("/")) & ~F.col("group").isin("eu27", "europe")).select(
+        "place", F.lit(0).alias("pos"), F.col("item").alias("extract"), F.lit("unknown_extract").alias("problem"))
+    every = plain.unionByName(grouped).unionByName(other)
+    return every.groupBy("extract", "problem").agg(F.min(F.struct("place", "pos")).alias("at")).orderBy("at", "extract").select("extract", "problem")
 
 
 def extract_country(extract: Column) -> Column:

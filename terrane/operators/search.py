@@ -96,14 +96,13 @@ def search_all_then_any(queries: DataFrame, index: DataFrame, statistics: DataFr
     hits = ranked_hits(queries, index, statistics)
     complete = hits.groupBy("query_id").agg(F.max(F.col("matched") == F.col("terms")).alias("has_all"))
     chosen = hits.join(complete, "query_id").where(~F.col("has_all") | (F.col("matched") == F.col("terms")))
-    return top_hits(chosen.withColumn("partial", ~F.col("has_all")), min(limit, 25)).select(
+    return top_hits(chosen.withColumn("partial", ~F.col("has_all")), limit).select(
         "query_id", "place", "doc", "score", "partial")
 
 
 def search_any(queries: DataFrame, index: DataFrame, statistics: DataFrame, docs: DataFrame,
                source: str = "", limit: int = 10) -> DataFrame:
     """Documents with any term, of one source if given; an empty query lists all by key."""
-    limit = max(1, min(limit, 50))
     hits = ranked_hits(queries, index, statistics, singular=False)
     if source:
         hits = hits.join(docs.where(F.col("source") == source).select("doc"), "doc", "left_semi")

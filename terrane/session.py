@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 
@@ -27,7 +30,11 @@ SETTINGS = {
 
 def build_session(app: str = "terrane", master: str | None = None, **extra: str) -> SparkSession:
     """Session with the engine's settings; `extra` wins over them."""
-    builder = SparkSession.builder.appName(app)
+    # Python workers import the package from where the driver has it; on a cluster the folder must be there too, or
+    # the package be shipped with --py-files.
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.pathsep.join(dict.fromkeys([home, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
+    builder = SparkSession.builder.appName(app).config("spark.executorEnv.PYTHONPATH", paths)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
@@ -37,6 +44,22 @@ def build_session(app: str = "terrane", master: str | None = None, **extra: str)
     return spark
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders that `shared_dir` handed out; tables read from them are gone. Runs when the driver ends."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        release(spark)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's checkpoint folder.
 
@@ -49,7 +72,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_release_at_exit, spark)
+    _made.append(f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

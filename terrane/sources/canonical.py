@@ -95,7 +95,12 @@ def materialized_ids(spark: SparkSession, root: str) -> list[str]:
     return sorted(n.split("=", 1)[1] for n in names if n.startswith("indicator="))
 
 
+def drop_partition(spark: SparkSession, root: str, key: str, value: str) -> bool:
+    """Remove the partition `key=value`; True when it existed."""
+    fs, path = _folder(spark, f"{root.rstrip('/')}/{key}={value}")
+    return bool(fs.exists(path) and fs.delete(path, True))
+
+
 def drop_indicator(spark: SparkSession, root: str, indicator: str) -> bool:
     """Remove one partition; True when it existed."""
-    fs, path = _folder(spark, f"{root.rstrip('/')}/indicator={indicator}")
-    return bool(fs.exists(path) and fs.delete(path, True))
+    return drop_partition(spark, root, "indicator", indicator)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CUBE
 from ..session import broadcast_up_to
+from .canonical import drop_partition
 
 TAB = "\t"
 
@@ -54,17 +55,23 @@ def _flag(cell: Column) -> Column:
     return F.trim(F.when(F.instr(cell, " ") > 0, F.substr(cell, F.instr(cell, " ") + 1)).otherwise(""))
 
 
-def read_wide_cubes(spark: SparkSession, path: str) -> DataFrame:
-    """All wide files under `path`; the dataset is the file name before its first dot,
-    or the `dataset=` folder when there is one."""
-    text = spark.read.option("recursiveFileLookup", True).text(path)
-    file = F.col("_metadata.file_path")
+def file_dataset(file: Column) -> Column:
+    """Dataset of a wide file: its `dataset=` folder if there is one, else its name before the first dot."""
     folder = F.regexp_extract(file, r"dataset=([^/]+)/", 1)
     name = F.split_part(F.element_at(F.split(file, "/"), -1), F.lit("."), F.lit(1))
-    return parse_wide_lines(text.select(
-        file.alias("file"), F.when(folder != "", folder).otherwise(name).alias("dataset"),
-        F.col("value").alias("line"),
-    ), len(text.inputFiles()))
+    return F.when(folder != "", folder).otherwise(name)
+
+
+def read_wide_cubes(spark: SparkSession, path: str, datasets: list[str] | None = None) -> DataFrame:
+    """All wide files under `path`, or those of the named datasets.
+
+    The dataset follows from the path of a file, so files of other datasets are left out before they are opened.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    file = F.col("_metadata.file_path")
+    if datasets is not None:
+        text = text.where(file_dataset(file).isin(datasets))
+    return parse_wide_lines(text.select(file.alias("file"), file_dataset(file).alias("dataset"), F.col("value").alias("line")), len(text.inputFiles()))
 
 
 def to_wide(cube: DataFrame, dims: list[str], periods: list[str]) -> DataFrame:
@@ -81,8 +88,11 @@ def write_wide(wide: DataFrame, path: str) -> None:
         "escape", "").csv(path)
 
 
-def write_cube(cube: DataFrame, root: str) -> None:
-    """Replace the datasets present in `cube`; a large dataset is spread over tasks."""
+def write_cube(cube: DataFrame, root: str, datasets: list[str] | None = None) -> None:
+    """Replace the datasets present in `cube`; a large dataset is spread over tasks.
+
+    With `datasets`, the whole list of those replaced, the ones without rows in `cube` are dropped.
+    """
     (
         cube.select(*CUBE.names)
         .hint("rebalance", "dataset")
@@ -92,6 +102,10 @@ def write_cube(cube: DataFrame, root: str) -> None:
         .partitionBy("dataset")
         .parquet(root)
     )
+    if datasets:
+        full = {r[0] for r in cube.select("dataset").distinct().collect()}
+        for name in sorted(set(datasets) - full):
+            drop_partition(cube.sparkSession, root, "dataset", name)
 
 
 def read_cube(spark: SparkSession, root: str, datasets: list[str] | None = None) -> DataFrame:

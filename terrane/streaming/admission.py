@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +13,8 @@ from ..functions.text import client_label
 from ..operators.usage import BURST, BURST_SECONDS, MICROS, Meter, burst_bucket, daily_limit, micros
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Days before a client's newest whose totals stay in the state.
+DAYS_KEPT = 2
 OUTPUT = "call_id long, client string, verdict string"
 
 
@@ -24,24 +25,28 @@ class Admission(StatefulProcessor):
         self.burst, self.window = burst, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.today = handle.getValueState("today", "day date, used int")
+        self.days = handle.getMapState("days", "day date", "used int")
         self.recent = handle.getListState("recent", "us long, bucket string, weight int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows)).sort_values(["us", "call_id"])
-        meter, day = Meter(self.burst, self.window), None
-        if self.today.exists():
-            day, meter.used = self.today.get()
+        meter = Meter(self.burst, self.window)
         if self.recent.exists():
             for us, bucket, weight in self.recent.get():
                 meter.remember(us, bucket, weight)
+        # a late call counts to its own day and leaves the other days as they are
+        used = {day[0]: count[0] for day, count in self.days.iterator()} if self.days.exists() else {}
         verdicts = []
-        for us, today, bucket, weight, limit in zip(
+        for us, day, bucket, weight, limit in zip(
                 calls["us"], calls["day"], calls["bucket"], calls["weight"], calls["day_limit"], strict=True):
-            if today != day:
-                day, meter.used = today, 0
-            verdicts.append("admitted" if pd.isna(limit) else meter.decide(int(us), bucket, int(weight), int(limit)))
-        self.today.update((day if isinstance(day, date) else None, int(meter.used)))
+            meter.used = used.get(day, 0)
+            verdicts.append(meter.decide(int(us), bucket, int(weight), int(limit)))
+            used[day] = meter.used
+        for day, count in used.items():
+            if (max(used) - day).days <= DAYS_KEPT:
+                self.days.updateValue((day,), (int(count),))
+            else:
+                self.days.removeKey((day,))
         if meter.recent:
             self.recent.put([(int(u), b, int(w)) for u, b, w in meter.recent])
         else:
@@ -65,5 +70,7 @@ def admit_stream(calls: DataFrame, limits: dict[str, int] | None = None, burst:
         "call_id", label.alias("client"), F.to_date("ts").alias("day"), micros(F.col("ts")).alias("us"),
         burst_bucket(F.col("kind"), F.col("tier"), F.col("session"), label).alias("bucket"),
         F.col("weight").cast("int").alias("weight"), daily_limit(F.col("tier"), limits).alias("day_limit"))
-    return read.groupBy("client").transformWithStateInPandas(
+    limited = read.where("day_limit is not null").groupBy("client").transformWithStateInPandas(
         Admission(burst, seconds * MICROS), OUTPUT, "append", "none")
+    # calls without a limit need no state
+    return limited.unionByName(read.where("day_limit is null").select("call_id", "client", F.lit("admitted").alias("verdict")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.usage import instant, naive
 from ..session import shared_dir
-from ..sources.cubes import parse_wide_lines, write_cube
+from ..sources.cubes import file_dataset, read_wide_cubes, write_cube
 
 
 def daily_counter(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -68,23 +68,25 @@ def land_cubes(spark: SparkSession, landing: str, root: str, checkpoint: str,
     """Parse newly landed wide cube files and replace their datasets.
 
     The checkpoint remembers which files were taken, so a second run over the
-    same folder does nothing. `after` receives the long rows of each batch, for
-    instance to project indicators. A dataset is one file or one `dataset=`
-    folder; all its files must land together, since a batch replaces it whole.
+    same folder does nothing. A dataset is one file or one `dataset=` folder,
+    and its files may land in any number of batches: a batch tells which
+    datasets changed, and each is replaced by all its files in the landing
+    folder. `after` receives the long rows of these datasets, for instance to
+    project indicators.
     """
     lines = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).format("text").load(landing)
-    file = F.col("_metadata.file_path")
-    folder = F.regexp_extract(file, r"dataset=([^/]+)/", 1)
-    name = F.split_part(F.element_at(F.split(file, "/"), -1), F.lit("."), F.lit(1))
-    tagged = lines.select(file.alias("file"), F.when(folder != "", folder).otherwise(name).alias("dataset"), F.col("value").alias("line"))
+    touched = lines.select(file_dataset(F.col("_metadata.file_path")).alias("dataset"))
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        cube = parse_wide_lines(batch, files_per_batch)
-        write_cube(cube, root)
+        names = sorted(r[0] for r in batch.distinct().collect())  # at most one name per file of the batch
+        if not names:
+            return
+        cube = read_wide_cubes(spark, landing, names)
+        write_cube(cube, root, names)
         if after is not None:
             after(cube)
 
-    tagged.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(
+    touched.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start().awaitTermination()
 
 

@@ -16,15 +16,19 @@ from ..sources.jsonstat import explode_jsonstat, explode_structure
 from .base import query, table, view
 from .shapes import CUBE_DIMS, DATASET, cube, cube_columns, zones
 
-YEARS = [str(y) for y in range(1995, 2002)]
+
+def periods(rows):
+    """All periods of a cube, as columns of a wide file: configuration-sized."""
+    return [r[0] for r in rows.select("time").distinct().orderBy("time").collect()]
 
 
 @query("wide_cube_roundtrip", "cube", sql="""
-SELECT freq, unit, geo, time, value, flag FROM cube WHERE freq = 'A'""")
+SELECT freq, unit, geo, time, value, flag FROM cube""")
 def wide_roundtrip(spark, sf):
-    """Annual series to wide text files, back to long rows, into the native store and out."""
+    """All series to wide text files, back to long rows, into the native store and out."""
     root = shared_dir(spark, "cubes")
-    wide = to_wide(cube_columns(spark, sf).where("freq = 'A'"), CUBE_DIMS, YEARS)
+    rows = cube_columns(spark, sf)
+    wide = to_wide(rows, CUBE_DIMS, periods(rows))
     write_wide(wide, f"{root}/landing/dataset={DATASET}")
     write_cube(read_wide_cubes(spark, f"{root}/landing"), f"{root}/store")
     return spread_dims(read_cube(spark, f"{root}/store", [DATASET]), CUBE_DIMS).drop("dataset")
@@ -37,7 +41,7 @@ def ingest_delta(spark, sf):
     """One wide dataset per region; the one whose signal is known already is skipped."""
     root = shared_dir(spark, "ingest")
     rows = cube_columns(spark, sf).where("freq = 'A' AND unit = 'CNT' AND length(geo) = 3")
-    named = to_wide(rows, CUBE_DIMS, YEARS)
+    named = to_wide(rows, CUBE_DIMS, periods(rows))
     key = F.col(f"`{named.columns[0]}`")
     dataset = F.concat(F.lit("orders_"), F.left(F.split_part(key, F.lit(","), F.lit(3)), F.lit(2)))
     named.withColumn("dataset", dataset).write.partitionBy("dataset").option("sep", "\t").option("header", True).option(

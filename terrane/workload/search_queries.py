@@ -19,11 +19,8 @@ view("tok", sql=f"SELECT doc, w FROM (SELECT doc_id AS doc, unnest({_WORDS.forma
 view("idx", "tok", sql="SELECT w AS term, doc, count(*) AS tf FROM tok GROUP BY ALL")
 view("lens", "tok", sql="SELECT doc, count(*) AS length FROM tok GROUP BY doc")
 view("btok", sql=f"SELECT item_id AS query_id, w FROM (SELECT item_id, unnest({_WORDS.format(c='text')}) AS w FROM benchmark) WHERE w <> ''")
-# A query is the three longest distinct words of a passage.
-view("qwords", "btok", sql="""
-SELECT query_id, w FROM (SELECT query_id, w, row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) AS rn
-  FROM (SELECT DISTINCT query_id, w FROM btok)) WHERE rn <= 3
-""")
+# A query is a whole passage.
+view("qwords", "btok", sql="SELECT DISTINCT query_id, w FROM btok")
 view("qterms", "qwords", sql=f"SELECT DISTINCT query_id, {_STEM} AS q_term FROM qwords")
 
 
@@ -76,11 +73,8 @@ def indexed(spark, sf):
 
 
 def passages(spark, sf):
-    """Three longest distinct words of each benchmark passage, as a query text."""
-    words = F.array_distinct(tokens(F.col("text")))
-    ranked = F.sort_array(F.transform(words, lambda w: F.named_struct(F.lit("n"), -F.length(w), F.lit("w"), w)))
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(ranked, 1, 3), lambda r: r["w"]), " ").alias("query"))
+    """Each benchmark passage as a query text."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("term_statistics", "idx", sql="SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM idx GROUP BY term")

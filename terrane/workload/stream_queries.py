@@ -8,7 +8,7 @@ from ..sources.cubes import read_cube, spread_dims, to_wide, write_wide
 from ..streaming.admission import ROCKSDB, admit_stream
 from ..streaming.jobs import call_rollup, daily_counter, land_cubes, latest_of, run_to_table, stream_folder, upsert_to_table
 from .base import query, table
-from .cube_queries import YEARS
+from .cube_queries import periods
 from .shapes import CUBE_DIMS, DATASET, calls, cube_columns
 from .usage_queries import ADMISSION_SQL, ADMISSION, admission_calls
 
@@ -39,16 +39,27 @@ def usage_rollup_stream(spark, sf):
         F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tool", "status", "calls", "total_ms", "max_ms")
 
 
-@query("landing_stream", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube WHERE freq = 'A'")
+@query("landing_stream", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube")
 def landing_stream(spark, sf):
     """Land wide files, run twice; the second run finds nothing new."""
     out, checkpoint = stream_folder(spark, "landing")
-    write_wide(to_wide(cube_columns(spark, sf).where("freq = 'A'"), CUBE_DIMS, YEARS), f"{out}/files/dataset={DATASET}")
+    rows = cube_columns(spark, sf)
+    write_wide(to_wide(rows, CUBE_DIMS, periods(rows)), f"{out}/files/dataset={DATASET}")
     for _ in range(2):
         land_cubes(spark, f"{out}/files", f"{out}/store", checkpoint)
     return spread_dims(read_cube(spark, f"{out}/store"), CUBE_DIMS).drop("dataset")
 
 
+@query("landing_stream_split", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube")
+def landing_stream_split(spark, sf):
+    """One dataset in several files that land one per batch."""
+    out, checkpoint = stream_folder(spark, "landing")
+    rows = cube_columns(spark, sf)
+    write_wide(to_wide(rows, CUBE_DIMS, periods(rows)).repartition(3), f"{out}/files/dataset={DATASET}")
+    land_cubes(spark, f"{out}/files", f"{out}/store", checkpoint, files_per_batch=1)
+    return spread_dims(read_cube(spark, f"{out}/store"), CUBE_DIMS).drop("dataset")
+
+
 @query("admission_stream", "calls", sql=ADMISSION_SQL)
 def admission_stream(spark, sf):
     """The verdicts of `admission_control`, from keyed state."""

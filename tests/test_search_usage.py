@@ -68,6 +68,8 @@ def test_folding(spark):
     rows = spark.createDataFrame([("Île-de-FRANCE Straße Ærø",)], "t string")
     assert rows.select(fold(F.col("t")).alias("f")).first().f == "ile-de-france strasse ærø"
     assert rows.select(tokens(F.col("t")).alias("w")).first().w == ["ile", "de", "france", "strasse", "ærø"]
+    other = spark.createDataFrame([("Αθήνα Йошкар ＡＢＣ１",)], "t string")
+    assert other.select(fold(F.col("t")).alias("f")).first().f == "αθηνα иошкар abc1"
 
 
 def test_closest(spark):
@@ -197,6 +199,47 @@ def test_stream_admission_over_several_batches(spark):
     assert got == sequential(rows, how["limits"], 3, 3600)
 
 
+def test_stream_admission_keeps_the_day_after_a_late_call(spark):
+    """Two calls fill today; a late call of yesterday counts to yesterday; today stays full. Unlimited calls pass by."""
+    day = 86_400
+    rows = [(day, *ANON, 1), (day + 100, *ANON, 1), (100, *ANON, 1), (day + 200, *ANON, 1), (day + 300, *ANON, 1), (day, "key", "p", "pro", "", 1)]
+    frame, root = calls(spark, rows), shared_dir(spark, "test")
+    for low, high in ((0, 2), (2, 3), (3, 6)):
+        frame.where((F.col("call_id") >= low) & (F.col("call_id") < high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    run_to_table(admit_stream(stream, limits={"anon": 2}, burst=50), f"{root}/out", f"{root}/checkpoint")
+    spark.conf.set(key, before)
+    got = [r.verdict for r in spark.read.parquet(f"{root}/out").orderBy("call_id").collect()]
+    assert got == ["admitted", "admitted", "admitted", "daily", "daily", "admitted"]
+
+
+def test_landing_a_dataset_in_several_batches(spark):
+    root = shared_dir(spark, "test")
+    lines = [("freq,geo\\TIME_PERIOD\t2020",), ("A,AA\t1",)], [("freq,geo\\TIME_PERIOD\t2020",), ("A,BB\t2",)]
+    for part in lines:
+        spark.createDataFrame(part, "value string").coalesce(1).write.mode("append").text(f"{root}/in/dataset=d1")
+    spark.createDataFrame(lines[0], "value string").coalesce(1).write.text(f"{root}/in/dataset=d2")
+    land_cubes(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint", files_per_batch=1)
+    read = lambda: sorted((r.dataset, r.dims["geo"], r.value) for r in read_cube(spark, f"{root}/store").collect())
+    assert read() == [("d1", "AA", 1.0), ("d1", "BB", 2.0), ("d2", "AA", 1.0)]
+    empty = spark.createDataFrame([lines[0][0], ("A,AA\t:",)], "value string").coalesce(1)
+    empty.write.mode("overwrite").text(f"{root}/in/dataset=d2")
+    land_cubes(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint")
+    assert read() == [("d1", "AA", 1.0), ("d1", "BB", 2.0)]  # a dataset without values goes
+
+
+def test_limit_alone_decides(spark):
+    docs = spark.createDataFrame([(k, "same word") for k in range(60)], "doc int, text string").withColumn("source", F.lit("s"))
+    index = build_index(docs, "text")
+    asked = spark.createDataFrame([(1, "word")], "query_id int, query string")
+    statistics = corpus_statistics(index, docs)
+    assert search_all_then_any(asked, index, statistics, limit=60).count() == 60
+    assert search_any(asked, index, statistics, docs, limit=55).count() == 55
+
+
 def test_trailing_load_equals_counting(spark):
     rnd = random.Random(1)
     rows = [(rnd.randrange(0, 400), "ip", rnd.choice("ab"), "anon", "", rnd.choice([1, 2])) for _ in range(200)] + [(60, "ip", "c", "anon", "", 1), (120, "ip", "c", "anon", "", 1)]

@@ -11,7 +11,7 @@ from terrane.functions.geometry import bbox, bbox_intersects, box_geometry, cent
 from terrane.functions.rasters import feed_of, pick_variable, sampled_steps, unit_offset
 from terrane.operators.coverage import Grid, grid_coverage
 from terrane.operators.incremental import freshness_delta, merge_years, run_report, year_delta
-from terrane.operators.poi import expand_extracts, points_in_zones, tag_expressions, tag_pairs, zone_index
+from terrane.operators.poi import extract_table, points_in_zones, requested_extracts, tag_expressions, tag_pairs, zone_index
 from terrane.operators.zonal import covered_cells, crop, weighted_median, zonal_statistics
 from terrane.plans.spatial import count_poi, write_zonal, zonal_indicator
 from terrane.schemas import GEOMETRY, POI
@@ -76,12 +76,17 @@ def test_expressions(make_specs):
     assert tag_pairs(make_specs(HOSPITALS)).count() == 1
 
 
-def test_extract_keywords():
-    got = expand_extracts(["eu27", "europe/switzerland", "europe/belgium"])
-    assert len(got) == len(set(got)) == 28 and "europe/norway" not in got
-    assert "europe/norway" in expand_extracts(["europe"], ["NO", "FR"])
-    with pytest.raises(ValueError):
-        expand_extracts(["atlantis"])
+def test_requested_extracts(spark):
+    def asked(*items, countries=()):
+        rows = spark.createDataFrame(list(enumerate(items)), "place int, item string")
+        known = spark.createDataFrame([(c,) for c in countries], "country string")
+        return [(r.extract, r.problem) for r in requested_extracts(rows, extract_table(spark), known).collect()]
+
+    union = asked("asia/japan", " EU27 ", "europe/switzerland", "europe/belgium", "")
+    assert union[0] == ("asia/japan", None) and union[-1] == ("europe/switzerland", None)
+    assert len(union) == 29 and ("europe/norway", None) not in union
+    assert asked("Europe", countries=["NO", "MT"]) == [("europe/malta", None), ("europe/norway", None)]
+    assert asked("atlantis", "europe") == [("atlantis", "unknown_extract")]
 
 
 def star(seed, cx, cy, points=9):
