@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.periods import in_window
 from ..operators.incremental import freshness_delta
 from ..operators.lookup import codes_filter
-from ..operators.projection import project_indicators
+from ..operators.projection import missing_dimensions, project_indicators
 from ..operators.reports import bounded
 from ..schemas import MAX_ROWS
+from ..session import cut_lineage
 from ..sources.canonical import canonical_rows, write_canonical
-from ..sources.cubes import read_cube, read_wide_cubes, write_cube
+from ..sources.cubes import file_dataset, read_cube, read_wide_cubes, write_cube
+from ..sources.files import upsert_state
 
 
 def ingest_cubes(spark: SparkSession, landing: str, root: str, remote: DataFrame, state: DataFrame,
@@ -25,15 +27,56 @@ def ingest_cubes(spark: SparkSession, landing: str, root: str, remote: DataFrame
     only due datasets are parsed and replaced.
     """
     delta = freshness_delta(remote, state, full)
-    due = delta.where(F.col("status") != "unchanged").select(F.col("key").alias("dataset"))
-    write_cube(read_wide_cubes(spark, landing).join(due, "dataset", "left_semi"), root)
+    # the list of due datasets is configuration-sized; it prunes the files before they are opened
+    due = sorted(r[0] for r in delta.where(F.col("status") != "unchanged").select("key").collect())
+    if due:
+        write_cube(read_wide_cubes(spark, landing, due), root, due)
     return delta
 
 
+def sync_cubes(spark: SparkSession, landing: str, root: str, remote: DataFrame, state: DataFrame, source: str,
+               now: datetime, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One run of the cube sync: `source, key, status, reason, rows` per dataset, and the state after it.
+
+    A due dataset is `updated` with the rows it has now (else 0), or `failed` when nothing landed for it; then its old rows
+    and its old state stay, so the next run tries again. A second run with the same signals updates nothing.
+    """
+    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(landing).select("path")
+    landed = files.select(file_dataset(F.col("path")).alias("key")).distinct().withColumn("landed", F.lit(True))
+    known = state.where(F.col("source") == source).select("key", "value")
+    # the delta is read again after the store has changed, so it is kept
+    delta = cut_lineage(freshness_delta(remote, known, full).join(landed, "key", "left").fillna(False, ["landed"]))
+    ready = delta.where("landed")
+    ingest_cubes(spark, landing, root, ready.select("key", "signal"), known, full)
+    due = F.col("status") != "unchanged"
+    names = sorted(r[0] for r in delta.where(due & F.col("landed")).select("key").collect())
+    counts = read_cube(spark, root, names).groupBy(F.col("dataset").alias("key")).agg(F.count("*").alias("n")) if names else None
+    counted = delta.join(counts, "key", "left") if names else delta.withColumn("n", F.lit(None).cast("long"))
+    updated = due & F.col("landed")
+    outcomes = counted.select(
+        F.lit(source).alias("source"), "key", F.when(updated, "updated").when(due, "failed").otherwise("unchanged").alias("status"),
+        F.when(due & ~F.col("landed"), "no_file").alias("reason"), F.when(updated, F.coalesce("n", F.lit(0))).otherwise(0).alias("rows"))
+    fresh = delta.where(updated).select(F.lit(source).alias("source"), "key", F.col("signal").alias("value"),
+                                        F.lit(now).cast("timestamp_ntz").alias("updated_at"))
+    return outcomes, upsert_state(state, fresh)
+
+
+def spec_problems(cube: DataFrame, specs: DataFrame) -> DataFrame:
+    """`indicator, dataset, dim`: dimensions that specs ask of datasets which are there but lack them."""
+    dims = cube.select("dataset", F.explode(F.map_keys("dims")).alias("dim")).distinct()
+    return missing_dimensions(dims, specs).join(dims.select("dataset").distinct(), "dataset", "left_semi").select("indicator", "dataset", "dim")
+
+
 def project_all(cube: DataFrame, specs: DataFrame, zones: DataFrame, changes: DataFrame | None, root: str,
                 source_dates: DataFrame | None = None, ingested_at: datetime | None = None) -> int:
-    """Re-materialise every cube spec in one job; returns the rows written."""
-    ids = [r.id for r in specs.where(F.col("extraction.dataset").isNotNull()).select("id").collect()]
+    """Re-materialise every cube spec in one job; returns the rows written.
+
+    Specs that ask for a dimension their dataset lacks are left out (`spec_problems` lists them), so a misspelt filter
+    does not empty an indicator.
+    """
+    wrong = {r[0] for r in spec_problems(cube, specs).select("indicator").distinct().collect()}
+    ids = [r.id for r in specs.where(F.col("extraction.dataset").isNotNull()).select("id").collect() if r.id not in wrong]
+    specs = specs.where(F.col("id").isin(ids))
     rows = project_indicators(cube, specs, zones, changes, source_dates)
     full = canonical_rows(rows, F.col("indicator"), F.col("unit"), F.col("source"), F.col("source_date"), ingested_at)
     return write_canonical(full, root, ids)

@@ -74,8 +74,11 @@ def read_canonical(spark: SparkSession, root: str, indicators: list[str] | None
     """Canonical rows; an indicator list becomes a partition filter.
 
     The schema is given, so a missing column of an older partition reads as
-    null and no file footer is merged.
+    null and no file footer is merged. A store that does not exist yet is empty.
     """
+    fs, path = _folder(spark, root)
+    if not fs.exists(path):
+        return spark.createDataFrame([], CANONICAL)
     df = spark.read.schema(CANONICAL).option("basePath", root).parquet(root).select(*CANONICAL.names)
     return df if indicators is None else df.where(F.col("indicator").isin(indicators))
 

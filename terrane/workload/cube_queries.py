@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.incremental import freshness_delta
 from ..operators.lookup import codes_filter, list_codes, structure_summary, unknown_codes
 from ..operators.projection import missing_dimensions
-from ..plans.cubes import ingest_cubes, query_cube
-from ..session import shared_dir
+from ..plans.cubes import ingest_cubes, query_cube, sync_cubes
+from ..session import cut_lineage, shared_dir
 from ..sources.cubes import read_cube, read_wide_cubes, spread_dims, to_wide, write_cube, write_wide
 from ..sources.files import catalogue_from_lines, catalogue_period, upsert_state
 from ..sources.jsonstat import explode_jsonstat, explode_structure
@@ -53,6 +55,33 @@ def ingest_delta(spark, sf):
     return spread_dims(read_cube(spark, f"{root}/store"), ["geo"]).select("dataset", "geo", "time", "value")
 
 
+view("syncable", "cube", "zones", sql="""
+SELECT 'orders_' || geo_code AS key, (SELECT count(*) FROM cube WHERE left(geo, 2) = geo_code) AS n FROM zones WHERE level = 'NUTS0'""")
+
+
+@query("cube_sync_twice", "syncable", sql="""
+SELECT 1 AS run, key, CASE key WHEN 'orders_R0' THEN 'unchanged' ELSE 'updated' END AS status, CAST(NULL AS VARCHAR) AS reason,
+       CASE key WHEN 'orders_R0' THEN 0 ELSE n END AS rows FROM syncable
+UNION ALL SELECT 2, key, 'unchanged', NULL, 0 FROM syncable
+UNION ALL SELECT run, 'orders_none', 'failed', 'no_file', 0 FROM (VALUES (1), (2)) r(run)""")
+def sync_twice(spark, sf):
+    """One dataset per region, one known already and one that never lands; the second run finds nothing to do."""
+    root = shared_dir(spark, "sync")
+    rows = cube_columns(spark, sf)
+    named = to_wide(rows, CUBE_DIMS, periods(rows))
+    key = F.col(f"`{named.columns[0]}`")
+    named.withColumn("dataset", F.concat(F.lit("orders_"), F.left(F.split_part(key, F.lit(","), F.lit(3)), F.lit(2)))).write.partitionBy(
+        "dataset").option("sep", "\t").option("header", True).option("quote", "").option("escape", "").csv(f"{root}/landing")
+    remote = zones(spark, sf).where("level = 'NUTS0'").select(F.concat(F.lit("orders_"), "geo_code").alias("key")).unionByName(
+        spark.createDataFrame([("orders_none",)], "key string")).withColumn("signal", F.lit("2001-08-02"))
+    state = remote.where("key = 'orders_R0'").select(
+        F.lit("cube").alias("source"), "key", F.col("signal").alias("value"), F.lit(datetime(2001, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
+    first, state = sync_cubes(spark, f"{root}/landing", f"{root}/store", remote, state, "cube", datetime(2001, 8, 2))
+    first, state = cut_lineage(first), cut_lineage(state)
+    second, _ = sync_cubes(spark, f"{root}/landing", f"{root}/store", remote, state, "cube", datetime(2001, 8, 3))
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).select("run", "key", "status", "reason", "rows")
+
+
 _QUERY_SQL = """
 SELECT freq, unit, geo, time, value, flag, n > 400 AS truncated FROM (
   SELECT *, row_number() OVER (ORDER BY time, freq, unit, geo) AS rn, count(*) OVER () AS n FROM cube

@@ -179,3 +179,26 @@ def test_state_keeps_the_latest(spark):
 
     got = upsert_state(state(("osm", "k", "1", "2026-01-01"), ("osm", "z", "1", "2026-01-01")), state(("osm", "k", None, "2026-01-02")))
     assert {(r.key, r.value) for r in got.collect()} == {("k", None), ("z", "1")}
+
+
+def test_misspelt_filter_leaves_the_indicator(spark, make_specs, zones):
+    from terrane.plans.cubes import project_all, spec_problems
+    from terrane.schemas import CUBE
+    from terrane.session import shared_dir
+    from terrane.sources.canonical import read_canonical
+
+    root = f"{shared_dir(spark, 'test')}/store"
+    cube = spark.createDataFrame([("d", {"freq": "A", "geo": "FR"}, "2020", 1.0, "")], CUBE)
+    spec = dict(id="x", source="eurostat", frequency="A", levels=["NUTS0"], dataset="d", value_dim="geo")
+    right, wrong = make_specs(dict(spec, filters={"freq": "A"})), make_specs(dict(spec, filters={"frq": "A"}))
+    assert project_all(cube, right, zones, None, root) == 1
+    assert [tuple(r) for r in spec_problems(cube, wrong).collect()] == [("x", "d", "frq")]
+    assert project_all(cube, wrong, zones, None, root) == 0
+    assert read_canonical(spark, root).count() == 1
+
+
+def test_canonical_store_that_is_not_there_yet(spark):
+    from terrane.session import shared_dir
+    from terrane.sources.canonical import read_canonical
+
+    assert read_canonical(spark, f"{shared_dir(spark, 'test')}/none").count() == 0
