@@ -1,8 +1,8 @@
 """SimHash near duplicates by bit-sliced comparison of fingerprints.
 
-Equal fingerprints merge first, so a group of copies is one row. Two fingerprints with at most three differing bits
-out of 64, cut into five bands, agree on at least two bands: each fingerprint goes to the ten buckets that its pairs
-of bands name. Within a bucket fingerprints are compared in blocks of 64: a block stores one machine word per bit
+Equal fingerprints merge first, so a group of copies is one row. Two fingerprints with at most r differing bits out of
+64, cut into r + 2 bands, agree on at least two bands: each fingerprint goes to the buckets that its pairs of bands
+name, ten for three bits. Within a bucket fingerprints are compared in blocks of 64: a block stores one machine word per bit
 position (the bit planes), a query word is compared with all 64 at once, and the distances are kept in carry-save
 counters, one bit of every counter per word. After each eight planes the blocks whose counters are all beyond the
 radius are left out. Buckets with more rows than a bound are cut into parts by hash, and every pair of parts is
@@ -24,12 +24,13 @@ from pyspark.sql import types as T
 from terrane.session import cut_lineage
 
 from .components import components
+from .tokens import in_arrow
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Widths of the bands, from the highest bit down.
-BANDS = (13, 13, 13, 13, 12)
+#: Bands that cut the 64 bits for each radius. Two bands more than the radius leave two whole whichever bits differ.
+BANDS = {radius: radius + 2 for radius in range(7)}
 #: Rows of a bucket that one task compares with each other; larger buckets are cut into parts.
 PART_ROWS = 1024
 _ONES = np.uint64(2**64 - 1)
@@ -65,27 +66,28 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, se
             prints = np.fromiter((fingerprint(v.as_py() or b"", shingle, seed) for v in batch.column(len(names))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*names, "_fp"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
-def buckets(prints: DataFrame) -> DataFrame:
-    """The ten buckets of each distinct fingerprint: `pair` of bands, their bits as `key`."""
-    fp, low, parts = F.col("fp"), 64, []
-    for width in BANDS:
+def buckets(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The buckets of each distinct fingerprint: `pair` of bands, their bits as `key`; ten for radius 3, 28 for 6."""
+    count, fp, low, parts = BANDS[radius], F.col("fp"), 64, []
+    widths = [64 // count + (k < 64 % count) for k in range(count)]
+    for width in widths:
         low -= width
         parts.append(F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1))
-    rows = [F.struct(F.lit(n).alias("pair"), (F.shiftleft(parts[i], BANDS[j]) + parts[j]).alias("key"))
-            for n, (i, j) in enumerate(combinations(range(len(BANDS)), 2))]
+    rows = [F.struct(F.lit(n).alias("pair"), (F.shiftleft(parts[i], widths[j]) + parts[j]).alias("key"))
+            for n, (i, j) in enumerate(combinations(range(count), 2))]
     return prints.select("fp", F.explode(F.array(*rows)).alias("b")).select("fp", "b.pair", "b.key")
 
 
-def compared(prints: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def compared(prints: DataFrame, part_rows: int = PART_ROWS, radius: int = RADIUS) -> DataFrame:
     """Rows (pair, key, left, right, side, fp) such that the rows of one (pair, key, left, right) need comparing.
 
     A bucket within the bound is one cell (0, 0). A larger one has its rows dealt to parts by hash, and the cell of
     each pair of parts gets the rows of both, marked by `side`.
     """
-    rows = cut_lineage(buckets(prints))
+    rows = cut_lineage(buckets(prints, radius))
     sizes = rows.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = cut_lineage(sizes.select("pair", "key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")))
     dealt = rows.join(sizes, ["pair", "key"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -197,10 +199,10 @@ def _merged(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
-    """(a, b): links between the distinct fingerprints `fp` that join all within `radius` bits, at most 3."""
-    if not 0 <= radius <= 3:
-        raise ValueError("five bands find every pair up to three bits")
-    rows = compared(prints, part_rows)
+    """(a, b): links between the distinct fingerprints `fp` that join all within `radius` bits, at most 6."""
+    if radius not in BANDS:
+        raise ValueError(f"radius must be 0 to {max(BANDS)}")
+    rows = compared(prints, part_rows, radius)
     cell = ["pair", "key", "left", "right"]
     rows = rows.repartition(*cell).sortWithinPartitions(*cell, "side", "fp")
 
@@ -236,7 +238,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, part_rows: int = PART_RO
         if kept is not None and kept.num_rows:
             yield from finish(kept)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(in_arrow, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE,

@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     group = {k: k for k in prints}
     for k in sorted(prints):
         for j in prints:
-            if (prints[k] ^ prints[j]).bit_count() <= 3:
+            if (prints[k] ^ prints[j]).bit_count() <= corpus_pipeline.NEAR_RADIUS:
                 low, high = sorted((group[k], group[j]))
                 group = {i: low if g == high else g for i, g in group.items()}
     assert {r.doc_id for r in after} == set(group.values())

@@ -67,12 +67,12 @@ def test_distances_by_planes():
 
 
 def test_links_against_all_pairs(spark):
-    for part_rows in (1024, 8):  # the second cuts buckets into parts
+    for part_rows, radius in ((1024, 3), (8, 3), (1024, 6), (8, 6), (1024, 0)):  # small parts cut the buckets
         prints = near_prints(part_rows)
         frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.near_links(frame, part_rows=part_rows).collect()]
-        pairs = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= 3]
-        assert pairs and roots(prints, links) == roots(prints, pairs)
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.near_links(frame, radius, part_rows).collect()]
+        pairs = [(a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= radius]
+        assert (pairs or not radius) and roots(prints, links) == roots(prints, pairs)
 
 
 def test_components(spark):
