@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import buffers, mixed, pieces, words
+from .tokens import buffers, in_arrow, mixed, pieces, words
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
@@ -191,7 +191,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         return run
 
     blocks = [sc.broadcast(suffixes(n, t, window)) for n, t in _blocks(benchmark, item_id, item_text, block_words)]
-    return docs.mapInArrow(mapper(blocks or [sc.broadcast(suffixes([], [], window))]), schema)
+    return docs.transform(in_arrow, mapper(blocks or [sc.broadcast(suffixes([], [], window))]), schema)
 
 
 def _united(x: list[list[int]], y: list[list[int]]) -> list[list[int]]:

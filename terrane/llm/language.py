@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import buffers, mixed, pieces
+from .tokens import buffers, in_arrow, mixed, pieces
 
 #: Buckets of n-grams; orders of n-grams in characters; added count.
 BUCKETS = 1 << 14
@@ -94,7 +94,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             bucket, n = np.append(used, -1).astype(np.int32), np.append(table[used], texts[name]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(bucket)), pa.array(bucket), pa.array(n)], ["lang", "bucket", "n"])
 
-    return rows.select("text", "lang").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.select("text", "lang").transform(in_arrow, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train: Column | None = None) -> Model:
@@ -132,4 +132,4 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = shared.value.predict(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.transform(in_arrow, run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from terrane.session import cut_lineage
 
-from .tokens import BLANK, buffers, mixed, pieces, prefix_sums, row_sums, runs, span_codes
+from .tokens import BLANK, buffers, in_arrow, mixed, pieces, prefix_sums, row_sums, runs, span_codes
 
 #: Words of a window that must not come twice.
 WINDOW = 8
@@ -88,7 +88,7 @@ def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             arrays = [pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_arrow, run, schema)
 
 
 def measures() -> dict[str, Column]:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from terrane.session import cut_lineage
 
-from .tokens import Runs, buffers, mixed, pieces, prefix_sums, span_codes, words
+from .tokens import Runs, buffers, in_arrow, mixed, pieces, prefix_sums, span_codes, words
 
 #: One word in so many ends a chunk.
 CHUNK_WORDS = 6
@@ -101,7 +101,7 @@ def repeated_digests(texts: DataFrame) -> DataFrame:
             d, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(n.astype(np.int32))], ["d", "n"])
 
-    return texts.mapInArrow(run, "d long, n int").groupBy("d").agg(F.sum("n").alias("n")).filter("n > 1").select("d")
+    return texts.transform(in_arrow, run, "d long, n int").groupBy("d").agg(F.sum("n").alias("n")).filter("n > 1").select("d")
 
 
 def bitmap(digests: DataFrame, n: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def bitmap(digests: DataFrame, n: int) -> np.ndarray:
         used = np.flatnonzero(part)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(part[used].view(np.int64))], ["w", "bits"])
 
-    merged = digests.mapInArrow(run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    merged = digests.transform(in_arrow, run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(size // 64, np.uint64)
     out[merged.w.to_numpy()] = merged.bits.to_numpy().view(np.uint64)
     return out
@@ -167,7 +167,7 @@ def candidate_chunks(keyed: DataFrame, bits) -> DataFrame:
                     pa.array((start - found.first[row]).astype(np.int32)), pa.array((stop - start).astype(np.int32)),
                     *map(pa.array, _around(found, start, row, -1)), *map(pa.array, _around(found, stop, row, 1))], schema.names)
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.transform(in_arrow, run, schema)
 
 
 def _agreeing(pairs: list[tuple[str, str]]) -> Column:
@@ -264,7 +264,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()),
                                               pa.array(removed, pa.int64()), pa.array(spans, span)], [f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.transform(in_arrow, run, T.StructType(fields))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = "n_chars",

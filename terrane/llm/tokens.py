@@ -7,11 +7,16 @@ with a chance of about 2^-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+#: Bytes of one Arrow batch, unless the session asks for another bound than Spark's 64 MB.
+BATCH_BYTES = 4 << 20
 
 #: Bytes that part words in most contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.zeros(256, bool)
@@ -28,6 +33,14 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def in_arrow(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """`rows.mapInArrow`, with batches bounded by bytes, so that long texts don't add up in a worker."""
+    spark, key = rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import buffers, pieces, words
+from .tokens import buffers, in_arrow, pieces, words
 
 #: Hash buckets of words, and how many of them the model may use at most.
 BUCKETS = 1 << 18
@@ -98,7 +98,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             n1, n0 = (np.append(counts[k][used], (y == k).sum()).astype(np.int64) for k in (1, 0))
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n1), pa.array(n0)], ["bucket", "n1", "n0"])
 
-    return rows.select("text", "y").mapInArrow(run, "bucket int, n1 long, n0 long").groupBy("bucket").agg(
+    return rows.select("text", "y").transform(in_arrow, run, "bucket int, n1 long, n0 long").groupBy("bucket").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 sets += np.split(feature, np.searchsorted(row, np.arange(1, high - low)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tolist() for s in sets], pa.list_(pa.int32()))], ["hash", "y", "features"])
 
-    sample = rows.select(F.xxhash64(F.lit("fit"), "id").alias("hash"), "text", "y").mapInArrow(
+    sample = rows.select(F.xxhash64(F.lit("fit"), "id").alias("hash"), "text", "y").transform(in_arrow, 
         run, "hash long, y int, features array<int>").orderBy("hash", "y", "features").limit(sample_rows).toPandas()
     sets = [np.array(s, np.int64) for s in sample.features]
     swaps = [(int(place[a]), int(place[b])) for s in sets for terms in kinds.values() if len(terms) > 1
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "_score
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column(place)))], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.transform(in_arrow, run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, train: Column | None = None, threshold: float = THRESHOLD, **settings) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 from terrane.session import cut_lineage
 
+from .tokens import in_arrow
+
 #: A text is template if at least so many different pages of a host, and this share of them, have it in one slot.
 LEAST_PAGES = 4
 TEMPLATE_SHARE = 0.5
@@ -299,7 +301,7 @@ def frames(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shaped(parse(p or "")) for p in batch.column(2).to_pylist()])], ["host", "h", "shape"])
 
-    rows = pages.select("host", F.xxhash64("url", "html").alias("h"), "html").mapInArrow(run, "host string, h long, shape string")
+    rows = pages.select("host", F.xxhash64("url", "html").alias("h"), "html").transform(in_arrow, run, "host string, h long, shape string")
     return rows.groupBy("host").agg(F.min(F.struct("h", "shape")).alias("m")).select("host", "m.shape")
 
 
@@ -323,7 +325,7 @@ def templates(pages: DataFrame, models: DataFrame, least_pages: int = LEAST_PAGE
                     of.append(whole)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(texts, pa.int64()), pa.array(of, pa.int64())], ["host", "slot", "text", "page"])
 
-    rows = _with_models(pages.select("host", "html"), models, F.length("shape")).mapInArrow(run, "host string, slot int, text long, page long")
+    rows = _with_models(pages.select("host", "html"), models, F.length("shape")).transform(in_arrow, run, "host string, slot int, text long, page long")
     counts = cut_lineage(rows.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n")))
     pages_of = counts.filter("slot = -2").select(F.col("host").alias("of"), F.col("n").alias("pages"))
     constant = counts.filter(F.col("n") >= least_pages).filter("slot >= 0").join(pages_of, F.col("host") == F.col("of")).filter(F.col("n") >= share * F.col("pages"))
@@ -364,5 +366,5 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str =
                 texts.append(" ".join(vary))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "found"])
 
-    done = joined.mapInArrow(run, schema)
+    done = joined.transform(in_arrow, run, schema)
     return done.select(*[F.col("row")[c].alias(c) for c in rows.columns], F.col("found").alias(out))
