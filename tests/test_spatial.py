@@ -29,8 +29,9 @@ def shapes(spark, rows):
     return spark.createDataFrame([(c, lv, [[[(float(x), float(y)) for x, y in ring] for ring in p] for p in polygons]) for c, lv, polygons in rows], schema)
 
 
-BOXES = [("LU000", "NUTS3", [box(6, 49.5, 6.5, 50)]), ("BE100", "NUTS3", [box(4, 50.5, 4.5, 51)]),
-         ("BE200", "NUTS3", [box(4.6, 50.2, 4.9, 50.4)]), ("FR101", "NUTS3", [box(2, 48.5, 2.5, 49)])]
+# Own made-up areas: one in two parts, one alone in its country, one in a country that no extract covers.
+AREAS = [("IS011", "NUTS3", [box(-22, 64, -21, 65)]), ("IS022", "NUTS3", [box(-19, 65, -17, 66), box(-16.5, 65, -16, 65.5)]),
+         ("MT001", "NUTS3", [box(14.1, 35.8, 14.6, 36)]), ("HR041", "NUTS3", [box(15.5, 45.5, 16.5, 46)])]
 WORLD = Grid(-180, -90, 0.25, 0.25)
 
 
@@ -41,33 +42,37 @@ def element(id, amenity, at, country, kind="node"):
     return (country, country, kind, id, {"amenity": amenity}, "POLYGON", None, None, [[ring]])
 
 
-def counts(spark, make_specs, elements, spec=HOSPITALS, countries=("LU", "BE")):
+def counts(spark, make_specs, elements, spec=HOSPITALS, countries=("IS", "MT")):
     extracts = spark.createDataFrame([(c, c, f"2026-0{k + 7}") for k, c in enumerate(countries)], "extract string, country string, month string")
-    out = count_poi(spark.createDataFrame(elements, POI), extracts, shapes(spark, BOXES), make_specs(spec), WORLD).collect()
+    out = count_poi(spark.createDataFrame(elements, POI), extracts, shapes(spark, AREAS), make_specs(spec), WORLD).collect()
     assert {(r.time, r.quality) for r in out} == {("2026-08", "osm_completeness_unknown")}
     return {r.geo_code: r.value for r in out}
 
 
-def test_counts_with_zeros_only_in_covered_countries(spark, make_specs):
-    got = counts(spark, make_specs, [element(1, "hospital", (6.2, 49.7), "LU"), element(2, "hospital", (4.2, 50.7), "BE")])
-    assert got == {"LU000": 1, "BE100": 1, "BE200": 0}
+def test_every_covered_zone_has_a_count(spark, make_specs):
+    got = counts(spark, make_specs, [element(1, "hospital", (-21.4, 64.3), "IS"), element(2, "hospital", (-21.7, 64.9), "IS"), element(3, "hospital", (-16.2, 65.1), "IS")])
+    assert got == {"IS011": 2, "IS022": 1, "MT001": 0}
 
 
 def test_polygon_counts_by_its_centre(spark, make_specs):
-    assert counts(spark, make_specs, [element(1, "hospital", (6.29, 49.69, 6.31, 49.71), "LU", "way")])["LU000"] == 1
+    # most of this area lies outside every zone, its centre lies inside
+    assert counts(spark, make_specs, [element(7, "hospital", (-19.4, 65.4, -18.2, 67.0), "IS", "way"), element(8, "hospital", (-21.9, 63.0, -21.1, 64.8), "IS", "way")])["IS022"] == 0
+    assert counts(spark, make_specs, [element(7, "hospital", (-19.4, 65.4, -18.2, 66.4), "IS", "way")])["IS022"] == 1
 
 
-def test_far_foreign_and_border_points_do_not_count(spark, make_specs):
-    got = counts(spark, make_specs, [element(1, "hospital", (10, 10), "LU"), element(2, "hospital", (4.2, 50.7), "LU"),
-                                     element(3, "hospital", (6.0, 49.7), "LU"), element(4, "hospital", (6.2, 50.0), "LU"), element(5, "hospital", (6.5, 49.5), "LU")])
-    assert set(got.values()) == {0}
+def test_points_elsewhere_or_on_a_border_do_not_count(spark, make_specs):
+    places = [((100, -10), "IS"), ((14.3, 35.9), "IS"), ((-21.5, 64.5), "MT"), ((-22, 64.5), "IS"), ((-21.5, 65), "IS"), ((-21, 64), "IS")]
+    got = counts(spark, make_specs, [element(n, "hospital", at, country) for n, (at, country) in enumerate(places)])
+    assert got == {"IS011": 0, "IS022": 0, "MT001": 0}
 
 
 def test_any_tag_counts_once_and_types_are_honoured(spark, make_specs):
-    spec = HOSPITALS | {"tags": [("amenity", "hospital"), ("amenity", "clinic")], "geometry": ["node"]}
-    got = counts(spark, make_specs, [element(1, "hospital", (6.2, 49.7), "LU"), element(2, "clinic", (6.3, 49.8), "LU"), element(3, "pharmacy", (6.2, 49.8), "LU"),
-                                     element(4, "hospital", (6.1, 49.6, 6.2, 49.7), "LU", "way")], spec)
-    assert got["LU000"] == 2
+    spec = HOSPITALS | {"tags": [("amenity", "hospital"), ("amenity", "doctors"), ("healthcare", "yes")], "geometry": ["node"]}
+    both = list(element(1, "doctors", (14.2, 35.9), "MT"))
+    both[4] = {"amenity": "doctors", "healthcare": "yes"}
+    got = counts(spark, make_specs, [tuple(both), element(2, "hospital", (14.5, 35.95), "MT"), element(3, "cafe", (14.4, 35.9), "MT"),
+                                     element(4, "hospital", (14.2, 35.85, 14.3, 35.95), "MT", "way")], spec)
+    assert got["MT001"] == 2
 
 
 def test_expressions(make_specs):
@@ -159,8 +164,8 @@ def test_points_beyond_the_broadcast_bound(spark, monkeypatch):
     from terrane.operators import poi
 
     monkeypatch.setattr(poi, "BROADCAST_ROWS", 0)
-    frame = spark.createDataFrame([(1, 6.2, 49.7, "LU"), (2, 6.2, 49.7, "BE")], "n int, lon double, lat double, country string")
-    assert [(r.n, r.geo_code) for r in points_in_zones(frame, shapes(spark, BOXES), WORLD).collect()] == [(1, "LU000")]
+    frame = spark.createDataFrame([(1, -21.5, 64.5, "IS"), (2, -21.5, 64.5, "MT")], "n int, lon double, lat double, country string")
+    assert [(r.n, r.geo_code) for r in points_in_zones(frame, shapes(spark, AREAS), WORLD).collect()] == [(1, "IS011")]
 
 
 def test_index_is_proportional_to_the_boundary(spark):
