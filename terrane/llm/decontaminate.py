@@ -23,8 +23,10 @@ from .tokens import buffers, in_arrow, mixed, pieces, words
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
-#: Words of benchmark text in one block that is sent to the tasks.
-BLOCK_WORDS = 2_000_000
+#: Characters of benchmark text in one block that is sent to the tasks, and in all blocks of a call: a word takes some
+#: 170 bytes in a worker. A larger benchmark is an error; it is to be cut into several calls.
+BLOCK_CHARACTERS = 2_000_000
+MOST_CHARACTERS = 40_000_000
 
 _FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
@@ -128,25 +130,28 @@ def search(column: pa.Array, query: Suffixes, window: int) -> tuple[np.ndarray,
     return counts, spans, items, longest
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[list[str], list[str]]]:
-    """The benchmark's items in blocks of at most `block_words` characters, read row by row."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_characters: int) -> Iterator[tuple[list[str], list[str]]]:
+    """The benchmark's items in blocks of at most `block_characters` characters, read row by row."""
     names: list[str] = []
     texts: list[str] = []
-    size = 0
+    size = total = 0
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).filter(F.col(text_col).isNotNull())
     for name, text in rows.toLocalIterator():
-        if texts and size + len(text) > block_words:
+        if texts and size + len(text) > block_characters:
             yield names, texts
             names, texts, size = [], [], 0
         names.append(name)
         texts.append(text)
         size += len(text)
+        total += len(text)
+        if total > MOST_CHARACTERS:
+            raise ValueError(f"a benchmark of more than {MOST_CHARACTERS} characters must be searched in several calls")
     if texts:
         yield names, texts
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-            window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+            window: int = WINDOW, block_characters: int = BLOCK_CHARACTERS) -> DataFrame:
     """`docs` with a column `_found`: its words, the spans of words hit, the items found and the longest match.
 
     A word is a run of letters, digits and non-ASCII characters in lower case (A-Z only). A window is `window` words
@@ -190,7 +195,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_found"])
         return run
 
-    blocks = [sc.broadcast(suffixes(n, t, window)) for n, t in _blocks(benchmark, item_id, item_text, block_words)]
+    blocks = [sc.broadcast(suffixes(n, t, window)) for n, t in _blocks(benchmark, item_id, item_text, block_characters)]
     return docs.transform(in_arrow, mapper(blocks or [sc.broadcast(suffixes([], [], window))]), schema)
 
 

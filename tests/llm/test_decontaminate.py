@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate
@@ -56,7 +57,14 @@ def test_against_brute_force(spark):
 
 def test_blocks_of_the_benchmark_agree(spark):
     docs, items = case(9)
-    assert found(spark, docs, items, block_words=40) == brute(docs, items)
+    assert found(spark, docs, items, block_characters=40) == brute(docs, items)
+
+
+def test_benchmark_beyond_the_bound_is_an_error(spark, monkeypatch):
+    docs, items = case(9)
+    monkeypatch.setattr(decontaminate, "MOST_CHARACTERS", 50)
+    with pytest.raises(ValueError):
+        found(spark, docs, items)
 
 
 def test_longest_match(spark):
