@@ -29,14 +29,14 @@ def daily_counter_stream(spark, sf):
 
 @query("usage_rollup_stream", "calls", sql="""
 SELECT strftime(ts, '%Y-%m-%d %H') AS hour, tool, CASE WHEN value > 40 THEN 'empty' ELSE 'ok' END AS status, count(*) AS calls,
-       CAST(sum(CAST(floor(value) AS INT)) AS BIGINT) AS total_ms, max(CAST(floor(value) AS INT)) AS max_ms FROM calls GROUP BY ALL""")
+       CAST(sum(CAST(floor(value) AS INT)) AS BIGINT) AS total_ms, quantile_disc(CAST(floor(value) AS INT), 0.5) AS median_ms, max(CAST(floor(value) AS INT)) AS max_ms FROM calls GROUP BY ALL""")
 def usage_rollup_stream(spark, sf):
     out, checkpoint = stream_folder(spark, "rollup")
     logged = calls(spark, sf, event_stream(spark, sf)).select(
         "ts", "tool", F.when(F.col("value") > 40, "empty").otherwise("ok").alias("status"), F.floor("value").cast("int").alias("ms"))
     upsert_to_table(call_rollup(logged), out, checkpoint)
     return latest_of(spark, out, ["window_start", "tool", "status"]).select(
-        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tool", "status", "calls", "total_ms", "max_ms")
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tool", "status", "calls", "total_ms", "median_ms", "max_ms")
 
 
 @query("landing_stream", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube")
