@@ -175,8 +175,8 @@ def missing_dims(spark, sf):
 # ------------------------------------------------------------------- JSON-stat
 
 def jsonstat_docs(spark, sf):
-    """One JSON-stat document per nation: unit x year, sparse for even nations, dense for odd ones."""
-    rows = cube_columns(spark, sf).where("freq = 'A' AND length(geo) = 3")
+    """One JSON-stat document per zone: unit x period, sparse for even zones, dense for odd ones."""
+    rows = cube_columns(spark, sf)
     per_geo = rows.groupBy("geo").agg(
         F.array_sort(F.collect_set("time")).alias("times"),
         F.array_sort(F.collect_list(F.struct("unit", "time", "value"))).alias("cells"))
@@ -195,7 +195,7 @@ def jsonstat_docs(spark, sf):
 
 
 @query("jsonstat_explode", "cube", sql="""
-SELECT geo, unit, time, value FROM cube WHERE freq = 'A' AND length(geo) = 3""")
+SELECT geo, unit, time, value FROM cube""")
 def jsonstat(spark, sf):
     cells = explode_jsonstat(jsonstat_docs(spark, sf)).where("value is not null")
     return cells.select("geo", F.col("coords")["unit"].alias("unit"), F.col("coords")["time"].alias("time"),
@@ -204,9 +204,9 @@ def jsonstat(spark, sf):
 
 @query("codelist_explode", "cube", sql="""
 SELECT geo, 'time' AS dim, 'time' AS dim_label, CAST(row_number() OVER (PARTITION BY geo ORDER BY time) - 1 AS INT) AS pos, time AS code, 'Y' || time AS label
-FROM (SELECT DISTINCT geo, time FROM cube WHERE freq = 'A' AND length(geo) = 3)
+FROM (SELECT DISTINCT geo, time FROM cube)
 UNION ALL SELECT geo, 'unit', 'Unit', CAST(CASE unit WHEN 'CNT' THEN 0 ELSE 1 END AS INT), unit, unit
-FROM (SELECT DISTINCT geo, unit FROM cube WHERE freq = 'A' AND length(geo) = 3)""")
+FROM (SELECT DISTINCT geo, unit FROM cube)""")
 def codelist_explode(spark, sf):
     return explode_structure(jsonstat_docs(spark, sf))
 
