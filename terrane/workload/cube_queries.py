@@ -36,13 +36,13 @@ def wide_roundtrip(spark, sf):
     return spread_dims(read_cube(spark, f"{root}/store", [DATASET]), CUBE_DIMS).drop("dataset")
 
 
-@query("cube_ingest_delta", "cube_base", sql="""
-SELECT 'orders_' || c0 AS dataset, c1 AS geo, left(ym, 4) AS time, CAST(sum(n) AS DOUBLE) AS value
-FROM cube_base WHERE c0 <> 'R0' GROUP BY ALL""")
+@query("cube_ingest_delta", "cube", sql="""
+SELECT 'orders_' || left(geo, 2) AS dataset, freq, unit, geo, time, value FROM cube
+WHERE left(geo, 2) IN (SELECT 'R' || r_regionkey FROM region) AND left(geo, 2) <> 'R0'""")
 def ingest_delta(spark, sf):
     """One wide dataset per region; the one whose signal is known already is skipped."""
     root = shared_dir(spark, "ingest")
-    rows = cube_columns(spark, sf).where("freq = 'A' AND unit = 'CNT' AND length(geo) = 3")
+    rows = cube_columns(spark, sf)
     named = to_wide(rows, CUBE_DIMS, periods(rows))
     key = F.col(f"`{named.columns[0]}`")
     dataset = F.concat(F.lit("orders_"), F.left(F.split_part(key, F.lit(","), F.lit(3)), F.lit(2)))
@@ -52,7 +52,7 @@ def ingest_delta(spark, sf):
         F.concat(F.lit("orders_"), "geo_code").alias("key"), F.lit("2001-08-02").alias("signal"))
     state = remote.where("key = 'orders_R0'").select("key", F.col("signal").alias("value"))
     ingest_cubes(spark, f"{root}/landing", f"{root}/store", remote, state)
-    return spread_dims(read_cube(spark, f"{root}/store"), ["geo"]).select("dataset", "geo", "time", "value")
+    return spread_dims(read_cube(spark, f"{root}/store"), CUBE_DIMS).select("dataset", *CUBE_DIMS, "time", "value")
 
 
 view("syncable", "cube", "zones", sql="""
