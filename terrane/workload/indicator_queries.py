@@ -51,24 +51,24 @@ def project_all_specs(spark, sf):
 
 
 @query("recode_vintage", "cube", "zones", sql=f"""
-SELECT coalesce(new_code, geo) AS geo_code, time, value,
+SELECT freq, unit, coalesce(new_code, geo) AS geo_code, time, value,
        concat_ws(',', CASE WHEN new_code IS NOT NULL THEN 'recoded' END, nullif(trim(flag), '')) AS quality
 FROM cube LEFT JOIN (SELECT old_code, new_code FROM {CHANGES_SQL} WHERE bijective = 1 AND new_code <> old_code) m ON geo = old_code
-WHERE freq = 'A' AND unit = 'CNT' AND coalesce(new_code, geo) IN (SELECT geo_code FROM zones WHERE level IN ('NUTS0', 'NUTS1'))""")
+WHERE coalesce(new_code, geo) IN (SELECT geo_code FROM zones WHERE level IN ('NUTS0', 'NUTS1'))""")
 def recode_vintage(spark, sf):
-    rows = cube_columns(spark, sf).where("freq = 'A' AND unit = 'CNT'").withColumnRenamed("geo", "geo_code")
+    rows = cube_columns(spark, sf).withColumnRenamed("geo", "geo_code")
     moved = restrict_to_zones(recode(rows, changes(spark), 2021), zones(spark, sf), ["NUTS0", "NUTS1"])
-    return moved.select("geo_code", "time", "value", merge_quality(F.col("recoded"), F.col("flag")).alias("quality"))
+    return moved.select("freq", "unit", "geo_code", "time", "value", merge_quality(F.col("recoded"), F.col("flag")).alias("quality"))
 
 
 @query("recode_duplicates", "cube", sql=f"""
-SELECT 'order_count' AS indicator, geo_code, time, count(*) AS rows FROM (
-  SELECT coalesce(new_code, geo) AS geo_code, time FROM cube
-  LEFT JOIN (SELECT old_code, new_code FROM {CHANGES_SQL} WHERE bijective = 1 AND new_code <> old_code) m ON geo = old_code
-  WHERE freq = 'A' AND unit = 'CNT') GROUP BY geo_code, time HAVING count(*) > 1""")
+SELECT indicator, geo_code, time, count(*) AS rows FROM (
+  SELECT 'orders_' || lower(unit) AS indicator, coalesce(new_code, geo) AS geo_code, time FROM cube
+  LEFT JOIN (SELECT old_code, new_code FROM {CHANGES_SQL} WHERE bijective = 1 AND new_code <> old_code) m ON geo = old_code)
+GROUP BY indicator, geo_code, time HAVING count(*) > 1""")
 def recode_duplicates(spark, sf):
-    rows = cube_columns(spark, sf).where("freq = 'A' AND unit = 'CNT'").withColumnRenamed("geo", "geo_code")
-    return duplicate_keys(recode(rows, changes(spark), 2021).withColumn("indicator", F.lit("order_count")))
+    rows = cube_columns(spark, sf).withColumnRenamed("geo", "geo_code")
+    return duplicate_keys(recode(rows, changes(spark), 2021).withColumn("indicator", F.concat(F.lit("orders_"), F.lower("unit"))))
 
 
 @query("recode_verdicts", "zones", sql=f"""
