@@ -4,12 +4,14 @@ Each task takes the documents of its partition in pieces of about a megabyte. Fo
 over words and looks up every suffix of every benchmark item by binary search; the range found gives all places
 where the item's next words stand verbatim. The array is sparse: it holds the suffixes whose first two words follow
 each other in some item (or whose first word is an item of one word), as no other can match. Documents never move.
-The benchmark is given as a query set and sent to the tasks in blocks of bounded size, one pass over the texts of a
-partition for each block.
+The benchmark is given as a query set and sent to the tasks in blocks of bounded size, one search of the texts of a
+partition for each block. A benchmark beyond the bound of one call is dealt out by hash and searched in passes: each
+leaves the matches by hash of text, and the last one, which gives the rows, unites them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.session import cut_lineage
+
 from .tokens import buffers, in_arrow, mixed, pieces, words
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
 #: Characters of benchmark text in one block that is sent to the tasks, and in all blocks of a call: a word takes some
-#: 170 bytes in a worker. A larger benchmark is an error; it is to be cut into several calls.
+#: 170 bytes in a worker. A larger benchmark is an error of `matches`; `matches_in_passes` makes the calls that it takes.
 BLOCK_CHARACTERS = 2_000_000
 MOST_CHARACTERS = 40_000_000
+#: Characters of benchmark text of one pass; a longer item has a pass of its own or shares one.
+PASS_CHARACTERS = 10_000_000
 
 _FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
@@ -130,7 +136,7 @@ def search(column: pa.Array, query: Suffixes, window: int) -> tuple[np.ndarray,
     return counts, spans, items, longest
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_characters: int) -> Iterator[tuple[list[str], list[str]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_characters: int, most: float) -> Iterator[tuple[list[str], list[str]]]:
     """The benchmark's items in blocks of at most `block_characters` characters, read row by row."""
     names: list[str] = []
     texts: list[str] = []
@@ -144,8 +150,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_characters:
         texts.append(text)
         size += len(text)
         total += len(text)
-        if total > MOST_CHARACTERS:
-            raise ValueError(f"a benchmark of more than {MOST_CHARACTERS} characters must be searched in several calls")
+        if total > most:
+            raise ValueError(f"a benchmark of more than {most} characters must be searched in several calls")
     if texts:
         yield names, texts
 
@@ -165,38 +171,81 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     is replaced.
     """
     docs = docs.drop("_found")
+    return _searched(docs, _sent(docs, benchmark, item_id, item_text, window, block_characters, MOST_CHARACTERS), text, window)
+
+
+def _sent(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_characters: int, most: float) -> list:
     sc = docs.sparkSession.sparkContext
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_found", _FOUND)])
+    blocks = [sc.broadcast(suffixes(n, t, window)) for n, t in _blocks(benchmark, item_id, item_text, block_characters, most)]
+    return blocks or [sc.broadcast(suffixes([], [], window))]
+
+
+def _searched(docs: DataFrame, blocks: list, text: str, window: int, before: str | None = None) -> DataFrame:
+    """`docs` with `_found` in the place of the column `before`, the matches of earlier passes."""
+    names = [c for c in docs.columns if c != before]
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("_found", _FOUND)])
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
     place = names.index(text)
 
-    def mapper(blocks):
-        def run(batches):
-            for batch in batches:
-                column = batch.column(place)
-                counts, spans, items, longest = [], [], [], []
-                for low, high in pieces(column):
-                    piece = column.slice(low, high - low)
-                    total, all_spans, all_items, best = None, None, None, None
-                    for block in blocks:
-                        c, s, i, b = search(piece, block.value, window)
-                        if total is None:
-                            total, all_spans, all_items, best = c, s, i, b
-                        else:
-                            best = np.maximum(best, b)
-                            all_spans = [_united(x, y) for x, y in zip(all_spans, s, strict=True)]
-                            all_items = [sorted({*x, *y}) for x, y in zip(all_items, i, strict=True)]
-                    counts.extend(total.tolist())
-                    spans.extend(all_spans)
-                    items.extend(sorted(set(x)) for x in all_items)
-                    longest.extend(best.tolist())
-                found = pa.array([dict(n_words=c, spans=s, items=i, longest=b) for c, s, i, b in zip(counts, spans, items, longest, strict=True)], kind)
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_found"])
-        return run
-
-    blocks = [sc.broadcast(suffixes(n, t, window)) for n, t in _blocks(benchmark, item_id, item_text, block_characters)]
-    return docs.transform(in_arrow, mapper(blocks or [sc.broadcast(suffixes([], [], window))]), schema)
+    def run(batches):
+        for batch in batches:
+            column = batch.column(place)
+            earlier = batch.column(len(names)) if before else None
+            counts, spans, items, longest = [], [], [], []
+            for low, high in pieces(column):
+                piece = column.slice(low, high - low)
+                total, all_spans, all_items, best = None, None, None, None
+                for block in blocks:
+                    c, s, i, b = search(piece, block.value, window)
+                    if total is None:
+                        total, all_spans, all_items, best = c, s, i, b
+                    else:
+                        best = np.maximum(best, b)
+                        all_spans = [_united(x, y) for x, y in zip(all_spans, s, strict=True)]
+                        all_items = [sorted({*x, *y}) for x, y in zip(all_items, i, strict=True)]
+                for k, old in enumerate(earlier.slice(low, high - low).to_pylist() if before else ()):
+                    for one in old or ():
+                        all_spans[k] = _united(all_spans[k], one["spans"])
+                        all_items[k] = [*all_items[k], *one["items"]]
+                        best[k] = max(best[k], one["longest"])
+                counts.extend(total.tolist())
+                spans.extend(all_spans)
+                items.extend(sorted(set(x)) for x in all_items)
+                longest.extend(best.tolist())
+            found = pa.array([dict(n_words=c, spans=s, items=i, longest=b) for c, s, i, b in zip(counts, spans, items, longest, strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, "_found"])
+
+    return docs.transform(in_arrow, run, schema)
+
+
+def matches_in_passes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                      window: int = WINDOW, block_characters: int = BLOCK_CHARACTERS, pass_characters: int | None = None) -> DataFrame:
+    """What `matches` gives, for a benchmark of any size: more text means more passes over `docs`.
+
+    The items of a pass are broadcast together and dropped when it is done; texts are found again by two hashes.
+    """
+    benchmark = benchmark.filter(F.col(item_text).isNotNull())
+    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
+    passes = max(1, math.ceil(size / (pass_characters or PASS_CHARACTERS)))
+    docs = docs.drop("_found")
+    if passes == 1:
+        return _searched(docs, _sent(docs, benchmark, item_id, item_text, window, block_characters, math.inf), text, window)
+    turn = F.pmod(F.xxhash64(item_id, item_text), F.lit(passes))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+    hits = None
+    for k in range(passes - 1):
+        blocks = _sent(docs, benchmark.filter(turn == k), item_id, item_text, window, block_characters, math.inf)
+        found = _searched(docs.select(F.col(text).alias("text")), blocks, "text", window).filter(F.size("_found.spans") > 0)
+        found = cut_lineage(found.select(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), "_found").dropDuplicates(["a", "b"]))
+        hits = found if hits is None else hits.unionByName(found)
+        for block in blocks:
+            block.destroy()
+    hits = cut_lineage(hits.groupBy("a", "b").agg(F.collect_list("_found").alias("before")))  # one for each pass at most
+    hits = hits.select(F.struct("a", "b").alias("_key"), F.col("before").alias("_before"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text"), key.alias("_of")).join(hits, F.col("_of") == F.col("_key"), "left")
+    last = _sent(docs, benchmark.filter(turn == passes - 1), item_id, item_text, window, block_characters, math.inf)
+    done = _searched(packed.select("_row", "_text", "_before"), last, "_text", window, "_before")
+    return done.select(*[F.col("_row")[c].alias(c) for c in docs.columns], "_found")
 
 
 def _united(x: list[list[int]], y: list[list[int]]) -> list[list[int]]:
@@ -215,5 +264,5 @@ def hit_words(found: Column) -> Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents of which no word lies in a window of the benchmark, with the columns of `docs`."""
-    found = matches(docs, benchmark, **settings)
+    found = matches_in_passes(docs, benchmark, **settings)
     return found.filter(F.size("_found.spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,7 +93,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (k) LEFT JOIN it USING (k)
 """)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches_in_passes(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hit_words(F.col("_found"))
     return found.select(
         "doc_id", F.col("_found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"),

@@ -89,3 +89,19 @@ def test_clean_neighbours_stay(spark):
     docs = spark.createDataFrame([row(1, " ".join(item.split()[:9])), row(2, prose(8, 200)), row(3, "x " + item)], SCHEMA)
     kept = decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_benchmark_beyond_the_bound_is_searched_in_passes(spark, monkeypatch):
+    docs, items = case(9)
+    monkeypatch.setattr(decontaminate, "MOST_CHARACTERS", 50)
+    monkeypatch.setattr(decontaminate, "PASS_CHARACTERS", 150)
+    d = spark.createDataFrame([*docs, *docs[-3:]], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches_in_passes(d, b, block_characters=40)
+    assert got.columns == ["doc_id", "text", "_found"]
+    rows = got.select("doc_id", "_found.n_words", decontaminate.hit_words(F.col("_found")), "_found.items").collect()
+    assert sorted(((r[0], r[1], r[2], tuple(r[3])) for r in rows), key=repr) == brute([*docs, *docs[-3:]], items)
+    whole = {r.doc_id: r._found.longest for r in decontaminate.matches_in_passes(d, b, pass_characters=10**6).collect()}
+    assert {r.doc_id: r._found.longest for r in got.collect()} == whole
+    hit = {r[0] for r in brute(docs, items) if r[2]}
+    assert {r.doc_id for r in decontaminate.decontaminated(d, b).collect()} == {k for k, _ in docs} - hit
