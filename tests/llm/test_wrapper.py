@@ -25,6 +25,12 @@ def test_furniture():
     assert text_of(page) == "Head & line First bold wordsx. Second <tag> é third One Two a b"
 
 
+def test_names_inside_other_attributes_say_nothing():
+    assert text_of("""<p>See <a href="/hidden-gems">these</a>, <a href='/x?id=comments'>those</a></p><p title="The hidden valley">Valley</p>
+    <section data-overflow="hidden">Section</section><p data-role="menu" data-class=nav>Data</p>""") == "See these, those Valley Section Data"
+    assert text_of("""<p hidden>a</p><p title="x"hidden>b</p><p Aria-Hidden=true>c</p><p ROLE='menu'>d</p><p class = "x nav">e</p><p title="class" id=comments>f</p><p>g""") == "g"
+
+
 def test_pages_without_article():
     assert text_of("<div><p>One</p>two<div class=menu>no</div> three</div>") == "One two three"
     assert text_of("plain text") == "plain text"
