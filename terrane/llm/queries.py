@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, ppm, quality, simhash, substring, toxicity, wrapper
+from . import decontaminate, dialogue, language, licenses, lines, mixing, ppm, quality, simhash, substring, toxicity, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,3 +200,107 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("_licences.sentences", ",").alias("sentences"), F.array_join("_licences.licences", ",").alias("licences"),
                         F.size("_licences.unmatched").cast("long").alias("n_unmatched"))
+
+
+@register("op12_line_dedup", sql=r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT k, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM d
+), y AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), c AS (
+  SELECT key, max(doc_id) AS keeper FROM y WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT k) >= 5
+), j AS (
+  SELECT k, y.doc_id, p, line, c.key IS NOT NULL AND y.doc_id IS DISTINCT FROM c.keeper AS gone FROM y LEFT JOIN c ON y.key = c.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY k
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_WAY = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 'o': {0}.o || {3}}}"
+_NONE = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': ''}"
+
+
+def _way(state: str, cost: object, letter: str, out: str = "''", only: str = "true") -> str:
+    return f"CASE WHEN {only} THEN {_WAY.format(state, cost, letter, out)} ELSE {_NONE} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _said(role: str) -> str:
+    return f"chr(10) || '{role}:' || text"
+
+
+def _rerole(states: list[str], role: str) -> list[str]:
+    return [_way(s, "1 + extra", "R", _said(role), "NOT bad") for s in states]
+
+
+def _kept(states: list[str], initial: str) -> list[str]:
+    return [_way(s, "extra", "K", "chr(10) || role || ':' || text", f"NOT bad AND initial = '{initial}'") for s in states]
+
+
+_USER_SQL = _least("s2", *[_way(s, 5, "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")])
+_ASSISTANT_SQL = _least("s3", _way("s2", 5, "I", "chr(10) || 'assistant:'"))
+_REPAIR_SQL = r"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named FROM conversations
+), z AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(named, ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS UBIGINT[])),
+                                         lambda v, n: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS UBIGINT)) ELSE v // 2 END)),
+                CAST(4294967295 AS UBIGINT)) % 20 AS fault FROM h
+), d AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM z WHERE fault <> 0
+), o AS (
+  SELECT *, row_number() OVER w AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail,
+         lag(left(role, 1)) OVER w || left(role, 1) AS pair
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))
+), e AS (
+  SELECT *, tail = '' AS blank, tail <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate FROM o
+), f AS (
+  SELECT conv_id, turn, role, text, i, pair, blank, duplicate, blank OR duplicate AS bad, left(role, 1) AS initial,
+         NOT blank AND NOT duplicate AND right(tail, 1) NOT IN ('.', '!', '?') AS truncated,
+         CASE WHEN NOT blank AND NOT duplicate AND right(tail, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM e
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id
+), r AS (
+  SELECT conv_id, n, 0 AS done, {'c': CAST(0 AS BIGINT), 'a': '', 'o': ''} AS s0, NONE AS s1, NONE AS s2, NONE AS s3 FROM g
+  UNION ALL
+  SELECT q.conv_id, q.n, f.i, DELETE_0 AS s0, SYSTEM AS s1, USER AS s2, ASSISTANT AS s3 FROM (
+    SELECT conv_id, n, done, s0, s1, s2, INSERT_A AS s3 FROM (SELECT conv_id, n, done, s0, s1, INSERT_U AS s2, s3 FROM r WHERE done < n)
+  ) q JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.done + 1
+), b AS (
+  SELECT conv_id, list_min([s0, s3]) AS best FROM (
+    SELECT conv_id, s0, INSERT_A AS s3 FROM (SELECT conv_id, s0, s1, INSERT_U AS s2, s3 FROM r WHERE done = n))
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+""".replace("NONE", _NONE).replace("DELETE_0", _way("s0", 2, "D")).replace(
+    "SYSTEM", _least(_way("s1", 2, "D"), *_kept(["s0"], "s"))).replace(
+    "USER", _least(_way("s2", 2, "D"), *_kept(["s0", "s1", "s3"], "u"), *_rerole(["s0", "s1", "s3"], "user"))).replace(
+    "ASSISTANT", _least(_way("s3", 2, "D"), *_kept(["s2"], "a"), *_rerole(["s2"], "assistant"))).replace(
+    "INSERT_U", _USER_SQL).replace("INSERT_A", _ASSISTANT_SQL)
+
+
+@register("op13_dialogue_repair", sql=_REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    found = dialogue.reports(dialogue.damaged(conversations)).withColumnRenamed("conv_id", "_c")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
