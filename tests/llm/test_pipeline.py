@@ -80,6 +80,6 @@ def test_run_and_entry(spark):
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     ours = [q for q in queries if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in ours) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in ours) == list(range(1, 14))
     assert "pipeline" in queries and set(oracles) <= set(queries)
     assert corpus_pipeline.run(spark, SF).count() > 0
