@@ -11,7 +11,7 @@ from ..functions.rasters import AFFINE_STATS, unit_offset
 from ..operators.coverage import Grid
 from ..operators.incremental import merge_years
 from ..operators.poi import as_points, count_in_zones, exportable, match_specs
-from ..operators.zonal import aggregate_time, select_months, zonal_statistics
+from ..operators.zonal import merge_partials, monthly_partials, select_months, statistic, zonal_statistics
 from ..schemas import ELEMENT_TYPES
 from ..sources.canonical import canonical_rows, write_canonical
 
@@ -40,14 +40,14 @@ def zonal_indicator(raster: DataFrame, zones: DataFrame, spec: dict, grid: Grid,
                     base_quality: str = "") -> DataFrame:
     """Measured rows of one raster spec, one per zone and year of the raster.
 
-    Time is aggregated per cell first, which is the only pass over the raw
-    rows; the coverage join then sees one row per cell and year.
+    Time is aggregated per cell and month first, which is the only pass over the raw
+    rows; the coverage join then sees one row per cell and year. `plans.rasters` runs a whole spec table.
     """
     agg = spec.get("temporal_agg") or {}
     dated = raster.select(F.year("ts").cast("string").alias("time"), "ts", "value",
                           grid.column(F.col("lon")).alias("i"), grid.row(F.col("lat")).alias("j"))
-    chosen = select_months(dated, list(agg.get("months") or []), ["time"])
-    cells = aggregate_time(chosen, agg.get("stat", "mean"), ["time", "i", "j"])
+    chosen = select_months(monthly_partials(dated, ["time", "i", "j"]), list(agg.get("months") or []), ["time"])
+    cells = merge_partials(chosen, ["time", "i", "j"]).select("time", "i", "j", statistic(F.lit(agg.get("stat", "mean"))).alias("value"))
     stat = spec.get("zonal_stat", "mean")
     out = zonal_statistics(cells, zones.where(F.col("level").isin(spec["geo_levels"])), grid, stat, ["time"], base_quality)
     top = cells.groupBy("time").agg(F.max("value").alias("sample_max"))

@@ -304,6 +304,10 @@ def raster(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_quantity")).alias("value"))
 
 
+def raster_spec(id: str, unit: str, product: str, variable: str, months: list[int] | None, stat: str, zonal_stat: str) -> T.Row:
+    return _spec(id, unit, "copernicus", "A", ["NUTS1"], product=product, variable=variable, temporal_agg=(months, stat), zonal_stat=zonal_stat)
+
+
 def raster_cells(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.zonal import aggregate_time
 
