@@ -3,7 +3,9 @@
 import re
 
 import corpus_pipeline
-from terrane.llm import simhash
+
+from .test_near import shingles, similar
+from .test_simhash import roots
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +35,9 @@ def test_stages(spark, tmp_path):
     assert all(labels.get(k, 1) for k in gone), "a clean labelled document went"
 
     before, after = at["near_dedup"]
-    prints = {k: simhash.fingerprint((r.text or "").encode()) for k, r in before.items()}
-    group = {k: k for k in prints}
-    for k in sorted(prints):
-        for j in prints:
-            if (prints[k] ^ prints[j]).bit_count() <= corpus_pipeline.NEAR_RADIUS:
-                low, high = sorted((group[k], group[j]))
-                group = {i: low if g == high else g for i, g in group.items()}
-    assert {r.doc_id for r in after} == set(group.values())
+    sets = {k: shingles(r.text) for k, r in before.items()}
+    pairs = [(a, b) for a in sets for b in sets if b < a and similar(sets[a], sets[b])]
+    assert len(pairs) > 10 and {r.doc_id for r in after} == set(roots(list(sets), pairs).values())
 
     before, after = at["substring_dedup"]
     texts = [words(r.text) for r in sorted(after, key=lambda r: r.doc_id)]
