@@ -80,12 +80,8 @@ def centroid(geometry: Column) -> Column:
     )
 
 
-def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:
-    """Even-odd ray test over `edge_list`; a point on an edge is outside.
-
-    Only the edges that overlap the point's y are needed, so a slice of a
-    polygon's edges gives the same answer as all of them.
-    """
+def on_an_edge(x: Column, y: Column, edge_list: Column) -> Column:
+    """Whether a point lies on one of the edges."""
 
     def on_edge(e: Column) -> Column:
         aligned = (e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"])
@@ -95,13 +91,7 @@ def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:
             & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
         )
 
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], _zero())
-        return spans & (x < at)
-
-    crossings = F.size(F.filter(edge_list, crosses))
-    return (F.pmod(crossings, F.lit(2)) == 1) & ~F.exists(edge_list, on_edge)
+    return F.exists(edge_list, on_edge)
 
 
 def wrap_longitude(lon: Column) -> Column:

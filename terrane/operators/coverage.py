@@ -27,6 +27,10 @@ class Grid:
     def cell_area(self) -> float:
         return self.dx * self.dy
 
+    def coarser(self, times: int) -> Grid:
+        """The grid with cells 2^times as wide and high, from the same corner."""
+        return Grid(self.lon0, self.lat0, self.dx * (1 << times), self.dy * (1 << times))
+
     def u(self, lon: Column) -> Column:
         return (lon - F.lit(self.lon0)) / F.lit(self.dx)
 

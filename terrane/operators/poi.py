@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import centroid, strictly_inside
-from ..session import BROADCAST_ROWS, cut_lineage, join_counted, salted_join
-from .coverage import Grid, coverage_runs, row_pieces
+from ..functions.geometry import centroid, edges, on_an_edge
+from ..session import cut_lineage, join_counted, salted_join
+from .coverage import Grid, coverage_runs
+
+#: Sizes of the cells that cover a zone: 1, 4 and 16 grid cells on a side.
+SIZES = (0, 2, 4)
+#: Where in a cell the point lies whose side is known: at no place that coordinates people write down fall on.
+KNOWN_AT = (0.4142135623730951, 0.2360679774997898)
+#: The index of the zones is broadcast up to about this size.
+BROADCAST_BYTES = 32 << 20
 
 # Country code by extract name, members of the union, exported shapes.
 EXTRACT_COUNTRY = {
@@ -90,62 +97,134 @@ def as_points(elements: DataFrame) -> DataFrame:
         F.when(is_point, F.col("lat")).otherwise(centre["y"]).alias("lat"))
 
 
-def match_specs(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def tag_index(specs: DataFrame) -> DataFrame:
+    """`osm_type, key, value, indicators`: the specs that ask for a tag, listed under it."""
+    wanted = specs.select(F.col("id").alias("indicator"), F.explode("extraction.geometry").alias("osm_type"), "extraction.tags")
+    pairs = wanted.select("indicator", "osm_type", F.explode("tags").alias("t"))
+    return pairs.groupBy("osm_type", F.col("t.key").alias("key"), F.col("t.value").alias("value")).agg(F.collect_set("indicator").alias("indicators"))
+
+
+def match_specs(elements: DataFrame, specs: DataFrame, placed: bool = False) -> DataFrame:
     """One row per element and spec it counts for: right type and at least one tag pair.
 
-    All specs are answered in one pass. An element that carries several pairs
-    of a spec counts once, because the test runs over the spec's pair list and
-    not over exploded pairs.
+    An element's tags look up the specs that ask for them, so the work follows the tags of the elements and the
+    hits, not the number of specs. An element, known by `extract`, `osm_type` and `osm_id`, counts once for a spec whatever
+    number of its tags match. With `placed`, the rows come back as points without tags, which leaves little to be sorted out.
     """
-    wanted = specs.select(
-        F.col("id").alias("indicator"), F.col("extraction.tags").alias("pairs"),
-        F.col("extraction.geometry").alias("types"))
-    by_type = wanted.select("indicator", "pairs", F.explode("types").alias("osm_type"))
-    # Three types share all elements, so the elements never move by type.
-    hit = F.exists("pairs", lambda p: F.coalesce(F.col("tags")[p["key"]] == p["value"], F.lit(False)))
-    return join_counted(elements, by_type, ["osm_type"]).where(hit).drop("pairs")
+    tag = F.explode(F.map_entries("tags")).alias("_tag")
+    met = elements.select("*", tag).withColumns({"_key": F.col("_tag.key"), "_value": F.col("_tag.value")}).drop("_tag")
+    index = tag_index(specs).select("osm_type", F.col("key").alias("_key"), F.col("value").alias("_value"), "indicators")
+    hits = met.join(index, ["osm_type", "_key", "_value"]).drop("_key", "_value")
+    hits = hits.select(*elements.columns, F.explode("indicators").alias("indicator"))
+    if placed:
+        hits = as_points(hits.drop("tags"))
+    return hits.dropDuplicates(["extract", "osm_type", "osm_id", "indicator"])
 
 
-def zone_index(zones: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
-    """Cells met by each zone; boundary cells carry the edges needed to decide a point.
+def entered_cells(zones: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
+    """`keys, i, j, x1 .. y2, crosses, at`: the cells that each edge meets, if only at a point of their left or lower side.
 
-    Only the edges that overlap the cell's row and reach its column can be
-    crossed by a ray to the right, so a country of many thousand edges costs
-    a few per cell.
+    `crosses` tells whether the edge leads through the line of a row's known points, at column position `at`.
+    """
+    e = F.col("e")
+    ends = zones.select(*keys, F.explode(edges(F.col("geometry"))).alias("e")).select(
+        *keys, "e.x1", "e.y1", "e.x2", "e.y2", grid.u(e["x1"]).alias("u1"), grid.v(e["y1"]).alias("v1"),
+        grid.u(e["x2"]).alias("u2"), grid.v(e["y2"]).alias("v2")).where("x1 <> x2 or y1 <> y2")
+    low, high = F.least("v1", "v2"), F.greatest("v1", "v2")
+    rows = ends.select("*", F.explode(F.sequence(F.floor(low), F.floor(high))).alias("j"))
+    bottom, top = F.greatest(low, F.col("j").cast("double")), F.least(high, (F.col("j") + 1).cast("double"))
+    flat = F.col("v1") == F.col("v2")
+    cut = rows.select("*", F.when(flat, F.col("u1")).otherwise(_along(bottom)).alias("ua"), F.when(flat, F.col("u2")).otherwise(_along(top)).alias("ub"))
+    columns = F.explode(F.sequence(F.floor(F.least("ua", "ub")).cast("int"), F.floor(F.greatest("ua", "ub")).cast("int")))
+    line = F.col("j") + KNOWN_AT[1]
+    return cut.select(*keys, columns.alias("i"), F.col("j").cast("int").alias("j"), "x1", "y1", "x2", "y2",
+                      ((low <= line) & (high > line)).alias("crosses"), _along(line).alias("at"))
+
+
+def _along(v: Column, u1: Column | None = None, v1: Column | None = None, u2: Column | None = None, v2: Column | None = None) -> Column:
+    """Column position of an edge at height `v`, its ends exactly; the other way round with u and v exchanged."""
+    u1, v1, u2, v2 = (F.col(n) if c is None else c for n, c in (("u1", u1), ("v1", v1), ("u2", u2), ("v2", v2)))
+    return F.when(v == v1, u1).when(v == v2, u2).otherwise(u1 + (v - v1) * ((u2 - u1) / F.nullif(v2 - v1, F.lit(0.0))))
+
+
+def zone_index(zones: DataFrame, grid: Grid, keys: list[str], sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """Cells of several sizes met by each zone: `keys, size, i, j, known, cell_edges`.
+
+    A cell of size s has 2^s grid cells on a side. The inside of a zone is covered by the largest cells that lie in
+    it, whose `cell_edges` is null. Cells that an edge meets are of the least size and carry the edges that meet them,
+    and whether their known point is inside (`known`). So the index follows the length of the boundary, and what a cell
+    carries is its own.
+    """
+    nothing = F.lit(None).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    met = entered_cells(zones, grid.coarser(min(sizes)), keys)
+    own = met.groupBy(*keys, "i", "j").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("cell_edges"))
+    # an edge meets several cells of a row, but crosses its line once: for all columns whose known point is left of that
+    crossings = met.where("crosses").select(*keys, "j", "x1", "y1", "x2", "y2", (F.ceil(F.col("at") - KNOWN_AT[0]) - 1).cast("int").alias("i")).distinct()
+    marks = own.select(*keys, "i", "j", "cell_edges", F.lit(0).alias("n")).unionByName(
+        crossings.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).cast("int").alias("n")).select(*keys, "i", "j", nothing.alias("cell_edges"), "n"))
+    # one partition per zone and row: as many rows as cells that an edge meets or crosses
+    onward = Window.partitionBy(*keys, "j").orderBy(F.col("i").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    index = marks.withColumn("known", F.sum("n").over(onward) % 2 == 1).where("cell_edges is not null").select(
+        *keys, F.lit(min(sizes)).alias("size"), "i", "j", "known", "cell_edges")
+    around = larger = None
+    for size in sorted(sizes, reverse=True):
+        coarse = grid.coarser(size)
+        edged = (met if size == min(sizes) else entered_cells(zones, coarse, keys)).select(*keys, "i", "j").distinct()
+        whole = coverage_runs(zones, coarse, keys).where(~F.col("touched") & (F.col("fraction") > 0))
+        if around is None:
+            inside = whole.select(*keys, F.explode(F.sequence("i_from", "i_to")).alias("i"), "j")
+        else:  # only within the larger cells that an edge meets
+            step = 1 << (larger - size)
+            part = lambda c, n=step: F.explode(F.sequence(F.col(c) * n, F.col(c) * n + n - 1))
+            inside = around.withColumn("i", part("i")).withColumn("j", part("j")).join(whole, [*keys, "j"]).where(
+                F.col("i").between(F.col("i_from"), F.col("i_to"))).select(*keys, "i", "j")
+        inside = inside.join(edged, [*keys, "i", "j"], "left_anti")
+        index = index.unionByName(inside.select(*keys, F.lit(size).alias("size"), "i", "j", F.lit(True).alias("known"), nothing.alias("cell_edges")))
+        around, larger = edged, size
+    return index
+
+
+def inside_cell(grid: Grid) -> Column:
+    """Whether the point (`lon`, `lat`) in the cell (`i`, `j`) is strictly inside, from the cell's known point and its own edges.
+
+    The way from the known point goes up or down and then across to the point, all within the cell; each edge that it crosses
+    changes sides.
     """
-    pieces = row_pieces(zones, grid, keys)
-    by_row = pieces.groupBy(*keys, "j").agg(F.collect_list(F.struct(
-        "x1", "y1", "x2", "y2", F.greatest("ua", "ub").alias("reach"))).alias("row_edges"))
-    cells = coverage_runs(zones, grid, keys).where(F.col("touched") | (F.col("fraction") > 0)).select(
-        *keys, F.explode(F.sequence("i_from", "i_to")).alias("i"), "j", "touched")
-    inside = cells.where(~F.col("touched")).select(*keys, "i", "j", F.lit(None).cast(
-        "array<struct<x1:double,y1:double,x2:double,y2:double,reach:double>>").alias("cell_edges"))
-    border = cells.where("touched").join(by_row, [*keys, "j"]).select(
-        *keys, "i", "j", F.filter("row_edges", lambda e: e["reach"] >= F.col("i")).alias("cell_edges"))
-    return inside.unionByName(border)
-
-
-def points_in_zones(points: DataFrame, zones: DataFrame, grid: Grid, same_country: bool = True) -> DataFrame:
+    u, v = grid.u(F.col("lon")), grid.v(F.col("lat"))
+    u0, v0 = F.col("i") + KNOWN_AT[0], F.col("j") + KNOWN_AT[1]
+
+    def crossed(e: Column) -> Column:
+        u1, v1, u2, v2 = grid.u(e["x1"]), grid.v(e["y1"]), grid.u(e["x2"]), grid.v(e["y2"])
+        at, height = _along(v, u1, v1, u2, v2), _along(u0, v1, u1, v2, u2)
+        across = ((v1 > v) != (v2 > v)) & ((at > u0) != (at > u))
+        along = ((u1 > u0) != (u2 > u0)) & ((height > v0) != (height > v))
+        return F.coalesce(across, F.lit(False)) != F.coalesce(along, F.lit(False))
+
+    odd = F.size(F.filter("cell_edges", crossed)) % 2 == 1
+    return F.col("cell_edges").isNull() | ((F.col("known") != odd) & ~on_an_edge(F.col("lon"), F.col("lat"), F.col("cell_edges")))
+
+
+def points_in_zones(points: DataFrame, zones: DataFrame, grid: Grid, same_country: bool = True, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Points strictly inside zones: the point's columns plus `geo_code, level`.
 
-    Equi-join on the grid cell (and country), exact test only in boundary
-    cells. The index of the zones is written once; counted, it is broadcast
-    while small and else repeated per salt, so that one crowded cell does not
-    end in one task.
+    Equi-join on cells of a few sizes (and country), exact test only where an edge enters a cell. The index of the zones is
+    written once; measured in bytes, it is broadcast while small and else repeated per salt, so that one crowded cell
+    does not end in one task.
     """
     keys = ["geo_code", "level", "zone_country"]
     shaped = zones.select("geo_code", "level", F.left("geo_code", F.lit(2)).alias("zone_country"), "geometry")
-    index = cut_lineage(zone_index(shaped, grid, keys))
-    placed = points.withColumn("i", grid.column(F.col("lon"))).withColumn("j", grid.row(F.col("lat")))
-    on = ["i", "j"]
+    index = cut_lineage(zone_index(shaped, grid, keys, sizes))
+    cells = F.array(*[F.struct(F.lit(s).alias("size"), F.shiftright(grid.column(F.col("lon")), s).alias("i"), F.shiftright(grid.row(F.col("lat")), s).alias("j"))
+                      for s in sizes])
+    placed = points.select("*", F.explode(cells).alias("_cell")).select(*points.columns, "_cell.*")
+    on = ["size", "i", "j"]
     if same_country:
-        index, on = index.withColumnRenamed("zone_country", "country"), ["country", "i", "j"]
+        index, on = index.withColumnRenamed("zone_country", "country"), ["country", *on]
     else:
         index = index.drop("zone_country")
-    small = index.count() <= BROADCAST_ROWS
-    hits = placed.join(F.broadcast(index), on) if small else salted_join(placed, index, on)
-    inside = F.col("cell_edges").isNull() | strictly_inside(F.col("lon"), F.col("lat"), F.col("cell_edges"))
-    return hits.where(inside).drop("cell_edges", "i", "j")
+    held = index.agg(F.sum(F.lit(100) + 32 * F.coalesce(F.size("cell_edges"), F.lit(0)))).first()[0] or 0
+    hits = placed.join(F.broadcast(index), on) if held <= BROADCAST_BYTES else salted_join(placed, index, on)
+    return hits.where(inside_cell(grid)).drop("cell_edges", "known", "size", "i", "j")
 
 
 def count_in_zones(matched: DataFrame, zones: DataFrame, specs: DataFrame, grid: Grid,

@@ -70,15 +70,10 @@ def levels_present(canonical: DataFrame) -> DataFrame:
 
 
 def bounded(df: DataFrame, *order: object, limit: int = MAX_ROWS) -> DataFrame:
-    """First `limit` rows plus `truncated`, which tells whether more existed.
+    """First `limit` rows plus `truncated`, which tells whether more existed, and `total`, how many there are.
 
-    Top-n of `limit + 1` rows, merged from a top-n per task. The window
-    numbers those few rows only.
+    Top-n of `limit` rows, merged from a top-n per task. The total is counted apart, from the columns that filters
+    need.
     """
-    from pyspark.sql import Window
-
-    head = df.orderBy(*order).limit(limit + 1)
-    place = F.row_number().over(Window.orderBy(*order))
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    marked = head.select("*", place.alias("_place"), total.alias("_total"))
-    return marked.where(F.col("_place") <= limit).withColumn("truncated", F.col("_total") > limit).drop("_place", "_total")
+    total = df.select(F.count(F.lit(1))).scalar()
+    return df.orderBy(*order).limit(limit).withColumn("truncated", total > limit).withColumn("total", total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stem, tokens
+from ..functions.text import fold, stem, tokens
 from ..session import cut_lineage
 
 # The ranking constants of the usual BM25.
@@ -13,22 +13,28 @@ K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 _PREFIX = 12
 
 
-def token_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """`doc, length, term`: one row per token of the given text columns, the document key being `doc`."""
-    words = F.concat(*[tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns])
-    return docs.select("doc", words.alias("words")).select("doc", F.size("words").alias("length"), F.explode("words").alias("term"))
-
-
 def build_index(docs: DataFrame, *columns: str) -> DataFrame:
-    """Inverted index `term, doc, tf, length`.
+    """Inverted index `term, doc, tf, length, positions` of the given text columns, the document key being `doc`.
 
-    The texts move once, by document. That placement already groups
-    `(term, doc)`, so the postings, several times the size of the texts, are
-    not shuffled.
+    Words are numbered over the columns with a gap between two of them, so no phrase runs from one into the next. A
+    row's words are sorted and counted inside the row: neither texts nor postings are shuffled.
     """
-    placed = docs.select("doc", *columns).repartition("doc")
-    return token_rows(placed, *columns).groupBy("term", "doc").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    gap = F.array(F.lit(""))
+    parts = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    words = F.concat(*[p for part in parts for p in (part, gap)][:-1])
+    length = sum((F.size(p) for p in parts[1:]), F.size(parts[0]))
+    at = docs.select("doc", length.alias("length"), F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))).alias("at"))
+    at = at.where(F.col("length") > 0)
+    word = lambda i: F.get(F.col("at"), i)["w"]
+    heads = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    headed = at.select("doc", "length", "at", heads.alias("heads"))
+
+    def posting(head: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(F.col("heads"), k + 1), F.size("at")) - head
+        return F.struct(word(head).alias("term"), F.transform(F.slice("at", head + 1, n), lambda x: x["i"]).alias("positions"))
+
+    rows = headed.select("doc", "length", F.explode(F.transform("heads", posting)).alias("p")).where(F.col("p.term") != "")
+    return rows.select("p.term", "doc", F.size("p.positions").cast("long").alias("tf"), "length", "p.positions")
 
 
 def corpus_statistics(index: DataFrame, docs: DataFrame) -> DataFrame:
@@ -38,33 +44,60 @@ def corpus_statistics(index: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, singular: bool = True) -> DataFrame:
-    """`query_id, q_term`: distinct folded terms, a plural `s` dropped."""
-    terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("t"))
-    return terms.select("query_id", (stem(F.col("t")) if singular else F.col("t")).alias("q_term")).distinct()
+    """`query_id, q_term`: distinct folded words, a plural `s` dropped.
 
+    A word with other characters between its letters, such as `brand_12_7`, is a phrase: its parts, joined by blanks, must stand
+    side by side. Only the last part of a term may be the beginning of a longer word.
+    """
+    words = queries.select("query_id", F.explode(F.split(fold(F.col("query")), r"[\s\p{Z}]+")).alias("w"))
+    parts = F.array_remove(F.split(stem(F.col("w")) if singular else F.col("w"), r"[^\p{L}\p{N}]+"), "")
+    return words.select("query_id", F.array_join(parts, " ").alias("q_term")).where("q_term <> ''").distinct()
 
-def term_hits(index: DataFrame, q_terms: DataFrame) -> DataFrame:
-    """`q_term, doc, tf, length`: documents with a word that starts with the query term.
+
+def _matching_words(index: DataFrame, parts: DataFrame) -> DataFrame:
+    """`term, part, last`: words of the index that equal a part, or begin with it where it is the last of its phrase.
 
     The vocabulary is matched first: each word is listed under its prefixes, so
     that the prefix test becomes an equality. The matching words are written,
     which gives the planner their size: while small they are broadcast to the
-    postings, which then stay where they are. The hits are written as well,
-    since document frequencies and scores both read them.
+    postings, which then stay where they are.
     """
-    asked = q_terms.select("q_term").distinct().withColumn("prefix", F.left("q_term", F.lit(_PREFIX)))
+    words = index.select("term").distinct()
+    asked = parts.select("part", "last").distinct()
+    begun = asked.where("last").withColumn("prefix", F.left("part", F.lit(_PREFIX)))
     # At most twelve prefix lengths occur; a word is listed under those only.
-    lengths = asked.select(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
-    words = index.select("term").distinct().select("term", F.explode(lengths).alias("n")).where(
+    lengths = begun.select(F.array_sort(F.collect_set(F.length("prefix")))).scalar()
+    listed = words.select("term", F.explode(lengths).alias("n")).where(
         F.length("term") >= F.col("n")).select("term", F.expr("left(term, n)").alias("prefix"))
-    matched = words.join(asked, "prefix").where(F.col("term").startswith(F.col("q_term"))).select("term", "q_term")
-    hits = index.join(cut_lineage(matched), "term").groupBy("q_term", "doc").agg(
+    longer = listed.join(begun, "prefix").where(F.col("term").startswith(F.col("part"))).select("term", "part", "last")
+    whole = words.join(asked.where("not last").withColumn("term", F.col("part")), "term").select("term", "part", "last")
+    return cut_lineage(longer.unionByName(whole))
+
+
+def term_hits(index: DataFrame, q_terms: DataFrame) -> DataFrame:
+    """`q_term, doc, tf, length`: how often a document has the word, or the phrase, that a query term asks for.
+
+    The parts of a phrase are found one by one; where all of them agree on the place at which the phrase would begin,
+    it stands. The hits are written, since document frequencies and scores both read them.
+    """
+    asked = q_terms.select("q_term").distinct().withColumn("parts", F.split("q_term", " "))
+    parts = asked.select("q_term", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    parts = cut_lineage(parts.withColumn("last", F.col("k") == F.col("n") - 1))
+    found = index.join(_matching_words(index, parts), "term")
+    single = found.join(parts.where("n = 1"), ["part", "last"]).groupBy("q_term", "doc").agg(
         F.sum("tf").alias("tf"), F.first("length").alias("length"))
-    return cut_lineage(hits)
+    starts = found.join(parts.where("n > 1"), ["part", "last"]).select(
+        "q_term", "n", "k", "doc", "length", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("k"))
+    whole = starts.groupBy("q_term", "n", "doc", "start").agg(F.count_distinct("k").alias("met"), F.first("length").alias("length")).where("met = n")
+    phrase = whole.groupBy("q_term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return cut_lineage(single.unionByName(phrase))
+
 
+def bm25(hits: DataFrame, statistics: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """`q_term, doc, score`. A query term counts as one phrase whatever words it matched.
 
-def bm25(hits: DataFrame, statistics: DataFrame) -> DataFrame:
-    """`q_term, doc, score`. A query term counts as one phrase whatever words it matched."""
+    With `within` (`doc`) only hits in these documents are scored; how rare a term is still follows from all.
+    """
     frequency = hits.groupBy("q_term").agg(F.count(F.lit(1)).alias("df"))
     docs = statistics.select("docs").scalar()
     mean_length = statistics.select("mean_length").scalar()
@@ -72,17 +105,33 @@ def bm25(hits: DataFrame, statistics: DataFrame) -> DataFrame:
     weight = frequency.select("q_term", F.when(idf > 0, idf).otherwise(MIN_IDF).alias("idf"))
     tf = F.col("tf").cast("double")
     score = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
-    return hits.join(weight, "q_term").select("q_term", "doc", score.alias("score"))
+    kept = hits if within is None else hits.join(within.select("doc"), "doc", "left_semi")
+    return kept.join(weight, "q_term").select("q_term", "doc", score.alias("score"))
+
 
+def _summed(scored: DataFrame, q_terms: DataFrame) -> DataFrame:
+    """`query_id, doc, score, matched`: documents with at least one term of the query."""
+    return scored.join(q_terms, "q_term").groupBy("query_id", "doc").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched"))
 
-def ranked_hits(queries: DataFrame, index: DataFrame, statistics: DataFrame, singular: bool = True) -> DataFrame:
-    """`query_id, doc, score, matched, terms`: documents with at least one term of the query."""
+
+def ranked_hits(queries: DataFrame, index: DataFrame, statistics: DataFrame, singular: bool = True, within: DataFrame | None = None) -> DataFrame:
+    """`query_id, doc, score, matched, terms`: documents, of those `within` if given, with at least one term of the query."""
     q_terms = query_terms(queries, singular)
-    scored = bm25(term_hits(index, q_terms), statistics)
-    size = q_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    per_query = q_terms.join(size, "query_id")
-    return scored.join(per_query, "q_term").groupBy("query_id", "doc").agg(
-        F.sum("score").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("terms").alias("terms"))
+    found = _summed(bm25(term_hits(index, q_terms), statistics, within), q_terms)
+    return found.join(q_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms")), "query_id")
+
+
+def complete_hits(q_terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """`query_id, doc`: documents with all terms of the query.
+
+    A query begins with the documents of its rarest term, so no pair is made for a document that lacks it.
+    """
+    frequency = hits.groupBy("q_term").agg(F.count(F.lit(1)).alias("df"))
+    rare = q_terms.join(frequency, "q_term", "left").groupBy("query_id").agg(
+        F.min_by("q_term", F.struct(F.coalesce("df", F.lit(0)), "q_term")).alias("rarest"), F.count(F.lit(1)).alias("terms"))
+    first = rare.join(hits.select(F.col("q_term").alias("rarest"), "doc"), "rarest").select("query_id", "doc", "terms")
+    met = first.join(q_terms, "query_id").join(hits.select("q_term", "doc"), ["q_term", "doc"])
+    return met.groupBy("query_id", "doc", "terms").agg(F.count(F.lit(1)).alias("matched")).where("matched = terms").select("query_id", "doc")
 
 
 def top_hits(hits: DataFrame, limit: int) -> DataFrame:
@@ -92,21 +141,26 @@ def top_hits(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def search_all_then_any(queries: DataFrame, index: DataFrame, statistics: DataFrame, limit: int = 10) -> DataFrame:
-    """Documents with all terms; for a query that has none, with any term, marked `partial`."""
-    hits = ranked_hits(queries, index, statistics)
-    complete = hits.groupBy("query_id").agg(F.max(F.col("matched") == F.col("terms")).alias("has_all"))
-    chosen = hits.join(complete, "query_id").where(~F.col("has_all") | (F.col("matched") == F.col("terms")))
-    return top_hits(chosen.withColumn("partial", ~F.col("has_all")), limit).select(
-        "query_id", "place", "doc", "score", "partial")
+    """Documents with all terms; for a query that has none, with any term, marked `partial`.
+
+    Documents with some term only are looked at for such queries alone.
+    """
+    q_terms = cut_lineage(query_terms(queries))
+    hits = term_hits(index, q_terms)
+    complete = cut_lineage(complete_hits(q_terms, hits))
+    scored = bm25(hits, statistics)
+    every = complete.join(q_terms, "query_id").join(scored, ["q_term", "doc"]).groupBy("query_id", "doc").agg(F.sum("score").alias("score"))
+    rest = q_terms.join(complete.select("query_id").distinct(), "query_id", "left_anti")
+    some = _summed(scored, rest).select("query_id", "doc", "score")
+    chosen = every.withColumn("partial", F.lit(False)).unionByName(some.withColumn("partial", F.lit(True)))
+    return top_hits(chosen, limit).select("query_id", "place", "doc", "score", "partial")
 
 
 def search_any(queries: DataFrame, index: DataFrame, statistics: DataFrame, docs: DataFrame,
                source: str = "", limit: int = 10) -> DataFrame:
     """Documents with any term, of one source if given; an empty query lists all by key."""
-    hits = ranked_hits(queries, index, statistics, singular=False)
-    if source:
-        hits = hits.join(docs.where(F.col("source") == source).select("doc"), "doc", "left_semi")
-        docs = docs.where(F.col("source") == source)
+    docs = docs.where(F.col("source") == source) if source else docs
+    hits = ranked_hits(queries, index, statistics, singular=False, within=docs if source else None)
     found = top_hits(hits, limit).select("query_id", "place", "doc", "score")
     blank = queries.where(F.trim("query") == "").select("query_id")
     first = docs.orderBy("doc").limit(limit).select(F.array_sort(F.collect_list("doc"))).scalar()
@@ -115,36 +169,51 @@ def search_any(queries: DataFrame, index: DataFrame, statistics: DataFrame, docs
     return found.unionByName(everything)
 
 
-def _shorter(text: Column) -> Column:
-    """All texts one deletion away."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(F.left(text, i - 1), F.substr(text, i + 1)))
+def _grams(terms: DataFrame, key: str) -> DataFrame:
+    """`key, size, gram, k`: pairs of neighbouring characters of a text with its ends, the k-th of each kind; `size` of all."""
+    text = F.concat(F.lit("\x02"), F.col(key), F.lit("\x03"))
+    pairs = terms.select(key, (F.length(key) + 1).alias("size"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.length(key) + 1), lambda i: F.substr(text, i, F.lit(2)))).alias("gram"))
+    counted = pairs.groupBy(key, "size", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(key, "size", "gram", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
 
 
-def _deletions(text: Column, depth: int) -> Column:
-    reach = [F.array(text)]
-    for _ in range(depth):
-        level = F.filter(reach[-1], lambda t: F.length(t) > 0)
-        reach.append(F.array_distinct(F.flatten(F.transform(level, _shorter))))
-    return F.array_distinct(F.concat(*reach))
+def similar_terms(words: DataFrame, vocabulary: DataFrame, cutoff: tuple[int, int] = (1, 2)) -> DataFrame:
+    """`word, term, ratio` of upper-case words and terms whose ratio of common character pairs is at least `cutoff`.
 
-
-def closest_terms(words: DataFrame, vocabulary: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
-    """The `k` nearest vocabulary terms within `max_distance` edits, case aside.
-
-    Two texts within d edits share a text reached from each by at most d
-    deletions, so candidates come from an equality on deletion variants
-    instead of all pairs.
+    The ratio is 2 c / (a + b) for c common pairs out of a and b, ends of a text counting as characters. It asks for a
+    least number of common pairs, so pairs of texts are formed on rare character pairs only: each text offers
+    its rarest ones, as many as leave out fewer than that number, to texts of a fitting length whose place in
+    the order leaves room for it. Space is linear in the length of a text.
+    """
+    up, down = cutoff
+    left, right = cut_lineage(_grams(words, "word")), cut_lineage(_grams(vocabulary, "term"))
+    rarity = right.groupBy("gram", "k").agg(F.count(F.lit(1)).alias("df"))
+
+    def offered(grams: DataFrame, key: str, size: str, place: str) -> DataFrame:
+        by_rarity = Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "gram", "k")
+        # a partner has at most size * (2 - t) / t pairs and, of this text, at least size * t / (2 - t) in common
+        least = F.ceil(F.col("size") * up / (2 * down - up))
+        ordered = grams.join(rarity, ["gram", "k"], "left").withColumn("place", F.row_number().over(by_rarity))
+        return ordered.where(F.col("place") <= F.col("size") - least + 1).select(key, F.col("size").alias(size), "gram", "k", F.col("place").alias(place))
+
+    met = offered(left, "word", "a", "pa").join(offered(right, "term", "b", "pb"), ["gram", "k"])
+    both = F.col("a") + F.col("b")
+    room = F.least(F.col("a") - F.col("pa"), F.col("b") - F.col("pb"), F.least("a", "b") - 1) + 1
+    pairs = met.where(2 * down * room >= up * both).select("word", "term", "a", "b").distinct()
+    common = pairs.join(left.select("word", "gram", "k"), "word").join(right.select("term", "gram", "k"), ["term", "gram", "k"])
+    common = common.groupBy("word", "term", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return common.where(2 * down * F.col("c") >= up * both).select("word", "term", (2.0 * F.col("c") / both).alias("ratio"))
+
+
+def closest_terms(words: DataFrame, vocabulary: DataFrame, k: int = 3, cutoff: tuple[int, int] = (1, 2)) -> DataFrame:
+    """`word, place, term, ratio`: the `k` vocabulary terms most similar to each word, case aside; `word` in upper case.
+
+    Of terms that differ in case only, the first is shown.
     """
-    cores = words.sparkSession.sparkContext.defaultParallelism
-    # Few bytes but much work per row: the explicit count keeps AQE from merging the partitions.
-    asked = words.select(F.upper("word").alias("word")).distinct().repartition(cores)
-    known = vocabulary.select(F.upper("term").alias("term")).distinct().repartition(cores)
-    left = asked.select("word", F.explode(_deletions(F.col("word"), max_distance)).alias("variant"))
-    right = known.select("term", F.explode(_deletions(F.col("term"), max_distance)).alias("variant"))
-    pairs = left.join(right, "variant").select("word", "term").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("word", "term", max_distance)).where(F.col("distance") >= 0)
-    best = Window.partitionBy("word").orderBy("distance", "term")
-    return near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select(
-        "word", "place", "term", "distance")
+    asked = words.select(F.upper("word").alias("word")).where("word <> ''").distinct()
+    known = vocabulary.groupBy(F.upper("term").alias("term")).agg(F.min("term").alias("shown")).where("term <> ''")
+    found = similar_terms(asked, known.select("term"), cutoff)
+    best = Window.partitionBy("word").orderBy(F.col("ratio").desc(), "term")
+    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return near.join(known, "term").select("word", "place", F.col("shown").alias("term"), "ratio")

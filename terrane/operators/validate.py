@@ -10,14 +10,25 @@ from ..schemas import (
     CURRENT_VINTAGE, ELEMENT_TYPES, FREQUENCIES, LEVELS, MAX_INDICATORS, MAX_ZONES, PREVIOUS_VINTAGE, SOURCES,
     TEMPORAL_STATS, ZONAL_STATS,
 )
-from ..session import join_counted
+from ..session import cut_lineage, join_counted
+from .search import closest_terms
+
+#: How alike a known id, or a zone, must be to be suggested.
+LIKE_ID, LIKE_ZONE = (3, 5), (1, 2)
+
+
+def suggestions(unknown: DataFrame, known: DataFrame, like: tuple[int, int], k: int = 3) -> DataFrame:
+    """`word, closest`: for each distinct `word`, in upper case, the known `term`s most like it, best first, joined by commas."""
+    found = closest_terms(unknown, known, k, like).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("s"))
+    return found.select("word", F.array_join(F.transform("s", lambda x: x["term"]), ",").alias("closest"))
 
 
 def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, present: DataFrame) -> DataFrame:
     """`error_code, hint` for each requested `(request_id, indicator, zone)`; null means fine.
 
     The first failing check wins: request size, indicator, zone, level, then
-    presence at rest. `present` lists the indicators that have rows.
+    presence at rest. `present` lists the indicators that have rows. The hint tells what to ask for instead: the code
+    of another nomenclature, a level, or up to three ids or zones most like an unknown one.
     """
     asked = requests.select(
         "request_id", F.trim("indicator").alias("indicator"), F.upper(F.trim("zone")).alias("zone"))
@@ -44,7 +55,16 @@ def validate_requests(requests: DataFrame, specs: DataFrame, zones: DataFrame, p
         F.when(code == "unknown_zone", F.when(is_aggregate(F.col("zone")), aggregate).otherwise(code_hint(F.col("zone"))))
         .when(code == "level_not_offered", level_hint(F.col("zone"), F.col("level"), F.col("geo_levels")))
     )
-    return joined.select("request_id", "indicator", "zone", code.alias("error_code"), hint.alias("hint"))
+    told = cut_lineage(joined.select("request_id", "indicator", "zone", code.alias("error_code"), hint.alias("hint")))
+    open_hint = F.col("hint").isNull()
+    ids = told.where(F.col("error_code") == "unknown_indicator").select(F.col("indicator").alias("word"))
+    places = told.where((F.col("error_code") == "unknown_zone") & open_hint).select(F.col("zone").alias("word"))
+    close = suggestions(ids, specs.select(F.col("id").alias("term")), LIKE_ID).withColumn("error_code", F.lit("unknown_indicator")).unionByName(
+        suggestions(places, zones.select(F.col("geo_code").alias("term")), LIKE_ZONE).withColumn("error_code", F.lit("unknown_zone")))
+    asked_for = F.when(F.col("error_code") == "unknown_indicator", F.upper("indicator")).when(F.col("error_code") == "unknown_zone", F.col("zone"))
+    shown = F.coalesce("hint", F.concat(F.lit("closest:"), F.col("closest")))
+    return told.withColumn("word", asked_for).join(close, ["error_code", "word"], "left").select(
+        "request_id", "indicator", "zone", "error_code", shown.alias("hint"))
 
 
 def _outside(values: Column, allowed: tuple) -> Column:

@@ -11,6 +11,7 @@ from ..operators.search import build_index, corpus_statistics, search_all_then_a
 from ..operators.zones import city_zones, list_zones, nuts_zones, zone_reference
 from ..schemas import CURRENT_VINTAGE, MAX_ROWS
 from ..session import cut_lineage
+from ..sources.postings import read_index, refresh_index
 
 
 def zones_page(zones: DataFrame, level: str, parent: str = "", contains: str = "", limit: int = MAX_ROWS) -> DataFrame:
@@ -36,10 +37,17 @@ def search_indicators(queries: DataFrame, specs: DataFrame, present: DataFrame,
     return hits.join(shown, "doc").withColumnRenamed("doc", "id")
 
 
-def search_datasets(queries: DataFrame, catalogue: DataFrame, limit: int = 10) -> DataFrame:
-    """Datasets with all terms of the query in any catalogue column, else with any, marked `partial`."""
+def search_datasets(queries: DataFrame, catalogue: DataFrame, limit: int = 10, root: str | None = None) -> DataFrame:
+    """Datasets with all terms of the query in any catalogue column, else with any, marked `partial`.
+
+    With `root`, the index at rest there is brought up to date with the catalogue and searched; else one is made for the occasion.
+    """
     fields = ["code", "title", "data_start", "data_end", "last_update"]
     docs = catalogue.select(F.col("code").alias("doc"), *fields)
-    index = cut_lineage(build_index(docs, *fields))
-    hits = search_all_then_any(queries, index, corpus_statistics(index, docs), limit)
+    if root:
+        refresh_index(docs, root, *fields)
+        index, known = read_index(catalogue.sparkSession, root)
+    else:
+        index, known = cut_lineage(build_index(docs, *fields)), docs
+    hits = search_all_then_any(queries, index, corpus_statistics(index, known), limit)
     return hits.join(docs.select("doc", "title", "data_start", "data_end"), "doc").withColumnRenamed("doc", "code")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rasters import AFFINE_STATS, unit_offset
 from ..operators.coverage import Grid
 from ..operators.incremental import merge_years
-from ..operators.poi import as_points, count_in_zones, exportable, match_specs
+from ..operators.poi import count_in_zones, exportable, match_specs
 from ..operators.zonal import merge_partials, monthly_partials, select_months, statistic, zonal_statistics
 from ..schemas import ELEMENT_TYPES
 from ..sources.canonical import canonical_rows, write_canonical
@@ -22,7 +22,7 @@ def count_poi(elements: DataFrame, extracts: DataFrame, zones: DataFrame, specs:
     `extracts`: `extract, country, month`. The newest month stamps the batch.
     """
     kept = elements.where(exportable(F.col("osm_type"), F.col("geom_type"), list(ELEMENT_TYPES)))
-    matched = as_points(match_specs(kept, specs))
+    matched = match_specs(kept, specs, placed=True)
     counts = count_in_zones(matched, zones, specs, grid, extracts.select("country"))
     month = extracts.select(F.max("month")).scalar()
     return counts.select("indicator", "geo_code", "level", month.alias("time"), "value", "quality",

@@ -51,3 +51,15 @@ def query(name: str, *views: str, sql: str | None = None) -> Callable[[Query], Q
         return fn
 
     return register
+
+
+def similar_sql(words: str, terms: str, cutoff: tuple[int, int]) -> str:
+    """`word, term, ratio` of the upper-case texts `x` that two queries give: common character pairs, counted one by one."""
+    up, down = cutoff
+
+    def pairs(source: str) -> str:
+        return f"""(SELECT x, length(x) + 1 AS s, g, count(*) AS n FROM (SELECT x, unnest(list_transform(range(1, length(x) + 2),
+                   lambda i: substr(chr(2) || x || chr(3), i, 2))) AS g FROM (SELECT DISTINCT upper(x) AS x FROM ({source})) WHERE x <> '') GROUP BY ALL)"""
+
+    return f"""SELECT l.x AS word, r.x AS term, 2.0::DOUBLE * sum(least(l.n, r.n)) / (l.s + r.s) AS ratio
+               FROM {pairs(words)} l JOIN {pairs(terms)} r ON l.g = r.g GROUP BY l.x, r.x, l.s, r.s HAVING 2 * {down} * sum(least(l.n, r.n)) >= {up} * (l.s + r.s)"""

@@ -15,7 +15,7 @@ from ..session import cut_lineage, shared_dir
 from ..sources.cubes import read_cube, read_wide_cubes, spread_dims, to_wide, write_cube, write_wide
 from ..sources.files import catalogue_from_lines, catalogue_period, upsert_state
 from ..sources.jsonstat import explode_jsonstat, explode_structure
-from .base import query, table, view
+from .base import query, similar_sql, table, view
 from .shapes import CUBE_DIMS, DATASET, cube, cube_columns, zones
 
 
@@ -83,7 +83,7 @@ def sync_twice(spark, sf):
 
 
 _QUERY_SQL = """
-SELECT freq, unit, geo, time, value, flag, n > 400 AS truncated FROM (
+SELECT freq, unit, geo, time, value, flag, n > 400 AS truncated, n AS total FROM (
   SELECT *, row_number() OVER (ORDER BY time, freq, unit, geo) AS rn, count(*) OVER () AS n FROM cube
   WHERE freq IN ('Q', 'M') AND unit IN ('CNT') AND time >= '1997' AND (time <= '1999' OR time LIKE '1999-%')) WHERE rn <= 400"""
 
@@ -148,12 +148,20 @@ def structure(spark, sf):
     return structure_summary(codelist(spark, sf))
 
 
-@query("unknown_codes", "codelist", sql="""
-SELECT f.dim, f.code, CASE WHEN f.dim IN (SELECT dim FROM codelist) THEN 'unknown_code' ELSE 'unknown_dimension' END AS problem
-FROM (VALUES ('freq', 'A'), ('freq', 'W'), ('geo', 'R0'), ('geo', 'FR'), ('sex', 'T')) f(dim, code)
-WHERE NOT EXISTS (SELECT 1 FROM codelist c WHERE c.dim = f.dim AND c.code = f.code)""")
+_WRONG = "(VALUES ('freq', 'W'), ('geo', 'R0AX'), ('geo', 'EU27_2O20'), ('geo', 'ZZZZZZ'), ('unit', 'VALU'), ('sex', 'T'), ('geos', 'R0'))"
+
+
+@query("unknown_codes", "codelist", sql=f"""
+SELECT f.dim, f.code, CASE WHEN f.dim IN (SELECT dim FROM codelist) THEN 'unknown_code' ELSE 'unknown_dimension' END AS problem,
+       CASE WHEN f.dim IN (SELECT dim FROM codelist) THEN (SELECT string_agg(code, ',' ORDER BY ratio DESC, code) FROM (
+              SELECT c.code, ratio FROM ({similar_sql(f"SELECT code AS x FROM {_WRONG} w(dim, code)", "SELECT code AS x FROM codelist", (3, 5))}) s
+              JOIN codelist c ON c.code = s.term WHERE c.dim = f.dim AND s.word = f.code ORDER BY ratio DESC, c.code LIMIT 3))
+            ELSE (SELECT string_agg(lower(term), ',' ORDER BY ratio DESC, term) FROM ({similar_sql(f"SELECT dim AS x FROM {_WRONG} w(dim, code)", "SELECT dim AS x FROM codelist", (3, 5))}) s
+              WHERE s.word = upper(f.dim)) END AS closest
+FROM {_WRONG} f(dim, code)""")
 def unknown(spark, sf):
-    return unknown_codes({"freq": "A+W", "geo": "R0+FR", "sex": "T"}, codelist(spark, sf))
+    """Known entries pass; the others come with what may have been meant."""
+    return unknown_codes({"freq": "A+W", "geo": "R0+R0AX+EU27_2O20+ZZZZZZ", "unit": "VALU", "sex": "T", "geos": "R0"}, codelist(spark, sf))
 
 
 @query("missing_dimensions", sql="""
@@ -251,6 +259,21 @@ def catalogue_span(spark, sf):
     return catalogue_period(catalogue_from_lines(toc_lines(spark, sf)))
 
 
+@query("structure_with_period", "toc", sql="""
+SELECT t.code AS dataset, 'part' AS dim, 'Part' AS dim_label, CAST(place AS INT) AS place, 'n' || p_partkey AS code, title AS label, greatest(n - 3, 0) AS remaining,
+       c.data_start, c.data_end
+FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS place, count(*) OVER (PARTITION BY code) AS n FROM toc) t
+LEFT JOIN (SELECT code, data_start, data_end FROM (
+             SELECT *, row_number() OVER (PARTITION BY code ORDER BY p_partkey) AS rn FROM toc WHERE type IN ('dataset', 'table')) WHERE rn = 1 AND data_start <> '') c
+  ON c.code = t.code WHERE place <= 3""")
+def structure_with_period(spark, sf):
+    """Each catalogue code as a dataset whose codes are the parts that share it, with its span where the catalogue knows it."""
+    parts = table(spark, sf, "part").select(
+        F.concat_ws("_", F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), "p_size").alias("dataset"), F.lit("part").alias("dim"), F.lit("Part").alias("dim_label"),
+        F.col("p_partkey").alias("pos"), F.concat(F.lit("n"), "p_partkey").alias("code"), F.col("p_name").alias("label"))
+    return structure_summary(parts, 3, catalogue_period(catalogue_from_lines(toc_lines(spark, sf))))
+
+
 # ------------------------------------------------------------------ increments
 
 @query("freshness_delta", sql="""

@@ -12,7 +12,7 @@ from ..operators.incremental import materialization_status
 from ..operators.pivot import last_periods, latest_per_zone, pivot_indicators
 from ..operators.projection import duplicate_keys, project_indicators, recode, recode_verdict, restrict_to_zones
 from ..operators.reports import indicator_profile, levels_present
-from ..plans.indicators import query_indicators
+from ..plans.indicators import query_indicators, request_indicators
 from ..session import cut_lineage, shared_dir
 from ..sources.canonical import drop_indicator, materialized_ids, read_canonical, write_canonical
 from .base import query, table
@@ -210,13 +210,45 @@ def status(spark, sf):
 
 
 @query("bounded_result", "canon", sql=f"""
-SELECT geo_code, time, order_value, order_count, order_count_q, n > 400 AS truncated FROM (
+SELECT geo_code, time, order_value, order_count, order_count_q, n > 400 AS truncated, n AS total FROM (
   SELECT *, row_number() OVER (ORDER BY geo_code, CAST(left(time, 4) AS INT) DESC, {MONTH_SQL} DESC, {PERIOD_SQL} DESC, time DESC) AS rn, count(*) OVER () AS n
   FROM (SELECT geo_code, time, {_PIVOT} FROM canon WHERE source = 'eurostat' GROUP BY geo_code, time)) WHERE rn <= 400""")
 def bounded_result(spark, sf):
     return query_indicators(canonical(spark, sf), IDS, time_from="1900").head()
 
 
+@query("indicator_request", "canon", "zones", sql=f"""
+SELECT c.geo_code, time, order_value, coalesce(supplier_count, '') AS supplier_count
+FROM (SELECT geo_code, time, {CELL} AS order_value FROM canon WHERE indicator = 'order_value' AND time >= '1997' AND time <= '2000') c
+JOIN zones z ON z.geo_code = c.geo_code AND z.level = 'NUTS1'
+LEFT JOIN (SELECT geo_code AS g, ({TEXT}) || ' [snapshot 2001-08]' AS supplier_count FROM canon WHERE indicator = 'supplier_count' AND time = '2001-08') s ON g = c.geo_code""")
+def indicator_request(spark, sf):
+    """A checked request over all zones of a level; that one of its indicators is a snapshot follows from the specs."""
+    places = zones(spark, sf)
+    codes = [r.geo_code for r in places.where("level = 'NUTS1'").select("geo_code").collect()]
+    answer = request_indicators(canonical(spark, sf), specs(spark), places, [" order_value", "supplier_count"], [c.lower() for c in codes], "1997", "2000")
+    return answer.table
+
+
+@query("indicator_request_errors", "zones", sql="""
+SELECT * FROM (VALUES ('order_value', 'R0AX9', 'unknown_zone'), ('order_value', 'GR12', 'unknown_zone'), ('order_value', 'R0AF', 'level_not_offered'),
+  ('never_built', 'R0AF', 'level_not_offered'), ('order_valu', 'R0AF', 'unknown_indicator'), ('never_built', 'R0AX9', 'unknown_zone'), ('never_built', 'GR12', 'unknown_zone'),
+  ('order_valu', 'R0AX9', 'unknown_indicator'), ('order_valu', 'GR12', 'unknown_indicator'), (NULL, NULL, 'too_many_indicators'), (NULL, NULL, 'too_many_zones'),
+  (NULL, NULL, 'no_indicators'), (NULL, NULL, 'no_zones'), ('never_built', (SELECT min(geo_code) FROM zones WHERE level = 'NUTS3'), 'not_materialized')) e(indicator, zone, error_code)""")
+def indicator_request_errors(spark, sf):
+    """What is wrong with several requests; none of them gets a table."""
+    rows, places, known = canonical(spark, sf), zones(spark, sf), specs(spark)
+    finest = places.where("level = 'NUTS3'").agg(F.min("geo_code")).first()[0]
+    asked = [(["order_value", "never_built", "order_valu"], ["r0ax9", "GR12", "R0AF"]), ([f"i{k}" for k in range(6)], ["R0"]), (["order_value"], [f"Z{k}" for k in range(101)]),
+             ([" "], ["R0"]), (["order_value"], []), (["never_built"], [finest])]
+    out = None
+    for indicators, codes in asked:
+        answer = request_indicators(rows, known, places, indicators, codes)
+        found = answer.errors.select("indicator", "zone", "error_code")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("write_replace_partition", "canon", sql="""
 SELECT indicator, geo_code, time, value, quality FROM canon WHERE indicator IN ('order_value', 'supplier_count')
 UNION ALL SELECT indicator, geo_code, time, value * 2, quality FROM canon WHERE indicator = 'order_count' AND time >= '1998'""")

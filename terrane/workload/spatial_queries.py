@@ -10,6 +10,7 @@ from ..operators.poi import (
     any_tag, as_points, exportable, extract_country, match_specs, points_in_zones, tag_expressions, tag_pairs,
 )
 from ..plans.spatial import count_poi, write_poi_counts
+from ..schemas import SPECS
 from ..session import shared_dir
 from ..sources.canonical import read_canonical
 from ..sources.files import read_poi, write_poi
@@ -77,6 +78,20 @@ def tag_match_specs(spark, sf):
     return match_specs(poi(spark, sf), poi_specs(spark)).select("indicator", "osm_id")
 
 
+@query("tag_match_many_specs", "poi", sql="""
+SELECT 'sites_' || p_partkey AS indicator, osm_id FROM poi JOIN part ON p_partkey IN (osm_id, osm_id // 2 * 2) AND (osm_type = 'node' OR p_size % 2 = 0)""")
+def tag_match_many_specs(spark, sf):
+    """A spec for each part, looked up by tags of which an element may carry two of one spec."""
+    size, named = F.col("p_size"), lambda c: F.concat(F.lit("n"), c)
+    elements = poi(spark, sf).withColumn("tags", F.map_concat("tags", F.create_map(
+        F.lit("ref"), named(F.col("osm_id")), F.lit("operator"), named(F.floor(F.col("osm_id") / 2) * 2))))
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in SPECS["extraction"].dataType}
+    tag = lambda key: F.struct(F.lit(key).alias("key"), named(F.col("p_partkey")).alias("value"))
+    filled = nothing | {"tags": F.array(tag("ref"), tag("operator")), "geometry": F.when(size % 2 == 0, F.array(F.lit("node"), F.lit("way"))).otherwise(F.array(F.lit("node")))}
+    many = table(spark, sf, "part").select(F.concat(F.lit("sites_"), "p_partkey").alias("id"), F.struct(*[c.alias(n) for n, c in filled.items()]).alias("extraction"))
+    return match_specs(elements, many, placed=True).select("indicator", "osm_id")
+
+
 @query("tag_pairs_distinct", sql="SELECT DISTINCT 'amenity' AS key, lower(p_type) AS value FROM part WHERE p_type = 'ECONOMY' AND p_size % 2 <> 0")
 def tag_pairs_distinct(spark, sf):
     return tag_pairs(part_specs(spark, sf))

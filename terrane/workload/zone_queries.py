@@ -14,7 +14,7 @@ from ..operators.zones import build_changes, city_zones, levels_available, list_
 from ..plans.lookup import zones_page
 from ..schemas import SPECS
 from ..session import cut_lineage
-from .base import query, table, view
+from .base import query, similar_sql, table, view
 from .shapes import canonical, cust_requests, nations, specs, zones
 
 _LISTED = "SELECT geo_code, name, level, parent_code FROM zones WHERE "
@@ -36,7 +36,7 @@ def zone_contains(spark, sf):
 
 
 @query("zones_page", "zones", sql="""
-SELECT geo_code, name, level, parent_code, n > 60 AS truncated FROM (
+SELECT geo_code, name, level, parent_code, n > 60 AS truncated, n AS total FROM (
   SELECT *, row_number() OVER (ORDER BY geo_code) AS rn, count(*) OVER () AS n FROM zones WHERE level = 'NUTS3') WHERE rn <= 60""")
 def zone_page(spark, sf):
     return zones_page(zones(spark, sf), "NUTS3", limit=60)
@@ -152,6 +152,39 @@ def validate(spark, sf):
     return validate_requests(cust_requests(spark, sf), specs(spark), zones(spark, sf), present)
 
 
+view("misspelt", sql="""
+SELECT DISTINCT 'q' || c_custkey AS request_id,
+       CASE c_custkey % 4 WHEN 0 THEN 'order_valeu' WHEN 1 THEN 'ordercount' WHEN 2 THEN 'suplier_counts' ELSE 'rainfall' END AS indicator,
+       'R' || (c_custkey % 9) || chr(65 + CAST(c_custkey % 7 AS INT)) || substr('ABFHMZ', CAST(c_custkey % 6 + 1 AS INT), 1) || CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE '' END AS zone
+FROM customer
+""")
+
+
+@query("request_suggestions", "misspelt", "zones", sql=f"""
+SELECT request_id, indicator, zone, 'unknown_indicator' AS error_code, 'closest:' || closest AS hint FROM misspelt LEFT JOIN (
+  SELECT word, string_agg(lower(term), ',' ORDER BY ratio DESC, term) AS closest FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY ratio DESC, term) AS place FROM (
+      {similar_sql("SELECT indicator AS x FROM misspelt", "SELECT unnest(['order_value', 'order_count', 'order_count_q', 'supplier_count', 'never_built']) AS x", (3, 5))})) WHERE place <= 3 GROUP BY word) s
+  ON s.word = upper(indicator)
+UNION ALL SELECT request_id, 'order_value', zone, CASE WHEN level IS NULL THEN 'unknown_zone' WHEN level NOT IN ('NUTS0', 'NUTS1') THEN 'level_not_offered' END,
+       CASE WHEN level IS NULL THEN 'closest:' || closest WHEN level NOT IN ('NUTS0', 'NUTS1') THEN 'ancestor:' || left(zone, 3) END
+FROM (SELECT DISTINCT request_id, zone FROM misspelt) m LEFT JOIN zones ON geo_code = zone LEFT JOIN (
+  SELECT word, string_agg(term, ',' ORDER BY ratio DESC, term) AS closest FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY ratio DESC, term) AS place FROM (
+      {similar_sql("SELECT zone AS x FROM misspelt WHERE zone NOT IN (SELECT geo_code FROM zones)", "SELECT geo_code AS x FROM zones", (1, 2))})) WHERE place <= 3 GROUP BY word) s ON s.word = zone""")
+def request_suggestions(spark, sf):
+    """Requests with misspelt ids, and with zones of which some don't exist: what they may have meant."""
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, "order_valeu").when(key % 4 == 1, "ordercount").when(key % 4 == 2, "suplier_counts").otherwise("rainfall")
+    letter = F.substr(F.lit("ABFHMZ"), (key % 6 + 1).cast("int"), F.lit(1))
+    zone = F.concat(F.lit("R"), key % 9, F.char(F.lit(65) + key % 7), letter, F.when(key % 5 == 0, "X").otherwise(""))
+    asked = table(spark, sf, "customer").select(F.concat(F.lit("q"), "c_custkey").alias("request_id"), name.alias("indicator"), zone.alias("zone")).distinct()
+    # a request has one indicator here, so each is checked by itself
+    first = validate_requests(asked, specs(spark), zones(spark, sf), canonical(spark, sf))
+    second = validate_requests(asked.withColumn("indicator", F.lit("order_value")), specs(spark), zones(spark, sf), canonical(spark, sf))
+    return first.unionByName(second)
+
+
 view("partspecs", sql="""
 SELECT CASE WHEN p_size = 13 THEN 'bad id ' || p_partkey ELSE 'spec_' || (p_partkey // 2) END AS id,
        CASE WHEN p_type = 'PROMO' THEN 'census' WHEN p_type = 'ECONOMY' THEN 'osm' ELSE 'eurostat' END AS source,
