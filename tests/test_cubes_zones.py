@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from conftest import GDP, HOSPITALS
+from conftest import PHARMACIES, WAGES
 from pyspark.sql import functions as F
 
 from terrane.functions.zones import code_hint, is_aggregate, level_hint
@@ -22,80 +22,82 @@ from terrane.sources.jsonstat import explode_jsonstat, explode_structure
 
 
 def cube(spark, *rows):
-    return spark.createDataFrame([("nama", {"freq": f, "unit": u, "geo": g}, t, v, q) for f, u, g, t, v, q in rows], CUBE)
+    return spark.createDataFrame([("wages", {"freq": f, "unit": u, "geo": g}, t, v, q) for f, u, g, t, v, q in rows], CUBE)
 
 
-NATIVE = [("A", "EUR_HAB", "FR10", "2023", 66800.0, "p"), ("A", "EUR_HAB", "FRK2", "2023", 42400.0, ""), ("A", "MIO_EUR", "FR10", "2023", 999.0, ""),
-          ("A", "EUR_HAB", "EU27_2020", "2023", 100.0, ""), ("A", "EUR_HAB", "FR101", "2023", 1.0, ""), ("A", "EUR_HAB", "BE10", "2023", None, "")]
+# two rows that count; then another unit, another frequency, an aggregate, a level that isn't asked for, a row without value
+NATIVE = [("A", "INDEX", "CZ06", "2022", 118.4, "e"), ("A", "INDEX", "HU22", "2022", 131.0, ""), ("A", "CZK", "CZ06", "2022", 39_000.0, ""),
+          ("Q", "INDEX", "CZ06", "2022-Q3", 117.0, ""), ("A", "INDEX", "EU27_2020", "2022", 125.5, ""), ("A", "INDEX", "CZ064", "2022", 121.0, ""),
+          ("A", "INDEX", "CZ08", "2022", None, "b")]
 
 
 @pytest.fixture(scope="module")
 def changes(spark):
-    table = spark.createDataFrame([("FRXX", "FRK2", "Code change"), ("FRZZ", "", "Merged"), ("NL332", "NL361", "Code change"),
-                                   ("DEG04", "", "Boundary shift"), ("", "", "x")], "old_code string, new_code string, change string")
+    table = spark.createDataFrame([("HU2A", "HU22", "Code change"), ("CZ0X", "", "Merged"), ("LV00A", "LV00C", "Name change"),
+                                   ("EE00B", "EE009", "Boundary shift"), ("", "", "x")], "old_code string, new_code string, change string")
     return build_changes(table)
 
 
 def test_wide_file_cells(spark):
     head = "freq,unit,geo\\TIME_PERIOD\t2020 \t2021\t2022\t2023"
     lines = spark.createDataFrame([("f", "d", x) for x in (
-        head, "A,X,FR\t123.4\t123.4 p \t:\t: c", "A,X,BE\t\tgarbage\t 7", "A,X,LU\t1e3\t5d\t-2 b u\t8\t9")], "file string, dataset string, line string")
+        head, "A,X,LV\t:\t87.25 e \t: z\t0.5", "A,X,EE\tn/a\t\t 12", "A,X,LT\t-2 b u\t4f\t6e2\t11\t13")], "file string, dataset string, line string")
     got = {(r.dims["geo"], r.time): (r.value, r.flag) for r in parse_wide_lines(lines, 1).collect()}
-    assert got == {("FR", "2020"): (123.4, ""), ("FR", "2021"): (123.4, "p"), ("BE", "2022"): (7.0, ""),
-                   ("LU", "2020"): (1000.0, ""), ("LU", "2022"): (-2.0, "b u"), ("LU", "2023"): (8.0, "")}
+    assert got == {("LV", "2021"): (87.25, "e"), ("LV", "2023"): (0.5, ""), ("EE", "2022"): (12.0, ""),
+                   ("LT", "2020"): (-2.0, "b u"), ("LT", "2022"): (600.0, ""), ("LT", "2023"): (11.0, "")}
 
 
 def test_projection_keeps_reference_zones_only(spark, make_specs, zones):
-    got = project_indicators(cube(spark, *NATIVE), make_specs(GDP), zones).collect()
-    assert {(r.geo_code, r.time, r.value, r.quality) for r in got} == {("FR10", "2023", 66800.0, "p"), ("FRK2", "2023", 42400.0, "")}
+    got = project_indicators(cube(spark, *NATIVE), make_specs(WAGES), zones).collect()
+    assert {(r.geo_code, r.time, r.value, r.quality) for r in got} == {("CZ06", "2022", 118.4, "e"), ("HU22", "2022", 131.0, "")}
 
 
 def test_projection_recodes_the_older_vintage(spark, make_specs, zones, changes):
-    old = cube(spark, ("A", "EUR_HAB", "FRXX", "2023", 42400.0, ""), ("A", "EUR_HAB", "FRZZ", "2023", 1.0, ""), ("A", "EUR_HAB", "FR10", "2023", 66800.0, "p"))
-    got = project_indicators(old, make_specs(GDP | {"vintage": 2021}), zones, changes).collect()
-    assert {(r.geo_code, r.quality) for r in got} == {("FRK2", "recoded"), ("FR10", "p")}
-    current = project_indicators(old, make_specs(GDP), zones, changes).collect()
-    assert {r.geo_code for r in current} == {"FR10"}
+    old = cube(spark, ("A", "INDEX", "HU2A", "2020", 96.0, ""), ("A", "INDEX", "CZ0X", "2020", 88.0, ""), ("A", "INDEX", "CZ06", "2020", 104.5, "e"))
+    got = project_indicators(old, make_specs(WAGES | {"vintage": 2021}), zones, changes).collect()
+    assert {(r.geo_code, r.quality) for r in got} == {("HU22", "recoded"), ("CZ06", "e")}
+    current = project_indicators(old, make_specs(WAGES), zones, changes).collect()
+    assert {r.geo_code for r in current} == {"CZ06"}
 
 
 def test_verdicts(spark, changes):
-    codes = spark.createDataFrame([("NL332",), ("DEG04",), ("FRK2",)], "geo_code string")
+    codes = spark.createDataFrame([("LV00A",), ("CZ0X",), ("EE00B",), ("HU22",)], "geo_code string")
     got = {r.geo_code: (r.new_code, r.bijective) for r in recode_verdict(codes, changes, 2021).collect()}
-    assert got == {"NL332": ("NL361", True), "DEG04": (None, False), "FRK2": ("FRK2", True)}
+    assert got == {"LV00A": ("LV00C", True), "CZ0X": (None, False), "EE00B": ("EE009", False), "HU22": ("HU22", True)}
 
 
 def test_store_and_project_again(spark, make_specs, zones):
     root = shared_dir(spark, "test")
     write_cube(cube(spark, *NATIVE), f"{root}/native")
-    assert project_all(read_cube(spark, f"{root}/native"), make_specs(GDP), zones, None, f"{root}/canon") == 2
-    assert project_only(spark, f"{root}/native", make_specs(GDP), zones, None, f"{root}/canon") == 2
+    assert project_all(read_cube(spark, f"{root}/native"), make_specs(WAGES), zones, None, f"{root}/canon") == 2
+    assert project_only(spark, f"{root}/native", make_specs(WAGES), zones, None, f"{root}/canon") == 2
     assert read_canonical(spark, f"{root}/canon").count() == 2
 
 
 def test_native_query(spark):
     wide = cube(spark, *NATIVE).select(F.col("dims.freq"), F.col("dims.unit"), F.col("dims.geo"), "time", "value", "flag")
-    got = query_cube(wide, ["freq", "unit", "geo"], {"geo": "FR10++FRK2", "unit": "EUR_HAB"}, "2023", "2023", limit=1).collect()
-    assert [(r.geo, r.truncated) for r in got] == [("FR10", True)]
+    got = query_cube(wide, ["freq", "unit", "geo"], {"geo": "CZ06++HU22", "unit": "INDEX", "freq": "A"}, "2022", "2022", limit=1).collect()
+    assert [(r.geo, r.truncated) for r in got] == [("CZ06", True)]
 
 
 def test_jsonstat(spark):
-    dims = {"geo": {"category": {"index": {"BE": 1, "FR": 0}, "label": {"FR": "France"}}}, "time": {"label": "Time", "category": {"index": {"2022": 0, "2023": 1}}}}
+    dims = {"geo": {"category": {"index": {"LT": 1, "LV": 0}, "label": {"LV": "Latvija"}}}, "time": {"label": "Time", "category": {"index": {"2022": 0, "2023": 1}}}}
     doc = {"id": ["geo", "time"], "size": [2, 2], "dimension": dims}
     docs = spark.createDataFrame([("s", json.dumps(doc | {"value": {"0": 1.5, "3": 4}})), ("l", json.dumps(doc | {"value": [1, 2, None, 4]}))], "k string, json string")
     got = {(r.k, r.coords["geo"], r.coords["time"]): r.value for r in explode_jsonstat(docs).where("value is not null").collect()}
-    assert got == {("s", "FR", "2022"): "1.5", ("s", "BE", "2023"): "4", ("l", "FR", "2022"): "1", ("l", "FR", "2023"): "2", ("l", "BE", "2023"): "4"}
+    assert got == {("s", "LV", "2022"): "1.5", ("s", "LT", "2023"): "4", ("l", "LV", "2022"): "1", ("l", "LV", "2023"): "2", ("l", "LT", "2023"): "4"}
     codes = {(r.dim, r.code): (r.dim_label, r.pos, r.label) for r in explode_structure(docs.where("k = 's'")).collect()}
-    assert codes == {("geo", "FR"): ("geo", 0, "France"), ("time", "2022"): ("Time", 0, "2022"), ("time", "2023"): ("Time", 1, "2023")}
+    assert codes == {("geo", "LV"): ("geo", 0, "Latvija"), ("time", "2022"): ("Time", 0, "2022"), ("time", "2023"): ("Time", 1, "2023")}
 
 
 def test_codes_ranked(spark):
-    codes = ["BE10", "DE7", "EE", "ES", "ES511", "ES51", "ES7", "ES70", "PT20"]
-    labels = {"BE10": "Bruxelles", "DE7": "Hessen", "EE": "Estonia", "PT20": "Região Autónoma dos Açores (Ilhes)"}
+    codes = ["AT33", "LT", "LT022", "LT02", "LT01", "MT00", "NL4LT", "SE33", "SK"]
+    labels = {"AT33": "Altirol", "SE33": "Övre Norrland", "SK": "Slovensko", "MT00": "Maltese islands"}
     rows = [("d", "geo", "Geo", i, c, labels.get(c, "x")) for i, c in enumerate(codes)]
     df = spark.createDataFrame(rows, CODELIST)
-    got = [r.code for r in list_codes(df, "ES").orderBy("place").collect()]
-    assert got[:5] == ["ES", "ES7", "ES51", "ES70", "ES511"] and set(got[5:]) == {"BE10", "DE7", "EE", "PT20"}
-    assert [r.code for r in list_codes(df, "acores").collect()] == ["PT20"]
+    got = [r.code for r in list_codes(df, "LT").orderBy("place").collect()]
+    assert got == ["LT", "LT02", "LT01", "LT022", "NL4LT", "AT33", "MT00"]
+    assert [r.code for r in list_codes(df, "ovre").collect()] == ["SE33"]
     assert {r.remaining for r in list_codes(df, "", limit=4).collect()} == {5}
     assert {r.remaining for r in structure_summary(df, 2).collect()} == {7}
 
@@ -105,51 +107,51 @@ def codes_of(df):
 
 
 def test_zone_listing(zones):
-    assert codes_of(list_zones(zones, "NUTS2")) == ["BE10", "FR10", "FRK2"]
-    assert codes_of(list_zones(zones, "NUTS2", parent="FR")) == ["FR10", "FRK2"]
-    assert codes_of(list_zones(zones, "NUTS3", parent="FRK2")) == ["FRK26"]
-    assert codes_of(list_zones(zones, "NUTS0", parent="FR")) == []
-    assert codes_of(list_zones(zones, "CITY", parent="FR101")) == ["FR001C"]
-    assert codes_of(list_zones(zones, "NUTS2", contains="Île-de-France")) == ["FR10"]
-    assert codes_of(list_zones(zones, "NUTS2", contains="rhone")) == ["FRK2"]
+    assert codes_of(list_zones(zones, "NUTS2")) == ["CZ06", "CZ08", "HU22"]
+    assert codes_of(list_zones(zones, "NUTS2", parent="CZ")) == ["CZ06", "CZ08"]
+    assert codes_of(list_zones(zones, "NUTS3", parent="CZ06")) == ["CZ063", "CZ064"]
+    assert codes_of(list_zones(zones, "NUTS1", parent="CZ0")) == []
+    assert codes_of(list_zones(zones, "CITY", parent="CZ064")) == ["CZ002C"]
+    assert codes_of(list_zones(zones, "NUTS3", contains="GYŐR")) == ["HU221"]
+    assert codes_of(list_zones(zones, "NUTS2", contains="dunantul")) == ["HU22"]
 
 
 def test_hints(spark):
     one = spark.range(1)
-    for code, want in [("GR30", "use:EL30"), ("UKI", "outside_nomenclature"), ("GB", "outside_nomenclature"), ("EU27_2020", "aggregate:use_cube"), ("FR10", None)]:
+    for code, want in [("GR30", "use:EL30"), ("UKI", "outside_nomenclature"), ("GB", "outside_nomenclature"), ("EU27_2020", "aggregate:use_cube"), ("CZ06", None)]:
         assert one.select(code_hint(F.lit(code)).alias("h")).first().h == want
     assert one.select(is_aggregate(F.lit("EFTA")).alias("a")).first().a and not one.select(is_aggregate(F.lit("EE")).alias("a")).first().a
     levels = F.array(F.lit("NUTS2"), F.lit("NUTS3"), F.lit("CITY"))
-    assert one.select(level_hint(F.lit("FR"), F.lit("NUTS0"), levels).alias("h")).first().h == "list:NUTS2<FR"
+    assert one.select(level_hint(F.lit("HU"), F.lit("NUTS0"), levels).alias("h")).first().h == "list:NUTS2<HU"
 
 
 def test_request_checks(spark, specs, zones, canonical):
-    rows = [("a", "gdp_per_capita", "fr101"), ("b", "hospitals_count", "FR"), ("c", "gdp_per_capita", "GR30"), ("d", "gdp_per_capita", "EU27_2020"),
-            ("e", "nothing", "FR"), ("f", "gdp_per_capita", "FR10")]
-    rows += [("six", f"i{k}", "FR") for k in range(6)] + [("many", "population", f"Z{k:03d}") for k in range(101)]
-    present = canonical.select("indicator").where("indicator <> 'population'")
+    rows = [("a", "wage_index", "cz064"), ("b", "pharmacies", "HU"), ("c", "wage_index", "GR30"), ("d", "wage_index", "EU27_2020"),
+            ("e", "nothing", "HU"), ("f", "wage_index", "CZ06")]
+    rows += [("six", f"i{k}", "HU") for k in range(6)] + [("many", "dwellings", f"Z{k:03d}") for k in range(101)]
+    present = canonical.select("indicator").where("indicator <> 'dwellings'")
     got = {r.request_id: (r.error_code, r.hint) for r in validate_requests(
-        spark.createDataFrame([*rows, ("g", "population", "FR10")], "request_id string, indicator string, zone string"), specs, zones, present).collect()}
-    assert got == {"a": ("level_not_offered", "ancestor:FR10"), "b": ("level_not_offered", "list:NUTS2<FR"), "c": ("unknown_zone", "use:EL30"),
-                   "d": ("unknown_zone", "aggregate:use_cube:nama"), "e": ("unknown_indicator", None), "f": (None, None),
+        spark.createDataFrame([*rows, ("g", "dwellings", "CZ06")], "request_id string, indicator string, zone string"), specs, zones, present).collect()}
+    assert got == {"a": ("level_not_offered", "ancestor:CZ06"), "b": ("level_not_offered", "list:NUTS2<HU"), "c": ("unknown_zone", "use:EL30"),
+                   "d": ("unknown_zone", "aggregate:use_cube:wages"), "e": ("unknown_indicator", None), "f": (None, None),
                    "six": ("too_many_indicators", None), "many": ("too_many_zones", None), "g": ("not_materialized", None)}
 
 
 def test_spec_checks(make_specs, specs):
     assert validate_specs(specs).count() == 0
-    bad = make_specs(HOSPITALS | {"id": "no_tags", "tags": None}, GDP | {"id": "odd", "source": "census"}, GDP | {"id": "lau", "levels": ["LAU"]},
-                     GDP | {"id": "bad id"}, GDP | {"id": "twice"}, GDP | {"id": "twice"})
+    bad = make_specs(PHARMACIES | {"id": "no_tags", "tags": None}, WAGES | {"id": "odd", "source": "census"}, WAGES | {"id": "lau", "levels": ["LAU"]},
+                     WAGES | {"id": "bad id"}, WAGES | {"id": "twice"}, WAGES | {"id": "twice"})
     got = {(r.id, r.problem) for r in validate_specs(bad).collect()}
     assert got == {("no_tags", "tags_empty"), ("odd", "source_unknown"), ("lau", "level_unknown"), ("bad id", "id_malformed"), ("twice", "id_duplicated")}
 
 
 def test_spec_files(spark, tmp_path):
-    spec = {"id": "pop", "label": "Population", "unit": "NR", "source": "eurostat", "frequency": "A", "geo_levels": ["NUTS0"], "extraction": {"dataset": "demo", "filters": {"sex": "T"}}}
-    (tmp_path / "pop.json").write_text(json.dumps(spec))
+    spec = {"id": "jobs", "label": "Jobs", "unit": "NR", "source": "eurostat", "frequency": "A", "geo_levels": ["NUTS0"], "extraction": {"dataset": "labour", "filters": {"nace": "C"}}}
+    (tmp_path / "jobs.json").write_text(json.dumps(spec))
     (tmp_path / "other.json").write_text(json.dumps(spec | {"colour": "red"}))
     got = load_specs(spark, str(tmp_path))
-    assert got.where("file = 'pop'").first().extraction.filters == {"sex": "T"}
-    assert {(r.id, r.problem) for r in validate_specs(got).collect()} == {("pop", "id_differs_from_file"), ("pop", "field_unknown"), ("pop", "id_duplicated")}
+    assert got.where("file = 'jobs'").first().extraction.filters == {"nace": "C"}
+    assert {(r.id, r.problem) for r in validate_specs(got).collect()} == {("jobs", "id_differs_from_file"), ("jobs", "field_unknown"), ("jobs", "id_duplicated")}
     assert load_specs(spark, str(tmp_path), "osm").count() == 0
 
 
@@ -188,7 +190,7 @@ def test_misspelt_filter_leaves_the_indicator(spark, make_specs, zones):
     from terrane.sources.canonical import read_canonical
 
     root = f"{shared_dir(spark, 'test')}/store"
-    cube = spark.createDataFrame([("d", {"freq": "A", "geo": "FR"}, "2020", 1.0, "")], CUBE)
+    cube = spark.createDataFrame([("d", {"freq": "A", "geo": "CZ"}, "2020", 1.0, "")], CUBE)
     spec = dict(id="x", source="eurostat", frequency="A", levels=["NUTS0"], dataset="d", value_dim="geo")
     right, wrong = make_specs(dict(spec, filters={"freq": "A"})), make_specs(dict(spec, filters={"frq": "A"}))
     assert project_all(cube, right, zones, None, root) == 1

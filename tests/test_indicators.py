@@ -13,8 +13,8 @@ from terrane.schemas import CANONICAL
 from terrane.session import shared_dir
 from terrane.sources.canonical import canonical_rows, drop_indicator, materialized_ids, read_canonical, write_indicator
 
-GDP, POP, HOSP = "gdp_per_capita", "population", "hospitals_count"
-SPEC = {"id": GDP, "unit": "EUR_HAB", "source": "eurostat"}
+WAGES, HOMES, PHARMS = "wage_index", "dwellings", "pharmacies"
+SPEC = {"id": WAGES, "unit": "INDEX", "source": "eurostat"}
 
 
 def cells(answer):
@@ -22,70 +22,70 @@ def cells(answer):
 
 
 def test_last_three_periods_pivoted(canonical):
-    got = cells(query_indicators(canonical, [GDP, POP], ["FR10", "FRK2"]))
-    assert got[0] == ("FR10", "2023", "66800 [p]", "12300000")
-    assert [t for z, t, *_ in got if z == "FR10"] == ["2023", "2022", "2021"]
+    got = cells(query_indicators(canonical, [WAGES, HOMES], ["CZ06", "HU22"]))
+    assert got[0] == ("CZ06", "2022", "118.4 [e]", "812400")
+    assert [t for z, t, *_ in got if z == "CZ06"] == ["2022", "2021", "2020"]
 
 
-@pytest.mark.parametrize("bounds, periods", [(("2021", "2022"), ["2022", "2021"]), (("2022", ""), ["2023", "2022"])])
+@pytest.mark.parametrize("bounds, periods", [(("2020", "2021"), ["2021", "2020"]), (("2021", ""), ["2022", "2021"])])
 def test_inclusive_window(canonical, bounds, periods):
-    got = cells(query_indicators(canonical, [GDP], ["FR10"], *bounds))
+    got = cells(query_indicators(canonical, [WAGES], ["CZ06"], *bounds))
     assert [r[1] for r in got] == periods
 
 
 def test_window_covers_subperiods(spark):
-    rows = spark.createDataFrame([("2023-Q1",), ("2023-Q4",), ("2024-Q1",)], "time string")
-    kept = rows.where(in_window(F.col("time"), "2023", "2023")).orderBy("time")
-    assert [r.time for r in kept.collect()] == ["2023-Q1", "2023-Q4"]
+    rows = spark.createDataFrame([("2017-Q2",), ("2017-Q3",), ("2018-Q2",)], "time string")
+    kept = rows.where(in_window(F.col("time"), "2017", "2017")).orderBy("time")
+    assert [r.time for r in kept.collect()] == ["2017-Q2", "2017-Q3"]
 
 
 def test_period_order(spark):
-    order = ["2023", "2023-01", "2023-04", "2023-S2", "2023-Q4", "2023-10", "2024-Q1"]
+    order = ["2017", "2017-02", "2017-06", "2017-S2", "2017-Q4", "2017-11", "2018-Q1"]
     rows = spark.createDataFrame([(p,) for p in sorted(order)], "time string")
     assert [r.time for r in rows.orderBy(period_order(F.col("time"))).collect()] == order
 
 
-@pytest.mark.parametrize("text, key", [("2023", (2023, 0, 0)), ("2023-S2", (2023, 7, 1)), ("2023-Q4", (2023, 10, 2)),
-                                       ("2023-10", (2023, 10, 3)), ("2023-W05", (2023, 0, 9)), ("n/a", (0, 0, 0)), ("2023-S", (2023, 0, 9))])
+@pytest.mark.parametrize("text, key", [("2016", (2016, 0, 0)), ("2016-S1", (2016, 1, 1)), ("2016-Q3", (2016, 7, 2)),
+                                       ("2016-08", (2016, 8, 3)), ("2016-W41", (2016, 0, 9)), ("soon", (0, 0, 0)), ("2016-S", (2016, 0, 9))])
 def test_period_key(spark, text, key):
     assert tuple(spark.range(1).select(period_key(F.lit(text)).alias("k")).first().k) == key
 
 
 def test_unknown_zone_or_indicator_is_empty(canonical):
-    assert cells(query_indicators(canonical, [GDP], ["ZZ99"])) == []
-    assert cells(query_indicators(canonical, ["never"], ["FR10"])) == []
+    assert cells(query_indicators(canonical, [WAGES], ["ZZ99"])) == []
+    assert cells(query_indicators(canonical, ["never"], ["CZ06"])) == []
 
 
 def test_snapshot_repeats_on_period_rows(canonical):
-    got = cells(query_indicators(canonical, [GDP, HOSP], ["FR10"], snapshots=[HOSP]))
-    assert len(got) == 3 and {r[3] for r in got} == {"41 [snapshot 2026-08]"}
-    got = cells(query_indicators(canonical, [GDP, HOSP], ["FR10"], "2020", "2021", snapshots=[HOSP]))
-    assert [(r[1], r[3]) for r in got] == [("2021", "41 [snapshot 2026-08]"), ("2020", "41 [snapshot 2026-08]")]
+    got = cells(query_indicators(canonical, [WAGES, PHARMS], ["CZ06"], snapshots=[PHARMS]))
+    assert len(got) == 3 and {r[3] for r in got} == {"214 [snapshot 2025-03]"}
+    got = cells(query_indicators(canonical, [WAGES, PHARMS], ["CZ06"], "2019", "2020", snapshots=[PHARMS]))
+    assert [(r[1], r[3]) for r in got] == [("2020", "214 [snapshot 2025-03]"), ("2019", "214 [snapshot 2025-03]")]
 
 
 def test_snapshot_alone_keeps_its_date(canonical):
-    got = cells(query_indicators(canonical, [HOSP], ["FR10", "BE10"], snapshots=[HOSP]))
-    assert got == [("BE10", "2026-08", "38 [osm_completeness_unknown]"), ("FR10", "2026-08", "41 [osm_completeness_unknown]")]
+    got = cells(query_indicators(canonical, [PHARMS], ["CZ06", "CZ08"], snapshots=[PHARMS]))
+    assert got == [("CZ06", "2025-03", "214 [osm_completeness_unknown]"), ("CZ08", "2025-03", "187 [osm_completeness_unknown]")]
 
 
 def test_snapshot_only_where_known(canonical):
-    got = cells(query_indicators(canonical, [GDP, HOSP], ["BE10", "FRK2"], snapshots=[HOSP]))
-    assert {(r[0], r[3]) for r in got} == {("BE10", "38 [snapshot 2026-08]"), ("FRK2", "")}
+    got = cells(query_indicators(canonical, [WAGES, PHARMS], ["CZ08", "HU22"], snapshots=[PHARMS]))
+    assert {(r[0], r[3]) for r in got} == {("CZ08", "187 [snapshot 2025-03]"), ("HU22", "")}
 
 
 def test_companion_reports(canonical):
-    answer = query_indicators(canonical, [GDP, POP, HOSP, "never"], ["FR10"], "2022", "2022", snapshots=[HOSP])
-    assert {r.indicator: (r.time_min, r.time_max) for r in answer.missing.collect()} == {POP: ("2023", "2023"), "never": (None, None)}
-    assert {r.source: r.dates for r in answer.by_source.collect()} == {"eurostat": "21.08.2026", "osm": "extract 2026-08"}
+    answer = query_indicators(canonical, [WAGES, HOMES, PHARMS, "never"], ["CZ06"], "2021", "2021", snapshots=[PHARMS])
+    assert {r.indicator: (r.time_min, r.time_max) for r in answer.missing.collect()} == {HOMES: ("2022", "2022"), "never": (None, None)}
+    assert {r.source: r.dates for r in answer.by_source.collect()} == {"eurostat": "03.02.2025", "osm": "extract 2025-03"}
     note = answer.snapshots.first()
-    assert (note.snapshot_time, note.qualities, note.repeated) == ("2026-08", "osm_completeness_unknown", True)
-    both = query_indicators(canonical, [GDP, POP], ["FR10"]).by_source.first()
-    assert both.dates == "gdp_per_capita 21.08.2026, population 20.08.2026"
+    assert (note.snapshot_time, note.qualities, note.repeated) == ("2025-03", "osm_completeness_unknown", True)
+    both = query_indicators(canonical, [WAGES, HOMES], ["CZ06"]).by_source.first()
+    assert both.dates == "dwellings 14.01.2025, wage_index 03.02.2025"
 
 
 def test_profile_and_levels(canonical):
-    p = indicator_profile(canonical.where(F.col("indicator") == GDP)).first()
-    assert (p.rows, p.time_min, p.time_max, p.source_date) == (7, "2020", "2023", "21.08.2026")
+    p = indicator_profile(canonical.where(F.col("indicator") == WAGES)).first()
+    assert (p.rows, p.time_min, p.time_max, p.source_date) == (7, "2019", "2022", "03.02.2025")
     assert {r.level for r in levels_present(canonical).collect()} == {"NUTS2"}
 
 
@@ -97,29 +97,29 @@ def test_truncation(canonical):
 
 def test_write_replaces_only_its_partition(spark, canonical):
     root = shared_dir(spark, "test")
-    rows = canonical.where(F.col("indicator") == GDP).select("geo_code", "time", "value", "quality")
-    assert write_indicator(rows, root, SPEC, "21.08.2026", datetime(2026, 9, 1)) == 7
-    assert write_indicator(rows.limit(2).drop("quality"), root, SPEC | {"id": POP}, "x") == 2
+    rows = canonical.where(F.col("indicator") == WAGES).select("geo_code", "time", "value", "quality")
+    assert write_indicator(rows, root, SPEC, "03.02.2025", datetime(2025, 4, 2)) == 7
+    assert write_indicator(rows.limit(2).drop("quality"), root, SPEC | {"id": HOMES}, "x") == 2
     assert read_canonical(spark, root).schema.names == CANONICAL.names
-    assert write_indicator(rows.limit(1), root, SPEC, "22.08.2026") == 1
-    assert {(r.indicator, r["count"]) for r in read_canonical(spark, root).groupBy("indicator").count().collect()} == {(GDP, 1), (POP, 2)}
-    assert read_canonical(spark, root, [POP]).first().quality == ""
-    assert materialized_ids(spark, root) == [GDP, POP]
-    write_indicator(rows.where("false"), root, SPEC, "23.08.2026")
-    assert materialized_ids(spark, root) == [POP]
-    assert drop_indicator(spark, root, POP) and not drop_indicator(spark, root, POP)
+    assert write_indicator(rows.limit(1), root, SPEC, "04.02.2025") == 1
+    assert {(r.indicator, r["count"]) for r in read_canonical(spark, root).groupBy("indicator").count().collect()} == {(WAGES, 1), (HOMES, 2)}
+    assert read_canonical(spark, root, [HOMES]).first().quality == ""
+    assert materialized_ids(spark, root) == [HOMES, WAGES]
+    write_indicator(rows.where("false"), root, SPEC, "05.02.2025")
+    assert materialized_ids(spark, root) == [HOMES]
+    assert drop_indicator(spark, root, HOMES) and not drop_indicator(spark, root, HOMES)
 
 
 def test_reading_one_indicator_prunes_partitions(spark, canonical):
     root = shared_dir(spark, "test")
     canonical.write.partitionBy("indicator").parquet(root)
-    plan = read_canonical(spark, root, [GDP]).where("geo_code = 'FR10'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(indicator" in plan and "PushedFilters: [IsNotNull(geo_code), EqualTo(geo_code,FR10)]" in plan
+    plan = read_canonical(spark, root, [WAGES]).where("geo_code = 'CZ06'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(indicator" in plan and "PushedFilters: [IsNotNull(geo_code), EqualTo(geo_code,CZ06)]" in plan
 
 
 def test_missing_columns_are_refused(spark):
     with pytest.raises(ValueError, match="time, value"):
-        canonical_rows(spark.createDataFrame([("FR",)], "geo_code string"), "a", "b", "c", "d")
+        canonical_rows(spark.createDataFrame([("CZ",)], "geo_code string"), "a", "b", "c", "d")
 
 
 @pytest.mark.parametrize("value", [0.0, 3.0, -2.0, 12345.65, 0.1234565, 1234567.8, 1e15, 1.5e-7, 0.00012345, 2.5, 112946.26, 0.5000005, 99999.95, -1234.565])
@@ -140,7 +140,7 @@ def test_quality_merge(spark):
 
 def test_years_and_stamps(spark):
     one = spark.range(1)
-    assert one.select(year_list(F.lit("2020-2022,2024")).alias("y")).first().y == [2020, 2021, 2022, 2024]
-    assert one.select(year_list(F.lit("2020-x")).alias("y")).first().y is None
-    for text, want in [("2026-08-01T20:21:03Z\n", "2026-08"), ("", None), ("soon", None), ("2026-08-01", None)]:
+    assert one.select(year_list(F.lit("2011-2013,2016")).alias("y")).first().y == [2011, 2012, 2013, 2016]
+    assert one.select(year_list(F.lit("2011-x")).alias("y")).first().y is None
+    for text, want in [("2019-11-05T04:17:59Z\n", "2019-11"), ("", None), ("soon", None), ("2019-11-05", None)]:
         assert one.select(month_stamp(F.lit(text)).alias("m")).first().m == want

@@ -14,9 +14,9 @@ from terrane.sources.cubes import read_cube
 from terrane.streaming.admission import ROCKSDB, admit_stream
 from terrane.streaming.jobs import land_cubes, run_to_table
 
-TITLES = [("nama", "Gross domestic product (GDP) at current market prices by NUTS 2 region", "eurostat"),
-          ("tour", "Nights spent at tourist accommodation establishments, monthly data per month", "eurostat"),
-          ("hosp", "Hôpitaux", "osm")]
+TITLES = [("wages_q", "Labour cost index (LCI) of services and industry by economic section", "eurostat"),
+          ("ferry", "Passengers carried on ferry lines between islands, quarterly count per port", "eurostat"),
+          ("theatre", "Théâtres", "osm")]
 
 
 @pytest.fixture(scope="module")
@@ -33,20 +33,20 @@ def found(corpus, spark, text):
 
 
 def test_all_terms_with_plural(spark, corpus):
-    assert found(corpus, spark, "gross domestic product regions") == [("nama", False)]
+    assert found(corpus, spark, "labour cost index services") == [("wages_q", False)]
 
 
 def test_any_term_fallback_is_partial(spark, corpus):
-    assert found(corpus, spark, "GDP per inhabitant")[0][1] is True
-    assert ("nama", True) in found(corpus, spark, "GDP per inhabitant")
-    assert found(corpus, spark, '"') == [] and found(corpus, spark, "hôpitau") == [("hosp", False)]
+    assert found(corpus, spark, "LCI per hour")[0][1] is True
+    assert ("wages_q", True) in found(corpus, spark, "LCI per hour")
+    assert found(corpus, spark, '"') == [] and found(corpus, spark, "THÉÂTR") == [("theatre", False)]
 
 
 def test_any_term_by_source_and_blank_query(spark, corpus):
     docs, index, stats = corpus
-    asked = spark.createDataFrame([(1, "product hopit"), (2, " ")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "index theat"), (2, " ")], "query_id int, query string")
     got = {(r.query_id, r.doc) for r in search_any(asked, index, stats, docs, "osm").collect()}
-    assert got == {(1, "hosp"), (2, "hosp")}
+    assert got == {(1, "theatre"), (2, "theatre")}
     assert search_any(asked.where("query_id = 2"), index, stats, docs).count() == 3
 
 
@@ -54,14 +54,14 @@ def test_spec_and_dataset_search(spark, specs, canonical):
     from terrane.plans.lookup import search_datasets, search_indicators
     from terrane.schemas import CATALOGUE
 
-    asked = spark.createDataFrame([(1, "gdp"), (2, "hospital population")], "query_id int, query string")
-    got = {(r.query_id, r.id): r.materialized for r in search_indicators(asked, specs, canonical.where("indicator <> 'population'")).collect()}
-    assert got == {(1, "gdp_per_capita"): True, (2, "population"): False, (2, "hospitals_count"): True}
-    assert {r.id for r in search_indicators(asked, specs, canonical, source="osm").collect()} == {"hospitals_count"}
-    catalogue = spark.createDataFrame([("nama", TITLES[0][1], "2000", "2024", "x"), ("tour", TITLES[1][1], "1990-01", "2026-05", "x")], CATALOGUE)
-    asked = spark.createDataFrame([(1, "gross domestic product regions"), (2, "GDP per inhabitant"), (3, "nights 1990")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "wage"), (2, "pharmacy dwelling pharmacies")], "query_id int, query string")
+    got = {(r.query_id, r.id): r.materialized for r in search_indicators(asked, specs, canonical.where("indicator <> 'dwellings'")).collect()}
+    assert got == {(1, "wage_index"): True, (2, "dwellings"): False, (2, "pharmacies"): True}
+    assert {r.id for r in search_indicators(asked, specs, canonical, source="osm").collect()} == {"pharmacies"}
+    catalogue = spark.createDataFrame([("wages_q", TITLES[0][1], "2000", "2024", "x"), ("ferry", TITLES[1][1], "1997-Q1", "2025-Q2", "x")], CATALOGUE)
+    asked = spark.createDataFrame([(1, "labour cost index services"), (2, "LCI per hour"), (3, "ferry 1997")], "query_id int, query string")
     got = {(r.query_id, r.place): (r.code, r.partial, r.data_end) for r in search_datasets(asked, catalogue).collect()}
-    assert got[1, 1] == ("nama", False, "2024") and got[2, 1][1] is True and got[3, 1] == ("tour", False, "2026-05")
+    assert got[1, 1] == ("wages_q", False, "2024") and got[2, 1][1] is True and got[3, 1] == ("ferry", False, "2025-Q2")
 
 
 def test_folding(spark):
@@ -73,10 +73,84 @@ def test_folding(spark):
 
 
 def test_closest(spark):
-    words = spark.createDataFrame([("frk3",), ("zzzzzz",)], "word string")
-    vocabulary = spark.createDataFrame([("FRK2",), ("FR10",), ("FRK26",), ("BE10",), ("FRK",)], "term string")
-    got = [(r.term, r.distance) for r in closest_terms(words, vocabulary).orderBy("place").collect()]
-    assert got == [("FRK", 1), ("FRK2", 1), ("FR10", 2)]
+    words = spark.createDataFrame([("hu23",), ("zzzzzz",)], "word string")
+    vocabulary = spark.createDataFrame([("HU22",), ("HU10",), ("HU221",), ("CZ08",), ("HU2",)], "term string")
+    got = [(r.word, r.term, round(r.ratio, 6)) for r in closest_terms(words, vocabulary).orderBy("place").collect()]
+    # HU23 has five pairs of neighbours with its ends, three of them in common with HU22 of five, HU2 of four and HU221 of six
+    assert got == [("HU23", "HU2", round(6 / 9, 6)), ("HU23", "HU22", 0.6), ("HU23", "HU221", round(6 / 11, 6))]
+
+
+def test_closest_against_all_pairs(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(120)] + ["gdp_per_capita", "aaaaaaaa"]
+    asked = texts[:40] + ["gdp_per_inhabitant", "aaa", "b" * 10_000]
+
+    def pairs(t):
+        t = f"\2{t.upper()}\3"
+        out = {}
+        for k in range(len(t) - 1):
+            out[t[k : k + 2]] = out.get(t[k : k + 2], 0) + 1
+        return out
+
+    def ratio(a, b):
+        x, y = pairs(a), pairs(b)
+        return 2 * sum(min(n, y.get(g, 0)) for g, n in x.items()) / (sum(x.values()) + sum(y.values()))
+
+    for cutoff in ((1, 2), (4, 5)):
+        want = {}
+        for w in set(asked):
+            best = sorted((-ratio(w, t), t.upper()) for t in set(texts) if ratio(w, t) * cutoff[1] >= cutoff[0] - 1e-12)[:3]
+            want |= {(w.upper(), k): (t, round(-r, 9)) for k, (r, t) in enumerate(best, 1)}
+        got = closest_terms(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame([(t,) for t in texts], "term string"), cutoff=cutoff)
+        assert {(r.word, r.place): (r.term.upper(), round(r.ratio, 9)) for r in got.collect()} == want
+    assert ("GDP_PER_INHABITANT", 1) not in want and closest_terms(
+        spark.createDataFrame([("gdp_per_inhabitant",)], "word string"), spark.createDataFrame([(t,) for t in texts], "term string")).first().term == "gdp_per_capita"
+
+
+def test_phrases(spark):
+    """The parts of a word with other characters inside must stand side by side, in one column; the last one may go on."""
+    docs = spark.createDataFrame([("a", "rail_12_freight", "x"), ("b", "rail freight 12", "x"), ("c", "rail", "12 freight"), ("d", "on rail 12 freighters rail 12 freight", "x")], "doc string, t string, u string")
+    index = build_index(docs, "t", "u")
+    stats = corpus_statistics(index, docs)
+
+    def hits(text):
+        return sorted(r.doc for r in search_all_then_any(spark.createDataFrame([(1, text)], "query_id int, query string"), index, stats).collect())
+
+    assert hits("rail_12_fre") == ["a", "d"] and hits("rail-12") == ["a", "d"] and hits("rail 12 freight") == ["a", "b", "c", "d"]
+    assert hits("rai_12") == [] and hits("12_freight rail") == ["a", "c", "d"] and hits('"rail"_') == ["a", "b", "c", "d"]
+    found = {(r.doc, r.term): (r.tf, r.positions) for r in index.where("term in ('rail', '12')").collect()}
+    assert found["d", "rail"] == (2, [1, 4]) and found["c", "12"] == (1, [2]) and found["a", "12"] == (1, [1])
+    assert index.agg(F.sum("tf")).first()[0] == stats.first().mean_length * 4
+
+
+def test_index_at_rest(spark):
+    """Only what changed is taken apart; a run that broke off before the list of documents is made good by the next."""
+    from terrane.sources.postings import read_index, refresh_index
+
+    def docs(**texts):
+        return spark.createDataFrame(sorted(texts.items()), "doc string, t string")
+
+    def held():
+        index, known = read_index(spark, root)
+        return sorted((r.doc, r.term, r.tf, r.length) for r in index.collect()), sorted(r.doc for r in known.collect())
+
+    def whole(**texts):
+        return sorted((r.doc, r.term, r.tf, r.length) for r in build_index(docs(**texts), "t").collect()), sorted(texts)
+
+    root = f"{shared_dir(spark, 'test')}/index"
+    first = dict(a="alpha beta", b="beta beta gamma", c="delta", d="")
+    assert refresh_index(docs(**first), root, "t")["new"] == 4 and held() == whole(**first)
+    again = refresh_index(docs(**first), root, "t")
+    assert (again["unchanged"], again["buckets"]) == (4, 0)
+    second = dict(a="alpha beta", b="gamma epsilon", e="zeta alpha", d="delta")
+    counts = refresh_index(docs(**second), root, "t")
+    assert (counts["new"], counts["changed"], counts["gone"], counts["unchanged"]) == (1, 2, 1, 1) and held() == whole(**second)
+    spark.createDataFrame([("a", 0), ("c", 0)], "doc string, digest long").write.mode("overwrite").parquet(f"{root}/documents")
+    refresh_index(docs(**second), root, "t")
+    assert held() == whole(**second)
+    terms = spark.createDataFrame([("alpha",)], "q_term string")
+    some = {r.term for r in read_index(spark, root, terms)[0].collect()}
+    assert "alpha" in some and len(some) < 6
 
 
 def test_call_log_rules(spark):
