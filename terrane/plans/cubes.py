@@ -14,8 +14,8 @@ from ..operators.projection import missing_dimensions, project_indicators
 from ..operators.reports import bounded
 from ..schemas import MAX_ROWS
 from ..session import cut_lineage
-from ..sources.canonical import canonical_rows, write_canonical
-from ..sources.cubes import file_dataset, read_cube, read_wide_cubes, write_cube
+from ..sources.canonical import canonical_rows, drop_partition, write_canonical
+from ..sources.cubes import landed_files, read_cube, read_wide_cubes, wide_lines, wide_problems, write_cube
 from ..sources.files import upsert_state
 
 
@@ -35,32 +35,51 @@ def ingest_cubes(spark: SparkSession, landing: str, root: str, remote: DataFrame
 
 
 def sync_cubes(spark: SparkSession, landing: str, root: str, remote: DataFrame, state: DataFrame, source: str,
-               now: datetime, full: bool = False) -> tuple[DataFrame, DataFrame]:
+               now: datetime, full: bool = False, quarantine: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One run of the cube sync: `source, key, status, reason, rows` per dataset, and the state after it.
 
-    A due dataset is `updated` with the rows it has now (else 0), or `failed` when nothing landed for it; then its old rows
-    and its old state stay, so the next run tries again. A second run with the same signals updates nothing.
+    A due dataset is `updated` with the rows it has now (else 0), or `failed` when nothing landed for it (`no_file`) or one of its
+    files can't be read as a whole (`bad_file`); then its old rows and its old state stay, so the next run tries again,
+    and the other datasets go on. What can't be read goes to the table `quarantine`, each dataset replacing its own. A second run
+    with the same signals updates nothing.
     """
-    files = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(landing).select("path")
-    landed = files.select(file_dataset(F.col("path")).alias("key")).distinct().withColumn("landed", F.lit(True))
+    files = cut_lineage(landed_files(spark, landing))
+    landed = files.select(F.col("dataset").alias("key")).distinct().withColumn("landed", F.lit(True))
     known = state.where(F.col("source") == source).select("key", "value")
-    # the delta is read again after the store has changed, so it is kept
-    delta = cut_lineage(freshness_delta(remote, known, full).join(landed, "key", "left").fillna(False, ["landed"]))
-    ready = delta.where("landed")
-    ingest_cubes(spark, landing, root, ready.select("key", "signal"), known, full)
+    delta = freshness_delta(remote, known, full).join(landed, "key", "left").fillna(False, ["landed"])
     due = F.col("status") != "unchanged"
-    names = sorted(r[0] for r in delta.where(due & F.col("landed")).select("key").collect())
+    # the delta is read again after the store has changed, so it is kept
+    delta = cut_lineage(delta)
+    looked_at = sorted(r[0] for r in delta.where(due & F.col("landed")).select("key").collect())
+    lines, n = wide_lines(spark, landing, looked_at)
+    problems = cut_lineage(wide_problems(lines, files.where(F.col("dataset").isin(looked_at)), n))
+    if quarantine and looked_at:
+        write_problems(problems, quarantine, looked_at)
+    broken = problems.where(F.col("reason").isin("no_header", "headers")).select(F.col("dataset").alias("key")).distinct().withColumn("broken", F.lit(True))
+    delta = cut_lineage(delta.join(broken, "key", "left").fillna(False, ["broken"]))
+    good = F.col("landed") & ~F.col("broken")
+    ingest_cubes(spark, landing, root, delta.where(good).select("key", "signal"), known, full)
+    names = sorted(r[0] for r in delta.where(due & good).select("key").collect())
     counts = read_cube(spark, root, names).groupBy(F.col("dataset").alias("key")).agg(F.count("*").alias("n")) if names else None
     counted = delta.join(counts, "key", "left") if names else delta.withColumn("n", F.lit(None).cast("long"))
-    updated = due & F.col("landed")
+    updated = due & good
     outcomes = counted.select(
         F.lit(source).alias("source"), "key", F.when(updated, "updated").when(due, "failed").otherwise("unchanged").alias("status"),
-        F.when(due & ~F.col("landed"), "no_file").alias("reason"), F.when(updated, F.coalesce("n", F.lit(0))).otherwise(0).alias("rows"))
+        F.when(due & ~F.col("landed"), "no_file").when(due & F.col("broken"), "bad_file").alias("reason"),
+        F.when(updated, F.coalesce("n", F.lit(0))).otherwise(0).alias("rows"))
     fresh = delta.where(updated).select(F.lit(source).alias("source"), "key", F.col("signal").alias("value"),
                                         F.lit(now).cast("timestamp_ntz").alias("updated_at"))
     return outcomes, upsert_state(state, fresh)
 
 
+def write_problems(problems: DataFrame, path: str, datasets: list[str]) -> None:
+    """Replace the problems of the datasets; those without any lose what they had."""
+    problems.hint("rebalance", "dataset").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+    have = {r[0] for r in problems.select("dataset").distinct().collect()}
+    for name in sorted(set(datasets) - have):
+        drop_partition(problems.sparkSession, path, "dataset", name)
+
+
 def spec_problems(cube: DataFrame, specs: DataFrame) -> DataFrame:
     """`indicator, dataset, dim`: dimensions that specs ask of datasets which are there but lack them."""
     dims = cube.select("dataset", F.explode(F.map_keys("dims")).alias("dim")).distinct()

@@ -82,6 +82,30 @@ def sync_twice(spark, sf):
     return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2))).select("run", "key", "status", "reason", "rows")
 
 
+@query("cube_sync_bad_file", "syncable", "cube", sql="""
+SELECT key, CASE key WHEN 'orders_R1' THEN 'failed' ELSE 'updated' END AS status, CASE key WHEN 'orders_R1' THEN 'bad_file' END AS reason,
+       CASE key WHEN 'orders_R1' THEN 0 WHEN 'orders_R2' THEN n - (SELECT count(*) FROM cube WHERE left(geo, 2) = 'R2' AND time = '1997') ELSE n END AS rows FROM syncable
+UNION ALL SELECT 'orders_R1', 'quarantine', 'no_header', 1
+UNION ALL SELECT 'orders_R2', 'quarantine', 'number', (SELECT count(*) FROM cube WHERE left(geo, 2) = 'R2' AND time = '1997')""")
+def sync_bad_file(spark, sf):
+    """A dataset whose file has no header and one with unreadable cells: both are reported, and all others are ingested."""
+    root = shared_dir(spark, "sync")
+    rows = cube_columns(spark, sf)
+    wide = to_wide(rows, CUBE_DIMS, periods(rows))
+    key = F.col(f"`{wide.columns[0]}`")
+    named = wide.withColumn("dataset", F.concat(F.lit("orders_"), F.left(F.split_part(key, F.lit(","), F.lit(3)), F.lit(2))))
+    odd = F.when((F.col("dataset") == "orders_R2") & (F.col("1997") != ":"), F.concat(F.lit("about "), "1997")).otherwise(F.col("1997"))
+    named = named.withColumn("1997", odd)
+    how = {"sep": "\t", "quote": "", "escape": ""}
+    named.where("dataset <> 'orders_R1'").write.partitionBy("dataset").options(header=True, **how).csv(f"{root}/landing")
+    named.where("dataset = 'orders_R1'").drop("dataset").coalesce(1).write.options(header=False, **how).csv(f"{root}/landing/dataset=orders_R1")
+    remote = zones(spark, sf).where("level = 'NUTS0'").select(F.concat(F.lit("orders_"), "geo_code").alias("key"), F.lit("2001-08-02").alias("signal"))
+    state = remote.limit(0).select(F.lit("cube").alias("source"), "key", F.col("signal").alias("value"), F.lit(datetime(2001, 1, 1)).cast("timestamp_ntz").alias("updated_at"))
+    outcomes, _ = sync_cubes(spark, f"{root}/landing", f"{root}/store", remote, state, "cube", datetime(2001, 8, 2), quarantine=f"{root}/quarantine")
+    bad = spark.read.parquet(f"{root}/quarantine").groupBy(F.col("dataset").alias("key"), "reason").agg(F.count(F.lit(1)).alias("rows"))
+    return outcomes.select("key", "status", "reason", "rows").unionByName(bad.select("key", F.lit("quarantine").alias("status"), "reason", "rows"))
+
+
 _QUERY_SQL = """
 SELECT freq, unit, geo, time, value, flag, n > 400 AS truncated, n AS total FROM (
   SELECT *, row_number() OVER (ORDER BY time, freq, unit, geo) AS rn, count(*) OVER () AS n FROM cube

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..sources.cubes import read_cube, spread_dims, to_wide, write_wide
 from ..streaming.admission import ROCKSDB, admit_stream
-from ..streaming.jobs import call_rollup, daily_counter, land_cubes, latest_of, run_to_table, stream_folder, upsert_to_table
+from ..streaming.jobs import (
+    call_rollup, compact_counts, count_with_late, counted, daily_counter, land_cubes, latest_of, rollup_of, run_to_table, stream_folder,
+    upsert_to_table,
+)
 from .base import query, table
 from .cube_queries import periods
 from .shapes import CUBE_DIMS, DATASET, calls, cube_columns
@@ -39,6 +42,43 @@ def usage_rollup_stream(spark, sf):
         F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tool", "status", "calls", "total_ms", "median_ms", "max_ms")
 
 
+def late_calls(spark, sf, root):
+    """The calls as a stream of two files, the later half of the time first."""
+    rows = calls(spark, sf)
+    for late, name in ((False, "first"), (True, "second")):
+        rows.where((F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")) == late).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
+
+
+@query("daily_counter_late", "calls", sql="""
+SELECT strftime(ts, '%Y-%m-%d') AS day, client, CAST(coalesce(sum(weight) FILTER (ts >= TIMESTAMP '2024-01-16'), 0) AS BIGINT) AS in_time,
+       CAST(coalesce(sum(weight) FILTER (ts < TIMESTAMP '2024-01-16'), 0) AS BIGINT) AS late, CAST(sum(weight) AS BIGINT) AS used FROM calls GROUP BY ALL""")
+def daily_counter_late(spark, sf):
+    """Calls that come after their day is closed are counted apart; with them the counter equals the batch sum."""
+    out, checkpoint = stream_folder(spark, "late")
+    count_with_late(late_calls(spark, sf, f"{out}/in"), "1 day", ["client"], {"used": F.col("weight").cast("long")}, f"{out}/counts", checkpoint)
+    compact_counts(spark, f"{out}/counts", ["client"], ["used"])
+    parts = [counted(spark, f"{out}/counts", ["client"], ["used"], late).withColumnRenamed("used", name) for late, name in ((False, "in_time"), (True, "late"))]
+    both = counted(spark, f"{out}/counts", ["client"], ["used"])
+    keys = ["window_start", "client"]
+    return both.join(parts[0], keys, "left").join(parts[1], keys, "left").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "client", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_time", "late")], "used")
+
+
+@query("usage_rollup_late", "calls", sql="""
+SELECT strftime(ts, '%Y-%m-%d %H') AS hour, tool, CASE WHEN value > 40 THEN 'empty' ELSE 'ok' END AS status, count(*) AS calls,
+       CAST(sum(CAST(floor(value) AS INT)) AS BIGINT) AS total_ms, quantile_disc(CAST(floor(value) AS INT), 0.5) AS median_ms, max(CAST(floor(value) AS INT)) AS max_ms FROM calls GROUP BY ALL""")
+def usage_rollup_late(spark, sf):
+    """The rollup over late calls as well, its median exact."""
+    out, checkpoint = stream_folder(spark, "late")
+    logged = late_calls(spark, sf, f"{out}/in").select(
+        "ts", "tool", F.when(F.col("value") > 40, "empty").otherwise("ok").alias("status"), F.floor("value").cast("int").alias("ms"))
+    keys = ["tool", "status"]
+    count_with_late(logged, "1 hour", [*keys, "ms"], {"calls": F.lit(1).cast("long")}, f"{out}/counts", checkpoint)
+    return rollup_of(counted(spark, f"{out}/counts", [*keys, "ms"], ["calls"]), keys).select(
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), *keys, "calls", "total_ms", "median_ms", "max_ms")
+
+
 @query("landing_stream", "cube", sql="SELECT freq, unit, geo, time, value, flag FROM cube")
 def landing_stream(spark, sf):
     """Land wide files, run twice; the second run finds nothing new."""
