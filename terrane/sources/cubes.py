@@ -109,7 +109,7 @@ def wide_lines(spark: SparkSession, path: str, datasets: list[str] | None = None
 
 
 def landed_files(spark: SparkSession, path: str) -> DataFrame:
-    """`dataset, file` of all wide files under `path`, empty ones included, from their listing."""
+    """`dataset, file` of all wide files under `path`, from their listing; files without a byte aren't listed."""
     listed = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path).select("path")
     return listed.select(file_dataset(F.col("path")).alias("dataset"), F.col("path").alias("file"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import client_label
-from ..operators.usage import BURST, BURST_SECONDS, MICROS, Meter, burst_bucket, daily_limit, micros
+from ..operators.usage import BURST, BURST_SECONDS, MICROS, Meter, burst_bucket, daily_limit, instant, micros
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Days before a client's newest whose totals stay in the state.
@@ -57,6 +57,98 @@ class Admission(StatefulProcessor):
         pass
 
 
+class OrderedAdmission(StatefulProcessor):
+    """One client's meter over calls in the order of their time, whatever the order of arrival.
+
+    Calls wait in the state until the watermark has passed them; a timer at the earliest one waiting wakes the client, which
+    then takes all that are due in the order of `(us, call_id)`. So the state holds what lies within the delay, and the days and the
+    last window of the meter.
+    """
+
+    def __init__(self, burst: int, window: int):
+        self.burst, self.window = burst, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, call_id long, day date, bucket string, weight int, day_limit int")
+        self.due = handle.getValueState("due", "at long")
+        self.day = handle.getValueState("day", "day date, used int")
+        self.recent = handle.getListState("recent", "us long, bucket string, weight int")
+
+    def _wake_at(self, us: int) -> None:
+        at = us // 1000 + 1
+        if self.due.exists():
+            known = self.due.get()[0]
+            if known <= at:
+                return
+            self.handle.deleteTimer(known)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:  # a part at a time: a client's batch is never held as a whole
+            bucket = part["bucket"].astype(object).where(part["bucket"].notna(), None)
+            self.waiting.appendList(list(zip(part["us"].tolist(), part["call_id"].tolist(), part["day"].tolist(), bucket.tolist(),
+                                             part["weight"].tolist(), part["day_limit"].tolist(), strict=True)))
+            self._wake_at(int(part["us"].min()))
+        yield pd.DataFrame({"call_id": [], "client": [], "verdict": []}).astype({"call_id": "int64", "client": "str", "verdict": "str"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        calls = list(self.waiting.get())
+        due = sorted(c for c in calls if c[0] < passed)
+        left = [c for c in calls if c[0] >= passed]
+        self.due.clear()
+        if left:
+            self.waiting.put(left)
+            self._wake_at(min(c[0] for c in left))
+        else:
+            self.waiting.clear()
+        meter, day = Meter(self.burst, self.window), None
+        if self.recent.exists():
+            for us, bucket, weight in self.recent.get():
+                meter.remember(us, bucket, weight)
+        if self.day.exists():
+            day, meter.used = self.day.get()
+        verdicts = []
+        for us, _, own, bucket, weight, limit in due:
+            if own != day:
+                day, meter.used = own, 0
+            verdicts.append(meter.decide(us, bucket, weight, limit))
+        if due:
+            self.day.update((day, int(meter.used)))
+            if meter.recent:
+                self.recent.put([(int(u), b, int(w)) for u, b, w in meter.recent])
+            else:
+                self.recent.clear()
+        yield pd.DataFrame({"call_id": pd.Series([c[1] for c in due], dtype="int64"), "client": pd.Series([key[0]] * len(due), dtype="str"),
+                            "verdict": pd.Series(verdicts, dtype="str")})
+
+    def close(self) -> None:
+        pass
+
+
+def _metered(calls: DataFrame, limits: dict[str, int] | None) -> DataFrame:
+    label = client_label(F.col("kind"), F.col("ident"))
+    return calls.select(
+        "call_id", label.alias("client"), F.to_date("ts").alias("day"), micros(F.col("ts")).alias("us"),
+        burst_bucket(F.col("kind"), F.col("tier"), F.col("session"), label).alias("bucket"),
+        F.col("weight").cast("int").alias("weight"), daily_limit(F.col("tier"), limits).alias("day_limit"), instant(F.col("ts")).alias("at"))
+
+
+def admit_stream_in_order(calls: DataFrame, delay: str, limits: dict[str, int] | None = None, burst: int = BURST,
+                          seconds: int = BURST_SECONDS) -> DataFrame:
+    """`call_id, client, verdict` as `operators.usage.admit` gives them, however the calls arrive within `delay`.
+
+    For accounting, where a verdict may wait: a call is decided once no earlier one is expected, that is when the newest call is
+    `delay` ahead of it. Calls that come later than that are left to `jobs.count_with_late`. Needs the RocksDB state store.
+    """
+    read = _metered(calls, limits).withWatermark("at", delay)
+    limited = read.where("day_limit is not null").groupBy("client").transformWithStateInPandas(
+        OrderedAdmission(burst, seconds * MICROS), OUTPUT, "append", "eventTime")
+    return limited.unionByName(read.where("day_limit is null").select("call_id", "client", F.lit("admitted").alias("verdict")))
+
+
 def admit_stream(calls: DataFrame, limits: dict[str, int] | None = None, burst: int = BURST,
                  seconds: int = BURST_SECONDS) -> DataFrame:
     """`call_id, client, verdict` as calls arrive; needs the RocksDB state store.
@@ -65,11 +157,7 @@ def admit_stream(calls: DataFrame, limits: dict[str, int] | None = None, burst:
     be told at once, so calls are not held back for the watermark: across
     micro-batches the order is that of arrival.
     """
-    label = client_label(F.col("kind"), F.col("ident"))
-    read = calls.select(
-        "call_id", label.alias("client"), F.to_date("ts").alias("day"), micros(F.col("ts")).alias("us"),
-        burst_bucket(F.col("kind"), F.col("tier"), F.col("session"), label).alias("bucket"),
-        F.col("weight").cast("int").alias("weight"), daily_limit(F.col("tier"), limits).alias("day_limit"))
+    read = _metered(calls, limits).drop("at")
     limited = read.where("day_limit is not null").groupBy("client").transformWithStateInPandas(
         Admission(burst, seconds * MICROS), OUTPUT, "append", "none")
     # calls without a limit need no state

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.cubes import read_cube, spread_dims, to_wide, write_wide
-from ..streaming.admission import ROCKSDB, admit_stream
+from ..streaming.admission import ROCKSDB, admit_stream, admit_stream_in_order
 from ..streaming.jobs import (
     call_rollup, compact_counts, count_with_late, counted, daily_counter, land_cubes, latest_of, rollup_of, run_to_table, stream_folder,
     upsert_to_table,
@@ -112,3 +112,25 @@ def admission_stream(spark, sf):
     finally:
         spark.conf.set(key, before)
     return spark.read.parquet(out)
+
+
+@query("admission_stream_in_order", "calls", sql=ADMISSION_SQL)
+def admission_stream_in_order(spark, sf):
+    """The same verdicts from calls that arrive in three batches out of order: a later third of each client's calls first."""
+    out, checkpoint = stream_folder(spark, "admission")
+    rows = admission_calls(spark, sf)
+    turn = (F.hash("call_id") % 3 + 3) % 3
+    for k in range(3):
+        rows.where(turn == k).coalesce(1).write.mode("append").parquet(f"{out}/in/{k}")
+    # one call far ahead lets all others pass the watermark; it has no limit and is left out
+    ahead = rows.limit(1).withColumn("call_id", F.lit(-1).cast("long")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 900 DAYS")).withColumn("tier", F.lit("pro"))
+    ahead.coalesce(1).write.parquet(f"{out}/in/3")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in/*")
+        run_to_table(admit_stream_in_order(stream, "40 days", **ADMISSION), f"{out}/verdicts", checkpoint)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{out}/verdicts").where("call_id >= 0")
