@@ -201,8 +201,12 @@ def similar_terms(words: DataFrame, vocabulary: DataFrame, cutoff: tuple[int, in
     both = F.col("a") + F.col("b")
     room = F.least(F.col("a") - F.col("pa"), F.col("b") - F.col("pb"), F.least("a", "b") - 1) + 1
     pairs = met.where(2 * down * room >= up * both).select("word", "term", "a", "b").distinct()
-    common = pairs.join(left.select("word", "gram", "k"), "word").join(right.select("term", "gram", "k"), ["term", "gram", "k"])
-    common = common.groupBy("word", "term", "a", "b").agg(F.count(F.lit(1)).alias("c"))
+
+    def whole(grams: DataFrame, key: str, name: str) -> DataFrame:
+        return grams.groupBy(key).agg(F.collect_list(F.concat("gram", F.col("k").cast("string"))).alias(name))
+
+    both_lists = pairs.join(whole(left, "word", "ga"), "word").join(whole(right, "term", "gb"), "term")
+    common = both_lists.select("word", "term", "a", "b", F.size(F.array_intersect("ga", "gb")).alias("c"))
     return common.where(2 * down * F.col("c") >= up * both).select("word", "term", (2.0 * F.col("c") / both).alias("ratio"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DIMENSION = "map<string,struct<label:string,category:struct<index:map<string,int>,label:map<string,string>>>>"
@@ -37,17 +37,17 @@ def explode_jsonstat(docs: DataFrame, json: str = "json") -> DataFrame:
         lambda _, k: F.aggregate(F.slice(F.col("h.size"), k + 2, F.size("h.size")), F.lit(1).cast("bigint"),
                                  lambda acc, n: acc * n),
     )
-    cells = parsed.select(
-        *keep, F.col("h.id").alias("ids"), F.col("h.size").alias("sizes"),
-        ordered.alias("codes"), strides.alias("strides"),
-        F.explode(F.when(F.col("is_list"), listed).otherwise(mapped)).alias("cell"),
-    )
-    code = F.transform(
-        "ids",
-        lambda _, k: F.get(F.get("codes", k), F.pmod(F.floor(F.col("cell.i") / F.get("strides", k)).cast("bigint"),
-                                                    F.get("sizes", k).cast("bigint")).cast("int")),
-    )
-    return cells.select(*keep, F.map_from_arrays("ids", code).alias("coords"), F.col("cell.v").alias("value"))
+    read = parsed.select(
+        *keep, F.col("h.id").alias("ids"), F.col("h.size").alias("sizes"), ordered.alias("codes"), strides.alias("strides"),
+        F.when(F.col("is_list"), listed).otherwise(mapped).alias("cells"))
+
+    # codes are looked up inside the document's row, so that no cell carries the code lists along
+    def named(cell: Column) -> Column:
+        code = F.transform("ids", lambda _, k: F.get(F.get("codes", k), F.pmod(
+            F.floor(cell["i"] / F.get("strides", k)).cast("bigint"), F.get("sizes", k).cast("bigint")).cast("int")))
+        return F.struct(F.map_from_arrays("ids", code).alias("coords"), cell["v"].alias("value"))
+
+    return read.select(*keep, F.explode(F.transform("cells", named)).alias("c")).select(*keep, "c.coords", "c.value")
 
 
 def explode_structure(docs: DataFrame, json: str = "json") -> DataFrame:

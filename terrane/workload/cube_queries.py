@@ -208,19 +208,19 @@ def missing_dims(spark, sf):
 
 def jsonstat_docs(spark, sf):
     """One JSON-stat document per zone: unit x period, sparse for even zones, dense for odd ones."""
-    rows = cube_columns(spark, sf)
-    per_geo = rows.groupBy("geo").agg(
-        F.array_sort(F.collect_set("time")).alias("times"),
-        F.array_sort(F.collect_list(F.struct("unit", "time", "value"))).alias("cells"))
+    rows = cube_columns(spark, sf).withColumn("pos", F.dense_rank().over(Window.partitionBy("geo").orderBy("time")) - 1)
+    times = rows.groupBy("geo").agg(F.array_sort(F.collect_set("time")).alias("times"))
     size = F.size("times")
-    at = F.transform("cells", lambda c: F.struct(
-        (F.when(c["unit"] == "VAL", size).otherwise(0) + F.array_position("times", c["time"]) - 1).alias("i"), c["value"].alias("v")))
+    every = times.select("geo", size.alias("n"), F.explode(F.sequence(F.lit(0), 2 * size - 1)).alias("i"))
+    placed = rows.select("geo", "unit", "pos", "value")
+    cells = every.withColumn("unit", F.when(F.col("i") >= F.col("n"), "VAL").otherwise("CNT")).withColumn("pos", F.col("i") % F.col("n")).join(
+        placed, ["geo", "unit", "pos"], "left").groupBy("geo").agg(F.array_sort(F.collect_list(F.struct("i", F.col("value").alias("v")))).alias("cells"))
+    per_geo = times.join(cells, "geo")
     index = F.map_from_entries(F.transform("times", lambda t, k: F.struct(t.alias("key"), k.alias("value"))))
     labels = F.map_from_entries(F.transform("times", lambda t: F.struct(t.alias("key"), F.concat(F.lit("Y"), t).alias("value"))))
-    sparse = F.to_json(F.map_from_entries(F.transform(at, lambda c: F.struct(c["i"].cast("string").alias("key"), c["v"].alias("value")))))
-    by_index = F.map_from_entries(F.transform(at, lambda c: F.struct(c["i"].cast("int").alias("key"), c["v"].alias("value"))))
-    dense = F.concat(F.lit("["), F.array_join(F.transform(
-        F.sequence(F.lit(0), 2 * size - 1), lambda i: F.coalesce(by_index[i].cast("string"), F.lit("null"))), ","), F.lit("]"))
+    sparse = F.to_json(F.map_from_entries(F.transform(
+        F.filter("cells", lambda c: c["v"].isNotNull()), lambda c: F.struct(c["i"].cast("string").alias("key"), c["v"].alias("value")))))
+    dense = F.concat(F.lit("["), F.array_join(F.transform("cells", lambda c: F.coalesce(c["v"].cast("string"), F.lit("null"))), ","), F.lit("]"))
     values = F.when(F.ascii(F.right("geo", F.lit(1))) % 2 == 0, sparse).otherwise(dense)
     head = '{"id":["unit","time"],"size":[2,%s],"dimension":{"unit":{"label":"Unit","category":{"index":{"CNT":0,"VAL":1}}},"time":{"category":{"index":%s,"label":%s}}},"value":%s}'
     return per_geo.select("geo", F.format_string(head, size, F.to_json(index), F.to_json(labels), values).alias("json"))
