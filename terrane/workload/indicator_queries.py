@@ -230,16 +230,19 @@ def indicator_request(spark, sf):
     return answer.table
 
 
-@query("indicator_request_errors", "zones", sql="""
-SELECT * FROM (VALUES ('order_value', 'R0AX9', 'unknown_zone'), ('order_value', 'GR12', 'unknown_zone'), ('order_value', 'R0AF', 'level_not_offered'),
-  ('never_built', 'R0AF', 'level_not_offered'), ('order_valu', 'R0AF', 'unknown_indicator'), ('never_built', 'R0AX9', 'unknown_zone'), ('never_built', 'GR12', 'unknown_zone'),
+_MIDDLE = "(SELECT min(geo_code) FROM zones WHERE level = 'NUTS2')"
+
+
+@query("indicator_request_errors", "zones", sql=f"""
+SELECT * FROM (VALUES ('order_value', 'R0AX9', 'unknown_zone'), ('order_value', 'GR12', 'unknown_zone'), ('order_value', {_MIDDLE}, 'level_not_offered'),
+  ('never_built', {_MIDDLE}, 'level_not_offered'), ('order_valu', {_MIDDLE}, 'unknown_indicator'), ('never_built', 'R0AX9', 'unknown_zone'), ('never_built', 'GR12', 'unknown_zone'),
   ('order_valu', 'R0AX9', 'unknown_indicator'), ('order_valu', 'GR12', 'unknown_indicator'), (NULL, NULL, 'too_many_indicators'), (NULL, NULL, 'too_many_zones'),
   (NULL, NULL, 'no_indicators'), (NULL, NULL, 'no_zones'), ('never_built', (SELECT min(geo_code) FROM zones WHERE level = 'NUTS3'), 'not_materialized')) e(indicator, zone, error_code)""")
 def indicator_request_errors(spark, sf):
     """What is wrong with several requests; none of them gets a table."""
     rows, places, known = canonical(spark, sf), zones(spark, sf), specs(spark)
-    finest = places.where("level = 'NUTS3'").agg(F.min("geo_code")).first()[0]
-    asked = [(["order_value", "never_built", "order_valu"], ["r0ax9", "GR12", "R0AF"]), ([f"i{k}" for k in range(6)], ["R0"]), (["order_value"], [f"Z{k}" for k in range(101)]),
+    finest, middle = (places.where(F.col("level") == level).agg(F.min("geo_code")).first()[0] for level in ("NUTS3", "NUTS2"))
+    asked = [(["order_value", "never_built", "order_valu"], ["r0ax9", "GR12", middle.lower()]), ([f"i{k}" for k in range(6)], ["R0"]), (["order_value"], [f"Z{k}" for k in range(101)]),
              ([" "], ["R0"]), (["order_value"], []), (["never_built"], [finest])]
     out = None
     for indicators, codes in asked:

@@ -66,7 +66,7 @@ _hits_views("c", "cterms", "c", "cat")
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+    return use_all_cores(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text", "source"))
 
 
 def indexed(spark, sf):
