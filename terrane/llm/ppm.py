@@ -1,12 +1,12 @@
 """Language-model scores by prediction by partial matching, and a word model as the base line.
 
-Training counts all runs of six bytes (a context of five and the byte after it) and all words. From the counts the
-contexts of every shorter length follow by adding up. The trie keeps the branches whose share of the training bytes
-is at least 2^-18, at every size of the corpus, so it has at most 2^18 branches per length and can be sent to the
-tasks. A byte is looked for in its longest known context; if it isn't there the model escapes to the next shorter one
-(method C: the escape weighs as much as the context has branches, plus what was pruned from it) and leaves out the
-bytes that the longer context already offered (symbol exclusion). The cost of a byte depends on six bytes only, so a
-task prices each distinct run of a piece of text once.
+Training counts all runs of six bytes (a context of five and the byte after it) and all words; every counted run is in
+the trie, whatever its share. A byte is looked for in its longest known context; if it isn't there the model escapes
+to the next shorter one (method C: the escape weighs as much as the context has branches) and leaves out the bytes
+that the longer context already offered (symbol exclusion). The cost of a byte depends on six bytes only, so each
+distinct run of the corpus is priced once. For that the runs are dealt by the last three bytes of their context, which
+brings all longer contexts of a run into one task; shorter contexts are the same for all tasks and are sent to them.
+The prices of frequent runs go to the tasks that read the texts, the others are joined to the documents.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +26,18 @@ from .tokens import LOWER, buffers, in_arrow, pieces, row_sums, words
 
 #: Longest context in bytes.
 ORDER = 5
-#: A branch of the trie, and a word that is sent to the tasks, has at least one in so many of all counts.
-SHARE = 1 << 18
+#: Levels that are sent to the tasks. Lower-cased UTF-8 has less than five million different runs of three bytes.
+SHARED_ORDERS = 3
+#: Prices of runs and words that make up at least one in so many of all are sent to the tasks, the others are joined.
+#: Results don't depend on it.
+SHARE = 1 << 21
 #: Bytes that UTF-8 never has: before the first byte of a text, and as its end.
 BEFORE, END = 0xFE, 0xFF
 #: The code of the end of a text among the words.
 END_WORD = np.uint64(0)
 GRAM, WORD = 0, 1
 _HELD = 4_000_000
+_PRICED = 500_000
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +68,32 @@ def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, found.first + np.arange(rows + 1)
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     keys, where = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(where, n, len(keys)).astype(np.int64)
+    return keys, *(np.bincount(where, n, len(keys)).astype(np.int64) for n in counts)
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): how often each run of bytes and each word stands in the column of texts."""
+    """(kind, key, n, times) of the rows (text, whether to learn from it): how often each run of bytes and each word
+    stands in the texts to learn from, and in all."""
 
-    def rows_of(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), 200_000):
-            part = keys[k : k + 200_000].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[k : k + 200_000])], ["kind", "key", "n"])
+    def rows_of(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(columns[0]), 200_000):
+            keys, n, times = (c[k : k + 200_000].view(np.int64) for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n), pa.array(times)], ["kind", "key", "n", "times"])
 
     def run(batches):
         held: dict[int, list] = {GRAM: [], WORD: []}
         for batch in batches:
+            learnt = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for low, high in pieces(batch.column(0), 1 << 21):
                 piece = batch.column(0).slice(low, high - low)
-                for kind, keys in ((GRAM, grams(piece)[0]), (WORD, text_words(piece)[0])):
-                    held[kind].append(np.unique(keys, return_counts=True))
-                    if sum(len(k) for k, _ in held[kind]) > _HELD // 4:
+                for kind, (codes, offsets) in ((GRAM, grams(piece)), (WORD, text_words(piece))):
+                    keys, where, times = np.unique(codes, return_inverse=True, return_counts=True)
+                    n = np.bincount(where[np.repeat(learnt[low:high], np.diff(offsets))], minlength=len(keys))
+                    held[kind].append((keys, n.astype(np.int64), times.astype(np.int64)))
+                    if sum(len(part[0]) for part in held[kind]) > _HELD // 4:
                         held[kind] = [_added(held[kind])]
                         if len(held[kind][0][0]) > _HELD:  # a task holds so many distinct keys; then it hands them on
                             yield from rows_of(kind, *held[kind][0])
@@ -94,7 +102,8 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             if parts:
                 yield from rows_of(kind, *_added(parts))
 
-    return texts.transform(in_arrow, run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = texts.transform(in_arrow, run, "kind int, key long, n long, times long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 @dataclass
@@ -104,8 +113,7 @@ class Level:
     keys: np.ndarray
     counts: np.ndarray
     contexts: np.ndarray
-    whole: np.ndarray  # count of the context, pruned branches included
-    kept: np.ndarray  # count of its branches in the trie
+    whole: np.ndarray  # count of the context
     branches: np.ndarray
     excluded: np.ndarray  # count of the same branches one length shorter
 
@@ -117,16 +125,18 @@ def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, among[at] == keys
 
 
-def level(keys: np.ndarray, counts: np.ndarray, whole: np.ndarray, shorter: Level | None, order: int) -> Level:
-    by = np.argsort(keys)
-    keys, counts, whole = keys[by], counts[by].astype(float), whole[by].astype(float)
+def level(keys: np.ndarray, counts: np.ndarray, shorter: Level | None, order: int) -> Level:
+    """The contexts of `order` bytes from runs that end with one of them and the byte after it."""
+    keys, where = np.unique(keys & np.uint64((1 << (8 * order + 8)) - 1), return_inverse=True)
+    counts = np.bincount(where, counts, len(keys))
     contexts, first, n = np.unique(keys >> np.uint64(8), return_index=True, return_counts=True)
-    kept = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
-    excluded = np.zeros(len(contexts))
-    if shorter is not None and len(first):
-        at, found = _find(shorter.keys, keys & np.uint64((1 << (8 * order)) - 1))
-        excluded = np.add.reduceat(np.where(found, shorter.counts[at], 0.0), first)
-    return Level(keys, counts, contexts, whole[first] if len(first) else np.zeros(0), kept, n.astype(float), excluded)
+    whole, excluded = np.zeros(len(contexts)), np.zeros(len(contexts))
+    if len(first):
+        whole = np.add.reduceat(counts, first)
+        if shorter is not None:
+            at, found = _find(shorter.keys, keys & np.uint64((1 << (8 * order)) - 1))
+            excluded = np.add.reduceat(np.where(found, shorter.counts[at], 0.0), first)
+    return Level(keys, counts, contexts, whole, n.astype(float), excluded)
 
 
 @dataclass
@@ -145,8 +155,8 @@ class Trie:
             branch, there = _find(lv.keys, key)
             if not len(lv.contexts):
                 continue
-            escape = lv.branches[context] - gone_branches + lv.whole[context] - lv.kept[context]
-            below = lv.kept[context] - gone + escape
+            escape = lv.branches[context] - gone_branches
+            below = lv.whole[context] - gone + escape
             use = open_ & known & (below > 0)
             hit = use & there
             total[hit] += np.log10(lv.counts[branch[hit]] / below[hit])
@@ -158,24 +168,60 @@ class Trie:
         total[open_] -= np.log10(256 - gone_branches[open_])
         return total
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        keys, offsets = grams(column)
-        distinct, where = np.unique(keys, return_inverse=True)
-        return row_sums(self.log10(distinct)[where], offsets)
-
 
-def trie(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Trie:
-    """The trie of the counted runs; each length is one aggregation of the counts."""
+def shared_levels(counts: DataFrame) -> list[Level]:
+    """The levels of the shortest contexts, summed from the counted runs (key, n)."""
     levels: list[Level] = []
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    for length in range(order + 1):
-        key = F.col("key").bitwiseAND((1 << (8 * length + 8)) - 1)
-        pairs = counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-        # a context has at most 256 branches, so no window is large
-        context = Window.partitionBy(F.shiftrightunsigned("key", 8))
-        kept = pairs.withColumn("whole", F.sum("n").over(context)).filter(F.col("n") * share >= total).toPandas()
-        levels.append(level(kept.key.to_numpy().astype(np.uint64), kept.n.to_numpy(), kept.whole.to_numpy(), levels[-1] if levels else None, length))
-    return Trie(levels)
+    runs = counts.groupBy(F.col("key").bitwiseAND((1 << (8 * SHARED_ORDERS)) - 1).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    for order in range(SHARED_ORDERS):
+        levels.append(level(runs.key.to_numpy().astype(np.uint64), runs.n.to_numpy().astype(float), levels[-1] if levels else None, order))
+    return levels
+
+
+def run_prices(counts: DataFrame) -> DataFrame:
+    """(key, price, times) of the runs (key, n, times): the log10 probability of the last byte of each.
+
+    Runs with n = 0 are priced, but not learned from. A group of runs with the same last three bytes of context is
+    decided at once; it has at most 2^24 runs, whatever the size of the corpus.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(shared_levels(counts.filter("n > 0").select("key", "n")))
+    group = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFFFF)
+
+    def priced(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        keys, n = table["key"].to_numpy().astype(np.uint64), table["n"].to_numpy()
+        levels = list(shared.value)
+        for order in range(SHARED_ORDERS, ORDER + 1):
+            levels.append(level(keys[n > 0], n[n > 0], levels[-1], order))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(Trie(levels).log10(keys)), pa.array(table["times"].to_numpy())], ["key", "price", "times"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < _PRICED:
+                continue
+            # the last group may go on in the next batch
+            groups = np.concatenate([b.column(0).to_numpy() for b in held])
+            whole = int(np.searchsorted(groups, groups[-1]))
+            if whole:
+                table = pa.Table.from_batches(held)
+                yield priced(table.slice(0, whole).to_batches())
+                held = table.slice(whole).to_batches()
+        if held and sum(map(len, held)):
+            yield priced(held)
+
+    dealt = counts.select(group.alias("last"), "key", "n", "times").repartition("last").sortWithinPartitions("last")
+    return dealt.transform(in_arrow, run, "key long, price double, times long")
+
+
+def _head(prices: DataFrame, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and prices of the rows (key, price, times) with at least one in `share` of all times."""
+    total = prices.agg(F.sum("times")).first()[0] or 0
+    often = prices.filter(F.col("times") * share >= total).select("key", "price").toPandas()
+    keys = often.key.to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], often.price.to_numpy().astype(float)[by]
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: Column | None = None, share: int = SHARE) -> DataFrame:
@@ -184,60 +230,61 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text: str = "text", train: C
     Learns from the rows that satisfy `train` (all by default). Texts are lower-cased in A-Z. score is the log10
     probability of the bytes of the text and its end under the trie. base_score sums log10((c + 0.1) / (N + 0.1 (V +
     1))) over the words and the end, c being a word's count, N all and V the distinct words in training; n_known are
-    those with c > 0. Frequent words are priced in the tasks, all others by a join on their code.
+    those with c > 0. Frequent runs and words are priced in the tasks, all others by a join on their code.
 
     Null and empty texts: the end alone. Null doc_id and repeated rows: each row counts and gets its scores. Nothing to
     learn from: every byte has probability 1/256, every word 1. Empty table: no rows.
     """
     sc = docs.sparkSession.sparkContext
-    learn = docs.filter(train) if train is not None else docs
-    counts = cut_lineage(corpus_counts(learn.select(F.col(f"`{text}`"))))
-    model = sc.broadcast(trie(counts.filter(F.col("kind") == GRAM).select("key", "n"), share=share))
-    vocabulary = counts.filter(F.col("kind") == WORD).select("key", "n")
-    size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    learnt = F.coalesce(train, F.lit(False)) if train is not None else F.lit(True)
+    counts = cut_lineage(corpus_counts(docs.select(F.col(f"`{text}`").alias("text"), learnt.alias("learnt"))))
+    vocabulary = counts.filter(F.col("kind") == WORD)
+    size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     below = size.n + 0.1 * (size.v + 1)
-    often = vocabulary.filter(F.col("n") * share >= max(1, size.n)).toPandas()
-    by = np.argsort(often.key.to_numpy().astype(np.int64).view(np.uint64))
-    frequent = sc.broadcast((often.key.to_numpy().astype(np.int64).view(np.uint64)[by], often.n.to_numpy().astype(float)[by]))
-    rare = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))
+    word_prices = vocabulary.select("key", F.log10((F.col("n") + 0.1) / below).alias("price"), "times")
+    gram_prices = run_prices(counts.filter(F.col("kind") == GRAM).select("key", "n", "times"))
+    prices = cut_lineage(gram_prices.withColumn("kind", F.lit(GRAM)).unionByName(word_prices.withColumn("kind", F.lit(WORD))))
+    known_from = float(np.log10(0.5 / below))  # between the prices of a word never learned and one learned once
+    heads = sc.broadcast([_head(prices.filter(F.col("kind") == k), share) for k in (GRAM, WORD)])
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    left = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([narrow.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
-                           T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("rare", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])))])
+                           T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("rare", left)])
 
     def run(batches):
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            lengths, keys, ns = [], [], []
             for low, high in pieces(batch.column(1)):
-                piece = batch.column(1).slice(low, high - low)
-                codes, offsets = text_words(piece)
-                distinct, where = np.unique(codes, return_inverse=True)
-                at, found = _find(frequent.value[0], distinct)
-                price = np.where(found, np.log10((frequent.value[1][at] + 0.1) / below) if len(frequent.value[1]) else 0.0, 0.0)
-                out[0].append(np.diff(offsets))
-                out[1].append(row_sums(found[where], offsets))
-                out[2].append(row_sums(price[where], offsets))
-                out[3].append(model.value.scores(piece))
-                row = np.repeat(np.arange(high - low), np.diff(offsets))
-                left = ~found[where]
-                pair, n = np.unique(row[left] * np.int64(len(distinct)) + where[left], return_counts=True)
-                lengths.append(np.bincount(pair // max(1, len(distinct)), minlength=high - low))
-                keys.append(distinct[pair % max(1, len(distinct))])
-                ns.append(n)
-            values = pa.StructArray.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int64))], ["key", "n"]) if keys else pa.array([], rare.value_type)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)) if lengths else pa.array([0], pa.int32())
-            joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(float)),
-                pa.array(joined[3].astype(float)), pa.ListArray.from_arrays(offsets, values)], schema.names)
+                piece, rows = batch.column(1).slice(low, high - low), high - low
+                columns, rare = [], []
+                for kind, (codes, offsets) in ((GRAM, grams(piece)), (WORD, text_words(piece))):
+                    keys, price = heads.value[kind]
+                    distinct, where = np.unique(codes, return_inverse=True)
+                    at, found = _find(keys, distinct)
+                    cost = np.where(found, price[at], 0.0) if len(price) else np.zeros(len(distinct))
+                    if kind == WORD:
+                        columns += [np.diff(offsets), row_sums((found & (cost > known_from))[where], offsets)]
+                    columns.append(row_sums(cost[where], offsets).astype(float))
+                    open_ = ~found[where]
+                    row = np.repeat(np.arange(rows), np.diff(offsets))
+                    pair, n = np.unique(row[open_] * np.int64(len(distinct)) + where[open_], return_counts=True)
+                    rare.append((pair // max(1, len(distinct)), np.full(len(pair), kind, np.int32), distinct[pair % max(1, len(distinct))].view(np.int64), n.astype(np.int64)))
+                of, *values = (np.concatenate(x) for x in zip(*rare, strict=True))
+                by = np.argsort(of, kind="stable")
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(v[by]) for v in values], ["kind", "key", "n"]))
+                model, tokens, known, base = columns
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)),
+                                                  pa.array(base), pa.array(model), lists], schema.names)
 
     rows = cut_lineage(narrow.transform(in_arrow, run, schema)).withColumn("row", F.monotonically_increasing_id())
-    # a rare word is at most one in 2^18 of all, so no key of this join is hot
-    single = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.n").alias("times"))
-    priced = single.join(vocabulary, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / below)).alias("rest"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"))
+    # what is left to the join is less than one in 2^21 of all, so no key is hot
+    single = rows.select("row", F.explode("rare").alias("r")).select("row", F.col("r.kind").alias("kind"), F.col("r.key").alias("key"), F.col("r.n").alias("n"))
+    word = F.col("kind") == WORD
+    priced = single.join(prices.drop("times"), ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(word, F.col("n") * F.col("price")).otherwise(0.0)).alias("rest"),
+        F.sum(F.when(word, 0.0).otherwise(F.col("n") * F.col("price"))).alias("bytes"),
+        F.sum(F.when(word & (F.col("price") > known_from), F.col("n")).otherwise(0)).alias("more"))
     return rows.drop("rare").join(priced, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(size.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("bytes", F.lit(0.0))).alias("score"))

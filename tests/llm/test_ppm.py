@@ -49,33 +49,42 @@ class SlowTrie:
         return total
 
 
-def counts_of(spark, texts):
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    return ppm.corpus_counts(frame)
+def prices_of(spark, texts, queries):
+    """Prices of the runs of all texts, learned from `texts` alone."""
+    frame = spark.createDataFrame([(t, True) for t in texts] + [(q, False) for q in queries], "text string, learnt boolean")
+    counts = ppm.corpus_counts(frame).filter(F.col("kind") == ppm.GRAM)
+    return {r.key: r.price for r in ppm.run_prices(counts).collect()}
 
 
-def test_scores_against_slow_trie(spark):
+def test_prices_against_slow_trie(spark, monkeypatch):
     texts = [prose(k, 20) for k in range(6)] + ["Ünïcödé", "", None, "aaaa aaaa"]
-    model = ppm.trie(counts_of(spark, texts).filter(F.col("kind") == ppm.GRAM).select("key", "n"))
-    slow = SlowTrie(texts)
     queries = [prose(3, 20), prose(50, 9), "zzz qqq", "", None, "日本", "Ünï"]
-    got = model.scores(pa.array(queries))
-    assert got == pytest.approx([slow.log10(q) for q in queries], rel=1e-9)
+    slow = SlowTrie(texts)
+    for held in (ppm._PRICED, 1):  # the second decides a few groups at a time
+        monkeypatch.setattr(ppm, "_PRICED", held)
+        prices = prices_of(spark, texts, queries)
+        keys, offsets = ppm.grams(pa.array(queries))
+        got = ppm.row_sums(np.array([prices[int(k)] for k in keys]), offsets)
+        assert got == pytest.approx([slow.log10(q) for q in queries], rel=1e-9)
 
 
-def test_probabilities_of_a_context_sum_to_one(spark):
-    texts = [prose(k, 60) for k in range(5)]
-    for share in (ppm.SHARE, 200):  # the second prunes
-        model = ppm.trie(counts_of(spark, texts).filter(F.col("kind") == ppm.GRAM).select("key", "n"), share=share)
-        for context in (b"birch"[: ppm.ORDER], b"qqqqqqq"[: ppm.ORDER], bytes([ppm.BEFORE]) * ppm.ORDER):
-            base = int.from_bytes(context, "big") << 8
-            runs = np.array([base + b for b in range(256)], np.uint64)
-            assert 10.0 ** model.log10(runs) @ np.ones(256) == pytest.approx(1.0)
+def test_rare_runs_stay(spark):
+    """A run that stands twice in a corpus is learned, however large the rest is."""
+    rare = "quixotic zephyr"
+    prices = prices_of(spark, ["the " * 100_000, rare, rare], [])
+    keys, _ = ppm.grams(pa.array([rare]))
+    assert [prices[int(k)] for k in keys[5:]] == pytest.approx([math.log10(2 / 3)] * len(keys[5:]))
 
 
-def test_trie_is_bounded(spark):
-    counts = counts_of(spark, [prose(k, 200) for k in range(20)]).filter(F.col("kind") == ppm.GRAM).select("key", "n")
-    assert all(len(level.keys) <= 300 for level in ppm.trie(counts, share=300).levels)
+def test_probabilities_of_a_context_sum_to_one(spark):
+    levels = []
+    keys = np.concatenate([ppm.grams(pa.array([prose(k, 60)]))[0] for k in range(5)])
+    for order in range(ppm.ORDER + 1):
+        levels.append(ppm.level(keys, np.ones(len(keys)), levels[-1] if levels else None, order))
+    for context in (b"birch"[: ppm.ORDER], b"qqqqqqq"[: ppm.ORDER], bytes([ppm.BEFORE]) * ppm.ORDER):
+        base = int.from_bytes(context, "big") << 8
+        runs = np.array([base + b for b in range(256)], np.uint64)
+        assert 10.0 ** ppm.Trie(levels).log10(runs) @ np.ones(256) == pytest.approx(1.0)
 
 
 def test_documents(spark):
@@ -86,8 +95,8 @@ def test_documents(spark):
     for text in learnt:
         counts.update([*(text or "").encode().lower().split(), None])
     n, v = sum(counts.values()), len(counts)
-    slow = SlowTrie([t for t in learnt if not t or len(t) < 10_000])
-    for share in (ppm.SHARE, 20):  # the second leaves most words to the join
+    slow = SlowTrie(learnt)
+    for share in (ppm.SHARE, 20):  # the second leaves most runs and words to the join
         got = ppm.scored(docs, train=train, share=share).collect()
         assert len(got) == docs.count()
         of = {r.doc_id: r for r in docs.collect()}
@@ -97,8 +106,7 @@ def test_documents(spark):
             tokens = [*(of[r.doc_id].text or "").encode().lower().split(), None]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(t in counts for t in tokens), n)
             assert r.base_score == pytest.approx(sum(math.log10((counts.get(t, 0) + 0.1) / (n + 0.1 * (v + 1))) for t in tokens), rel=1e-9)
-            assert r.score < 0
-    del slow
+            assert r.score == pytest.approx(slow.log10(of[r.doc_id].text), rel=1e-9)
     one = {r.doc_id: r.score for r in got}
     assert one[2] == one[3]
 
