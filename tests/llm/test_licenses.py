@@ -30,6 +30,17 @@ CASES = {
     "Copyright 2021 A. All rights reserved.": ["All-Rights-Reserved"],
     "SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0"],
     "Released under the MIT License. Also licensed under CC BY 4.0. Released under the MIT License.": ["MIT", "CC-BY-4.0", "MIT"],
+    "// SPDX-License-Identifier: MIT\nint main(void) { return 0; }": ["MIT"],
+    "# SPDX-License-Identifier: Apache-2.0 OR MIT\nimport os": ["Apache-2.0", "MIT"],
+    "/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Linux-syscall-note) AND BSD-3-Clause */\nx": ["GPL-2.0", "BSD-3-Clause"],
+    "SPDX-License-Identifier: MIT-0\nx": [],
+    "Licensed under either of Apache License, Version 2.0 or MIT license": ["Apache-2.0", "MIT"],
+    "This is licensed under the MIT license or the Apache License, Version 2.0.": ["MIT", "Apache-2.0"],
+    "Available under MIT or Apache 2.0 or the Mozilla Public License 2.0, at your option.": ["MIT", "Apache-2.0", "MPL-2.0"],
+    "MIT licensed": ["MIT"], "A book published by the MIT.": [],
+    "The committee or the MIT license board met.": [],
+    " * Copyright (c) 2019 Somebody Else\n * All rights reserved.\n * Some code": ["All-Rights-Reserved"],
+    "// Copyright 2021 One\n// Copyright 2022 Two\n// Released under the\n// MIT License": ["MIT"],
     "A licence to kill, no permission at all.": [], "The cat sat.": [],
 }
 
@@ -56,3 +67,13 @@ def test_awkward_and_empty(spark):
     assert [r._licences.licences for r in rows if r.doc_id == 50] == [["MIT"]]
     assert all(r._licences.licences == [] for r in rows if r.doc_id != 50)
     assert licenses.scanned(docs.filter("false")).count() == 0
+
+
+def test_query_text_is_the_same_in_sql(spark):
+    import duckdb
+
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate([*CASES, None, ""])], SCHEMA)
+    got = {r.doc_id: (",".join(r._licences.sentences), ",".join(r._licences.licences), len(r._licences.unmatched)) for r in licenses.scanned(docs).collect()}
+    documents = docs.select("doc_id", "text").toArrow()  # noqa: F841
+    want = {k: (a, b, n) for k, a, b, n in duckdb.sql(licenses.oracle()).fetchall()}
+    assert got == want
