@@ -2,8 +2,9 @@
 
 Each page becomes a tree of its block elements. One page of a host gives the frame, and every other page of the host
 is aligned with it by simple tree matching: blocks that stand in for each other share a slot. A text that most
-different pages of a host have in the same slot is template, what varies is content. Pages of one host often differ in
-their menus and adverts too, so slots that an element, a class or a role marks as page furniture are left out as well.
+different pages of a host have in the same slot is template, what varies is content. Blocks that the frame lacks have
+their place in the page as a slot. Pages of one host often differ in their menus and adverts too, so slots that an
+element, a class or a role marks as page furniture are left out as well, unless they hold the page's only text.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style template noscript iframe svg canvas object audio video math".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
              "strong sub sup time tt u var img wbr".split())
-FURNITURE = set("head title nav footer aside form dialog menu select button textarea input datalist fieldset".split()) | RAW
+FURNITURE = set("head title nav footer aside dialog menu select button textarea input datalist fieldset".split()) | RAW
 FURNITURE_NAMES = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer colophon masthead banner ad ads adv advert adverts "
     "advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification "
@@ -43,6 +44,11 @@ FURNITURE_NAMES = set(
     "comments commentlist disqus discussion replies respond search login signup widget widgets toolbar pagination pager skip "
     "contentinfo complementary dialog".split())
 HEADER_NAMES = {"header", "topbar"}
+#: Parts of compound names that say nothing else.
+GENERIC_NAMES = set(
+    "area articles bar block body bottom box btn button buttons card container content form global group header icon icons inner item items "
+    "left links list main module outer page panel post posts primary reader reply right row secondary section site slot stories "
+    "thread top unit user wrap wrapper".split())
 OPENERS = {"has", "with", "no", "is", "not"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -60,27 +66,68 @@ class Node:
 
     tag: str
     furniture: bool = False
+    weak: bool = False  # furniture, unless the page has its text there
     depth: int = 0
     kids: list["Node"] = field(default_factory=list)
     texts: list[tuple[int, str]] = field(default_factory=list)
     shape: str = ""
 
 
-def _named(attributes: str, in_article: bool) -> bool:
-    """Whether the attributes of an element mark page furniture, or hide it."""
+def _named(attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether the attributes of an element mark page furniture, or hide it; and whether only a compound name says so.
+
+    Inside an article a compound name counts only if none of its parts says something else.
+    """
+    weak = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, False
         if name in ("class", "id", "role"):
             for word in value.split():
                 parts = re.split(r"[-_]+", word)
                 if parts[0] in OPENERS:
                     continue
-                for part in (parts[0], parts[-1]):
-                    if part in FURNITURE_NAMES or part in HEADER_NAMES and not in_article:
-                        return True
-    return False
+                told = [part in FURNITURE_NAMES or part in HEADER_NAMES and not in_article for part in parts]
+                if len(parts) == 1 and told[0]:
+                    return True, False
+                if in_article and not all(t or part in GENERIC_NAMES or part.isdigit() for t, part in zip(told, parts, strict=True)):
+                    continue
+                weak = weak or told[0] or told[-1]
+    return weak, weak
+
+
+def _plain(node: Node, weak: bool = False) -> int:
+    """Characters of text inside `node` but outside all furniture; weak furniture counts if asked for."""
+    return sum(len(t.strip()) for _, t in node.texts) + sum(_plain(k, weak) for k in node.kids if not k.furniture and (weak or not k.weak))
+
+
+def _bounded(node: Node) -> bool:
+    """Whether an article or a main element stands in `node`, but in no furniture."""
+    return any(not k.furniture and not k.weak and (k.tag in ("article", "main") or _bounded(k)) for k in node.kids)
+
+
+def _outermost(node: Node) -> list[Node]:
+    return [x for k in node.kids if not k.furniture for x in ([k] if k.weak else _outermost(k))]
+
+
+def settled(root: Node) -> Node:
+    """Decide the weak furniture: what holds the page's article, or nearly all of its text where it has none, is content."""
+    open_ = _outermost(root)
+    while open_ and not _bounded(root):
+        with_article = [k for k in open_ if _bounded(k) or k.tag in ("article", "main")]
+        best = max(with_article or open_, key=lambda k: _plain(k, True))
+        if not with_article and _plain(best, True) <= 10 * _plain(root):
+            break
+        best.weak = False
+        open_ = _outermost(root)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for k in node.kids:
+            k.furniture = k.furniture or k.weak or node.furniture
+            stack.append(k)
+    return root
 
 
 def parse(page: str) -> Node:
@@ -123,9 +170,10 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID:
             continue
-        furniture = tag in FURNITURE or tag == "header" and not articles
+        furniture, weak = tag in FURNITURE or tag == "header" and not articles, tag == "form"
         if tag not in ("html", "body", "main") and not furniture:
-            furniture = _named(token[3], articles > 0)
+            furniture, named = _named(token[3], articles > 0)
+            weak = weak and not furniture or named
         if tag in INLINE and not furniture:
             if not token[3].endswith("/"):
                 stack.append((tag, stack[-1][1]))
@@ -139,15 +187,15 @@ def parse(page: str) -> Node:
             if stack[k][0] in SCOPES or stack[k][0] not in INLINE and stack[k][0] != "p" and tag not in CLOSED_BY:
                 break
         parent = stack[-1][1]
-        if parent.depth >= DEPTH and not furniture:
+        if parent.depth >= DEPTH and not furniture and not weak:
             parent.texts.append((len(parent.kids), "\0"))
             stack.append((tag, parent))
         else:
-            node = Node(tag, furniture or parent.furniture, parent.depth + 1)
+            node = Node(tag, furniture and not weak or parent.furniture, weak, parent.depth + 1)
             parent.kids.append(node)
             stack.append((tag, node))
         articles += tag in ("article", "main")
-    return root
+    return settled(root)
 
 
 def shaped(node: Node) -> str:
@@ -225,21 +273,34 @@ def align(page: Node, model: Node, slots: dict[int, int], known: dict) -> None:
 
 
 def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
-    """(slot, text) of the content blocks in page order; slot -1 matched nothing.
+    """(slot, text) of the content blocks in page order; where nothing matched, the slot is a number below -2 made from the path.
 
-    If the page has an article or a main element outside furniture, only text inside counts.
+    If a main element stands outside furniture, or articles do that hold more text than there is outside of them, only
+    text inside counts.
     """
     out: list[tuple[int, str]] = []
 
-    def bounded(node: Node) -> bool:
-        return not node.furniture and (node.tag in ("article", "main") or any(bounded(k) for k in node.kids))
-
-    only = bounded(page)
-
-    def walk(node: Node, inside: bool) -> None:
+    def split(node: Node, tags: tuple[str, ...]) -> tuple[int, int]:
+        """Characters inside elements of these tags, and outside."""
+        if node.furniture:
+            return 0, 0
+        if node.tag in tags:
+            return _plain(node), 0
+        parts = [split(k, tags) for k in node.kids]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts) + sum(len(t.strip()) for _, t in node.texts)
+
+    only: tuple[str, ...] = ()
+    if split(page, ("main",))[0]:
+        only = ("main", "article")
+    else:
+        inside, outside = split(page, ("article",))
+        only = ("article",) if inside > outside else ()
+
+    def walk(node: Node, inside: bool, path: int) -> None:
         if node.furniture:
             return
-        inside = inside or node.tag in ("article", "main")
+        inside = inside or node.tag in only
+        path = zlib.crc32(node.tag.encode(), path)
         parts: list[str] = []
 
         def flush() -> None:
@@ -247,7 +308,7 @@ def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
             for text in "".join(parts).split("\0"):
                 text = _BLANK.sub(" ", references.unescape(text)).strip()
                 if text and (inside or not only):
-                    out.append((slots.get(id(node), -1), text))
+                    out.append((slots.get(id(node), -3 - path % (1 << 30)), text))
             parts.clear()
 
         texts = iter([*node.texts, (len(node.kids) + 1, "")])
@@ -258,10 +319,10 @@ def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
                 place, text = next(texts)
             if k < len(node.kids):
                 flush()
-                walk(node.kids[k], inside)
+                walk(node.kids[k], inside, path)
         flush()
 
-    walk(page, False)
+    walk(page, False, 0)
     return out
 
 
@@ -296,14 +357,16 @@ def _with_models(pages: DataFrame, models: DataFrame, size: Column) -> DataFrame
 
 
 def frames(pages: DataFrame) -> DataFrame:
-    """(host, shape): the shape of the page with the least hash of each host of (host, url, html)."""
+    """(host, shape): the shape of the page with the least hash among those with content, for each host of (host, url, html)."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shaped(parse(p or "")) for p in batch.column(2).to_pylist()])], ["host", "h", "shape"])
+            trees = [parse(p or "") for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([not blocks(t, {}) for t in trees]), batch.column(1), pa.array([shaped(t) for t in trees])],
+                                             ["host", "bare", "h", "shape"])
 
-    rows = pages.select("host", F.xxhash64("url", "html").alias("h"), "html").transform(in_arrow, run, "host string, h long, shape string")
-    return rows.groupBy("host").agg(F.min(F.struct("h", "shape")).alias("m")).select("host", "m.shape")
+    rows = pages.select("host", F.xxhash64("url", "html").alias("h"), "html").transform(in_arrow, run, "host string, bare boolean, h long, shape string")
+    return rows.groupBy("host").agg(F.min(F.struct("bare", "h", "shape")).alias("m")).select("host", "m.shape")
 
 
 def templates(pages: DataFrame, models: DataFrame, least_pages: int = LEAST_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
@@ -319,7 +382,7 @@ def templates(pages: DataFrame, models: DataFrame, least_pages: int = LEAST_PAGE
             for name, page, shape in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = _aligned(page or "", shape, shapes, known)
                 whole = _digest("\n".join(t for _, t in found))
-                for slot, text in {(-2, 0), *((s, _digest(t)) for s, t in found if s >= 0)}:  # slot -2 counts the page
+                for slot, text in {(-2, 0), *((s, _digest(t)) for s, t in found)}:  # slot -2 counts the page
                     hosts.append(name)
                     slots.append(slot)
                     texts.append(text)
@@ -329,8 +392,8 @@ def templates(pages: DataFrame, models: DataFrame, least_pages: int = LEAST_PAGE
     rows = _with_models(pages.select("host", "html"), models, F.length("shape")).transform(in_arrow, run, "host string, slot int, text long, page long")
     counts = cut_lineage(rows.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n")))
     pages_of = counts.filter("slot = -2").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    constant = counts.filter(F.col("n") >= least_pages).filter("slot >= 0").join(pages_of, F.col("host") == F.col("of")).filter(F.col("n") >= share * F.col("pages"))
-    # a slot has at most 1 / share such texts, so the list is bounded by the frame of the host
+    constant = counts.filter(F.col("n") >= least_pages).filter("slot != -2").join(pages_of, F.col("host") == F.col("of")).filter(F.col("n") >= share * F.col("pages"))
+    # a page has each text of a slot once, so a host has at most as many as 1 / share of its pages have blocks
     return constant.groupBy("host").agg(F.collect_list(F.struct("slot", "text")).alias("constant"))
 
 
@@ -339,7 +402,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str =
     """`pages` with the main text in the column `out`.
 
     Character references are decoded, blanks inside a block become one, blocks are joined by one blank in page order.
-    Template blocks are left out unless they make up most of the page's content, as on copies of one article.
+    Template blocks are left out; pages with equal content count as one, so copies of one article are no template.
 
     Null and empty html and pages without content: the empty text. Null url or none with a host: pages of one unnamed
     host. Very long pages are read whole, very deep ones flattened. Repeated rows get equal texts; an empty table
@@ -362,8 +425,6 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", out: str =
                 found = _aligned(page or "", shape, shapes, known)
                 fixed = {(c["slot"], c["text"]) for c in constant or ()}
                 vary = [t for s, t in found if (s, _digest(t)) not in fixed] if fixed else [t for _, t in found]
-                if 2 * sum(map(len, vary)) < sum(len(t) for _, t in found):
-                    vary = [t for _, t in found]
                 texts.append(" ".join(vary))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "found"])
 

@@ -39,6 +39,20 @@ def test_pages_without_article():
     assert text_of("<p>cut off<a href=\"x") == "cut off"
 
 
+def test_text_inside_a_form_or_a_compound_name():
+    assert text_of("<body><nav>Home</nav><form action='/'><p>The page stands in a form.</p><p>All of it.</p><input><button>Go</button></form></body>") == "The page stands in a form. All of it."
+    assert text_of("<body><form><div class='page-with-sidebar'><div class='sidebar'>Side</div><p>Main words of the page</p></div></form></body>") == "Main words of the page"
+    assert text_of("<div class='content-with-sidebar'><article><p>Main words</p></article></div><div class='related-stories'><p>More</p></div>") == "Main words"
+    assert text_of("<div><p>Words enough to be the text of a page</p></div><form><label>Your name please</label></form><div class='cookie-box'>We use cookies</div>") == "Words enough to be the text of a page"
+    assert text_of("<article><p>a</p><p class='legal-notice'>b</p><p class='search-engine'>c</p><div class='social-history'>d</div><div class='share-buttons'>e</div><div class='comment-list-2'>f</div></article>") == "a b c d"
+
+
+def test_a_teaser_is_not_the_article():
+    assert text_of("<div><p>The long text of the page stands outside.</p><article>Teaser</article><p>It ends here.</p></div>") == "The long text of the page stands outside. Teaser It ends here."
+    assert text_of("<div><article><p>The long text of the page.</p></article><p>More</p></div>") == "The long text of the page."
+    assert text_of("<div><p>Outside, long enough to be the page</p><main><p>Main</p></main></div>") == "Main"
+
+
 def test_deep_and_long():
     assert text_of("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     long = "<article>" + "".join(f"<p>w{k}" for k in range(5000)) + "</article>"
@@ -101,6 +115,29 @@ def test_copies_are_not_a_template(spark):
     assert "Share" not in got[4]
 
 
+def test_odd_pages_do_not_spoil_a_host(spark):
+    """Empty pages and pages of other layouts on the host; a template longer than the article."""
+    legal = "".join(f"<div><p>Paragraph {n} of the terms under which all the pages of this house may be read and used by anybody.</p></div>" for n in range(4))
+
+    def made(k):
+        return (k, f"http://o.example/{k}", f"<body><ul><li>Home<li>World<li>Sport</ul><p>Short story {k}.</p>{legal}</body>", *"abcd")
+
+    odd = [(100 + k, f"http://o.example/{100 + k}", [None, "", "<nav>x</nav>", f"<table><tr><td>Table page {k}</table>"][k % 4], *"abcd") for k in range(12)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame([made(k) for k in range(12)] + odd, SCHEMA)).collect()}
+    assert [got[k] for k in range(12)] == [f"Short story {k}." for k in range(12)]
+    assert got[100] == "" and got[101] == "" and got[102] == "" and got[103] == "Table page 3"
+
+
+def test_blocks_that_the_frame_lacks(spark):
+    """A notice on most pages of a host is template even if the page that gives the frame has none."""
+    pages = [(k, f"http://n.example/{k}", "<body><div><p>Story %d is told here.</p></div>%s</body>" % (k, "" if k % 3 == 0 else "<section><p>Read our terms</p></section>"), *"abcd") for k in range(30)]
+    bare = spark.createDataFrame([("n.example", "#page(body(div(p)))")], "host string, shape string")
+    keyed = spark.createDataFrame(pages, SCHEMA).select(wrapper.host(F.col("url")).alias("host"), "html")
+    assert [len(r.constant) for r in wrapper.templates(keyed, bare).collect()] == [1]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {k: f"Story {k} is told here." for k in range(30)}
+
+
 def test_awkward_and_empty(spark):
     pages = spark.createDataFrame([page(1), page(1), (2, None, None, *"abcd"), (3, "no url", "", *"abcd"), (None, "http://a.example", "<p>x", *"abcd"),
                                    (4, "http://b.example/", "<p>" + "word " * 100_000, *"abcd")], SCHEMA)
