@@ -114,6 +114,8 @@ def _outermost(node: Node) -> list[Node]:
 def settled(root: Node) -> Node:
     """Decide the weak furniture: what holds the page's article, or nearly all of its text where it has none, is content."""
     open_ = _outermost(root)
+    if not open_:
+        return root
     while open_ and not _bounded(root):
         with_article = [k for k in open_ if _bounded(k) or k.tag in ("article", "main")]
         best = max(with_article or open_, key=lambda k: _plain(k, True))
@@ -278,28 +280,12 @@ def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
     If a main element stands outside furniture, or articles do that hold more text than there is outside of them, only
     text inside counts.
     """
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, int]] = []  # the last is 1 inside an article, 2 inside a main element, 0 elsewhere
 
-    def split(node: Node, tags: tuple[str, ...]) -> tuple[int, int]:
-        """Characters inside elements of these tags, and outside."""
-        if node.furniture:
-            return 0, 0
-        if node.tag in tags:
-            return _plain(node), 0
-        parts = [split(k, tags) for k in node.kids]
-        return sum(p[0] for p in parts), sum(p[1] for p in parts) + sum(len(t.strip()) for _, t in node.texts)
-
-    only: tuple[str, ...] = ()
-    if split(page, ("main",))[0]:
-        only = ("main", "article")
-    else:
-        inside, outside = split(page, ("article",))
-        only = ("article",) if inside > outside else ()
-
-    def walk(node: Node, inside: bool, path: int) -> None:
+    def walk(node: Node, inside: int, path: int) -> None:
         if node.furniture:
             return
-        inside = inside or node.tag in only
+        inside = max(inside, 2 if node.tag == "main" else node.tag == "article")
         path = zlib.crc32(node.tag.encode(), path)
         parts: list[str] = []
 
@@ -307,8 +293,8 @@ def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
             # breaks end a block; a block of blanks is none
             for text in "".join(parts).split("\0"):
                 text = _BLANK.sub(" ", references.unescape(text)).strip()
-                if text and (inside or not only):
-                    out.append((slots.get(id(node), -3 - path % (1 << 30)), text))
+                if text:
+                    out.append((slots.get(id(node), -3 - path % (1 << 30)), text, inside))
             parts.clear()
 
         texts = iter([*node.texts, (len(node.kids) + 1, "")])
@@ -322,8 +308,15 @@ def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, str]]:
                 walk(node.kids[k], inside, path)
         flush()
 
-    walk(page, False, 0)
-    return out
+    walk(page, 0, 0)
+    size = [sum(len(t) for _, t, k in out if k == inside) for inside in range(3)]
+    bounded = size[2] > 0 or size[1] > size[0]
+    return [(slot, text) for slot, text, inside in out if inside or not bounded]
+
+
+def bare(node: Node) -> bool:
+    """Whether a page has no text outside furniture."""
+    return node.furniture or not any(references.unescape(t).strip("\0 \t\n\r\f") for _, t in node.texts) and all(bare(k) for k in node.kids)
 
 
 def _digest(text: str) -> int:
@@ -362,7 +355,7 @@ def frames(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             trees = [parse(p or "") for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([not blocks(t, {}) for t in trees]), batch.column(1), pa.array([shaped(t) for t in trees])],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bare(t) for t in trees]), batch.column(1), pa.array([shaped(t) for t in trees])],
                                              ["host", "bare", "h", "shape"])
 
     rows = pages.select("host", F.xxhash64("url", "html").alias("h"), "html").transform(in_arrow, run, "host string, bare boolean, h long, shape string")
