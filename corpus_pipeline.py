@@ -16,7 +16,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: 0.8 and more of their five-word shingles in common."""
+    """One document of each group of exact and near copies, found by SimHash and MinHash: 0.8 and more of their five-word shingles in common."""
     return near.deduplicated(docs)
 
 

@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Texts with the same set of shingles merge first, so a group of copies is one row. MinHash proposes candidates: a set
-goes to BANDS buckets, each named by ROWS of its least hashes, and only sets that share a bucket are compared. Buckets
+Texts with the same set of shingles merge first, so a group of copies is one row. Candidates come from operator 8's
+SimHash, sets whose fingerprints are linked within its radius being a bucket, and for what these bits miss from MinHash: a
+set goes to BANDS more buckets, each named by ROWS of its least hashes. Only sets that share a bucket are compared. Buckets
 with equal members count once. Large ones are cut into parts: each part is connected by itself, then only rows that
 aren't connected by that are compared across every two parts, by a task for each. Links connect sets, so a group has
 about as many as it has members. Shingles are fetched for sets with a candidate only. A link needs the exact
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from terrane.session import cut_lineage
 
+from . import simhash
 from .components import components
 from .tokens import buffers, in_arrow, mixed, pieces, words
 
@@ -77,20 +79,22 @@ def bands_of(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(id, h, empty, fp, n, bands) of (id, h, empty, text)."""
+    """(id, h, empty, fp, n, bands, print) of (id, h, empty, text); `print` is the SimHash of the text."""
     schema = T.StructType([*docs.schema.fields[:3], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("bands", T.ArrayType(T.LongType()))])
+                           T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("print", T.LongType())])
 
     def run(batches):
         for batch in batches:
             for low, high in pieces(batch.column(3)):
-                codes, offsets = shingles(batch.column(3).slice(low, high - low), size)
+                texts = batch.column(3).slice(low, high - low)
+                codes, offsets = shingles(texts, size)
+                prints = np.fromiter((simhash.fingerprint(v.as_py() or b"") for v in texts.cast(pa.binary())), np.uint64, len(texts))
                 n = np.diff(offsets)
                 bands = bands_of(codes, offsets)[n > 0].ravel()
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(k).slice(low, high - low) for k in range(3)], pa.array(codes_of(codes, offsets).view(np.int64)),
-                    pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64)))], schema.names)
+                    pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.view(np.int64))), pa.array(prints.view(np.int64))], schema.names)
 
     return docs.transform(in_arrow, run, schema)
 
@@ -216,13 +220,23 @@ def _across(labelled: DataFrame, found: DataFrame, sets: DataFrame, share: tuple
     return tied.select("a", "b").filter("a <> b").unionByName(_compared(sent, sets, share, False))
 
 
+def by_print(rows: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """(fp, n, key): the sets of (fp, n, print) by the fingerprints that operator 8 joins; all texts of a set count."""
+    prints = cut_lineage(rows.filter("n > 0").select("fp", "n", "print").distinct())
+    roots = components(simhash.near_links(prints.select(F.col("print").alias("fp")).distinct(), radius))
+    joined = prints.join(roots, F.col("print") == F.col("node"), "left")
+    return joined.select("fp", "n", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key")).distinct()
+
+
 def similar(sketches: DataFrame, docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SHARE, part_rows: int = PART_ROWS,
-            part_shingles: int = PART_SHINGLES) -> DataFrame:
+            part_shingles: int = PART_SHINGLES, more: DataFrame | None = None) -> DataFrame:
     """(a, b): links between sets of `sketches` (fp, n, bands, c) that connect all with at least `share` in common.
 
-    `c` tells the row (empty, id, h) of `docs` (id, h, empty, text) that has the text of the set.
+    `c` tells the row (empty, id, h) of `docs` (id, h, empty, text) that has the text of the set; `more` (fp, n, key) are
+    buckets beside those of the bands.
     """
     entries = sketches.filter("n > 0").select("fp", "n", F.explode("bands").alias("key"))
+    entries = entries if more is None else entries.unionByName(more)
     found = entries.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("fp")).alias("members")).filter("rows > 1")
     # near copies meet in most of their buckets; those with equal members are one
     found = found.groupBy("rows", "total", "members").agg(F.min("key").alias("key")).select(
@@ -253,10 +267,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     marked = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn(
         "h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("empty", F.col("text").isNull())
     narrow = marked.select("id", "h", "empty", "text")
+    rows = cut_lineage(_sketches(narrow, size))
     # the row that stands for a set: with an id, the least; texts before nulls
-    sketches = cut_lineage(_sketches(narrow, size).groupBy("fp").agg(
+    sketches = cut_lineage(rows.groupBy("fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "empty", "h")).alias("c"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
-    roots = components(similar(sketches, narrow, size, share, part_rows, part_shingles))
+    roots = components(similar(sketches, narrow, size, share, part_rows, part_shingles, cut_lineage(by_print(rows))))
     chosen = sketches.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("g")).agg(F.min("c").alias("c"))
     chosen = cut_lineage(chosen.select("g", F.col("c.id").alias("ci"), F.col("c.h").alias("ch"), F.col("c.empty").alias("ce")))
     kept = marked.join(chosen, F.col("id").eqNullSafe(F.col("ci")) & (F.col("h") == F.col("ch")) & (F.col("empty") == F.col("ce")))

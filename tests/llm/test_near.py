@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import near
+from terrane.llm import near, simhash
 
 from .rows import SCHEMA, awkward, prose, row
 from .test_simhash import roots
@@ -103,3 +103,22 @@ def test_copies_without_ids(spark):
     text = prose(3, 200)
     docs = spark.createDataFrame([(None, text), (None, edited(text, 1, 2)), (None, text), (None, prose(4, 50))], "doc_id long, text string")
     assert near.deduplicated(docs).count() == 2
+
+
+def test_fingerprints_name_candidates(spark):
+    """Operator 8's links are a bucket of the stage, and the exact check is made without any MinHash bucket."""
+    texts = [prose(k, 300) for k in range(6)]
+    texts += [" ".join(t.split()[:-1] + [f"end{k}"]) for t in texts for k in range(4)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", F.xxhash64("text")).withColumn("empty", F.lit(False))
+    docs = docs.select("id", "h", "empty", "text")
+    prints = {k: simhash.fingerprint((t or "").encode()) for k, t in enumerate(texts) if t}
+    want = roots(list(prints), [(a, b) for a in prints for b in prints if b < a and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS])
+    assert 6 <= len(set(want.values())) < len(want)
+    rows = near._sketches(docs, near.SHINGLE)
+    by = {r.fp: r.key for r in near.by_print(rows).collect()}
+    fps = {r.id: r.fp for r in rows.collect()}
+    assert {(a, b) for a in want for b in want if by[fps[a]] == by[fps[b]]} == {(a, b) for a in want for b in want if want[a] == want[b]}
+    sketches = rows.select("fp", "n", F.array().cast("array<long>").alias("bands"), F.struct("empty", "id", "h").alias("c"))
+    found = near.similar(sketches, docs, more=near.by_print(rows)).collect()
+    ids = {fp: k for k, fp in fps.items()}
+    assert roots(list(prints), [(ids[r.a], ids[r.b]) for r in found]) == want
