@@ -333,3 +333,15 @@ def test_landing_twice_changes_nothing(spark):
     line.withColumn("value", F.replace("value", F.lit("1 p"), F.lit("2"))).write.text(f"{root}/in/dataset=d2")
     land_cubes(spark, f"{root}/in", f"{root}/store", f"{root}/checkpoint")
     assert {(r.dataset, r.value, r.flag) for r in read_cube(spark, f"{root}/store").collect()} == {("d1", 1.0, "p"), ("d2", 2.0, "")}
+
+
+def test_texts_are_cut_once(spark):
+    """The plan of an index cuts each column once, and its postings equal those counted by hand."""
+    rows = [(1, "Éa ßx éa", "b ea"), (2, "", None), (3, None, "x y-x"), (None, "x", ""), (3, "y", "")]
+    docs = spark.createDataFrame(rows, "doc int, t string, u string")
+    index = build_index(docs, "t", "u")
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    got = sorted((str(r.doc), r.term, r.tf, r.length, tuple(r.positions)) for r in index.collect())
+    assert got == [("1", "b", 1, 5, (4,)), ("1", "ea", 3, 5, (0, 2, 5)), ("1", "ssx", 1, 5, (1,)), ("3", "x", 2, 3, (1, 3)), ("3", "y", 1, 1, (0,)),
+                   ("3", "y", 1, 3, (2,)), ("None", "x", 1, 1, (0,))]
