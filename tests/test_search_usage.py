@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.text import call_status, client_label, fold, forwarded_address, shorten, tokens
-from terrane.operators.search import build_index, closest_terms, corpus_statistics, search_all_then_any, search_any
+from terrane.operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any
 from terrane.operators.usage import Meter, admit, attribute_clients, trailing_load
 from terrane.session import shared_dir
 from terrane.sources.cubes import read_cube
@@ -345,3 +345,14 @@ def test_texts_are_cut_once(spark):
     got = sorted((str(r.doc), r.term, r.tf, r.length, tuple(r.positions)) for r in index.collect())
     assert got == [("1", "b", 1, 5, (4,)), ("1", "ea", 3, 5, (0, 2, 5)), ("1", "ssx", 1, 5, (1,)), ("3", "x", 2, 3, (1, 3)), ("3", "y", 1, 1, (0,)),
                    ("3", "y", 1, 3, (2,)), ("None", "x", 1, 1, (0,))]
+
+
+def test_scores_meet_by_document(spark):
+    """Rows of hits and queries, many more than the hits, are summed up where they arise."""
+    docs = spark.createDataFrame([(k, "same word " * (k % 3 + 1)) for k in range(40)], "doc int, text string")
+    index = build_index(docs, "text")
+    asked = spark.createDataFrame([(k, "word same" if k % 2 else "words") for k in range(30)], "query_id int, query string")
+    hits = ranked_hits(asked, index, corpus_statistics(index, docs))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in "".join(line for line in plan.splitlines() if ", doc#" in line)
+    assert {(r.query_id, r.doc): r.matched for r in hits.collect()} == {(q, d): 1 + q % 2 for q in range(30) for d in range(40)}
