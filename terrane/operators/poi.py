@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centroid, edges, on_an_edge
-from ..session import cut_lineage, join_counted, salted_join
+from ..session import BROADCAST_ROWS, cut_lineage, join_counted, salted_join
 from .coverage import Grid, coverage_runs
 
 #: Sizes of the cells that cover a zone: 1, 4 and 16 grid cells on a side.
@@ -104,16 +104,18 @@ def tag_index(specs: DataFrame) -> DataFrame:
     return pairs.groupBy("osm_type", F.col("t.key").alias("key"), F.col("t.value").alias("value")).agg(F.collect_set("indicator").alias("indicators"))
 
 
-def match_specs(elements: DataFrame, specs: DataFrame, placed: bool = False) -> DataFrame:
+def match_specs(elements: DataFrame, specs: DataFrame, placed: bool = False, limit: int = BROADCAST_ROWS) -> DataFrame:
     """One row per element and spec it counts for: right type and at least one tag pair.
 
     An element's tags look up the specs that ask for them, so the work follows the tags of the elements and the
     hits, not the number of specs. An element, known by `extract`, `osm_type` and `osm_id`, counts once for a spec whatever
     number of its tags match. With `placed`, the rows come back as points without tags, which leaves little to be sorted out.
+    The tags that specs ask for are counted: a planner takes them for few however many there are. Beyond `limit` no task holds them all.
     """
     tag = F.explode(F.map_entries("tags")).alias("_tag")
     met = elements.select("*", tag).withColumns({"_key": F.col("_tag.key"), "_value": F.col("_tag.value")}).drop("_tag")
-    index = tag_index(specs).select("osm_type", F.col("key").alias("_key"), F.col("value").alias("_value"), "indicators")
+    index = cut_lineage(tag_index(specs).select("osm_type", F.col("key").alias("_key"), F.col("value").alias("_value"), "indicators"))
+    index = F.broadcast(index) if index.limit(limit + 1).count() <= limit else index.hint("merge")
     hits = met.join(index, ["osm_type", "_key", "_value"]).drop("_key", "_value")
     hits = hits.select(*elements.columns, F.explode("indicators").alias("indicator"))
     if placed:

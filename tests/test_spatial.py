@@ -340,3 +340,12 @@ def test_cells_without_data_lower_the_coverage(spark):
     cells = gradient(spark).withColumn("value", F.when((F.col("i") == 0) & (F.col("j") == 3), float("nan")).otherwise(F.col("value")))
     assert covered_cells(cells, shapes(spark, SQUARES[:1]), UNIT).count() == 3
     assert zonal_statistics(cells, shapes(spark, SQUARES[:1]), UNIT).first().quality == "partial_coverage"
+
+
+def test_many_asked_tags_are_not_broadcast(spark, specs):
+    rows = [("europe/x", "node", k // 2, {"amenity": "pharmacy"}) for k in range(8)] + [("europe/x", "node", 9, {"amenity": "bar"})]
+    elements = spark.createDataFrame(rows, "extract string, osm_type string, osm_id int, tags map<string,string>")
+    for limit, join in ((2, "SortMergeJoin"), (3, "BroadcastHashJoin")):
+        found = match_specs(elements, specs.where("source = 'osm'"), limit=limit)
+        assert join in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.osm_id for r in found.collect()) == [0, 1, 2, 3]
