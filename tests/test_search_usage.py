@@ -1,13 +1,16 @@
 """Search, suggestions, usage, admission, streams."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions.text import call_status, client_label, fold, forwarded_address, shorten, tokens
-from terrane.operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any
+from terrane.operators import search
+from terrane.operators.search import build_index, closest_terms, corpus_statistics, ranked_hits, search_all_then_any, search_any, similar_terms
 from terrane.operators.usage import Meter, admit, attribute_clients, trailing_load
 from terrane.session import shared_dir
 from terrane.sources.cubes import read_cube
@@ -107,6 +110,39 @@ def test_closest_against_all_pairs(spark):
         spark.createDataFrame([("gdp_per_inhabitant",)], "word string"), spark.createDataFrame([(t,) for t in texts], "term string")).first().term == "gdp_per_capita"
 
 
+def test_texts_with_little_in_common_form_no_rows(spark, monkeypatch):
+    """Most words share some character pair with most terms: counted in blocks, such pairs are no rows of a join."""
+    rnd = random.Random(8)
+    texts = sorted({"".join(rnd.choice("ABCDEF") for _ in range(9)) for _ in range(500)})
+    words, vocabulary = (spark.createDataFrame([(t,) for t in some], f"{name} string") for name, some in (("word", texts[::2]), ("term", texts[1::2])))
+
+    def pairs(t):
+        return Counter(a + b for a, b in pairwise(f"\2{t}\3"))
+
+    want = {(w, t): 2 * c / 20 for w in texts[::2] for t in texts[1::2] if (c := (pairs(w) & pairs(t)).total()) >= 5}
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def largest(plan):
+        own = plan.metrics().get("numOutputRows")
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        return max([own.get().value() if own.isDefined() else 0, *map(largest, children)])
+
+    def check():
+        found = similar_terms(words, vocabulary)
+        assert {(r.word, r.term): r.ratio for r in found.collect()} == want
+        return largest(found._jdf.queryExecution().executedPlan())
+
+    try:
+        assert check() <= max(len(want), len(texts))  # there are 62,500 pairs
+        monkeypatch.setattr(search, "BLOCK_TEXTS", 64)
+        check()
+        monkeypatch.setattr(search, "BLOCK_CHARS", 400)
+        check()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+
+
 def test_phrases(spark):
     """The parts of a word with other characters inside must stand side by side, in one column; the last one may go on."""
     docs = spark.createDataFrame([("a", "rail_12_freight", "x"), ("b", "rail freight 12", "x"), ("c", "rail", "12 freight"), ("d", "on rail 12 freighters rail 12 freight", "x")], "doc string, t string, u string")
