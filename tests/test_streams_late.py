@@ -1,17 +1,18 @@
 """Late rows and order of arrival in streams, and what can't be read of cube files."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators.usage import admit
+from terrane.operators.usage import Meter, admit
 from terrane.plans.cubes import sync_cubes
 from terrane.schemas import STATE
 from terrane.session import shared_dir
 from terrane.sources.cubes import parse_wide_lines, read_cube, wide_problems
-from terrane.streaming.admission import ROCKSDB, admit_stream_in_order
+from terrane.streaming.admission import ROCKSDB, OrderedAdmission, admit_stream_in_order
 from terrane.streaming.jobs import compact_counts, count_with_late, counted, rollup_of, run_to_table
 
 START = datetime(2024, 3, 1)
@@ -80,6 +81,93 @@ def test_admission_follows_the_time_of_the_calls(spark, disorder):
     assert got == want and {v for _, v in got.values()} == {"admitted", "burst", "daily"}
 
 
+class States:
+    """A processor's states in memory; counts the rows that go to them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.values = 0, set(), {}
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def state(self, name, *schemas):
+        outer, kept = self, self.values.setdefault(name, {})
+
+        class State:
+            def exists(self):
+                return bool(kept)
+
+            def get(self):
+                return kept.get(())
+
+            def update(self, value):
+                self.updateValue((), value)
+
+            def getValue(self, key):
+                return kept.get(key)
+
+            def updateValue(self, key, value):
+                outer.rows += 1
+                kept[key] = value
+
+            def removeKey(self, key):
+                kept.pop(key, None)
+
+            def clear(self):
+                kept.clear()
+
+            def put(self, rows):
+                kept.clear()
+                self.appendList(rows)
+
+            def appendList(self, rows):
+                outer.rows += len(rows)
+                kept[()] = [*kept.get((), []), *rows]
+
+        return State()
+
+    getValueState = getListState = getMapState = state
+
+
+class Watermark:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def test_waiting_calls_are_packed():
+    """Calls that wait go to the state by day, not one by one, and leave it as they become due, a part of a day too."""
+    rnd = random.Random(9)
+    day, start = 86_400_000_000, 19_783
+    calls = pd.DataFrame([(start * day + rnd.randrange(3 * day) // 10_000 * 10_000, k, rnd.choice(["a", "b", None]), rnd.choice([1, 2])) for k in range(3000)], columns=["us", "call_id", "client", "weight"])
+    calls = calls.assign(bucket=calls["client"], day_limit=300, day=(calls["us"] // day).map(lambda d: date(1970, 1, 1) + timedelta(days=d)))
+    states, window = States(), 3_600_000_000
+    job = OrderedAdmission(20, window)
+    job.init(states)
+    parts = [calls.iloc[k : k + 500] for k in range(0, 3000, 500)]
+    for batch in (parts[:4], parts[4:]):
+        assert not len(pd.concat(job.handleInputRows((1,), iter(batch), Watermark(0))))
+    assert states.rows < 30 and states.timers == {int(calls["us"].min()) // 1000 + 1}
+    got = {}
+    for passed in (start * day + day // 3, start * day + 2 * day, (start + 4) * day):
+        at, = states.timers
+        states.timers.clear()
+        assert at <= passed // 1000
+        due = pd.concat(job.handleExpiredTimer((1,), Watermark(passed), None))
+        assert set(due["call_id"]) == set(calls["call_id"][calls["us"] < passed]) - got.keys()
+        got |= dict(zip(due["call_id"], due["verdict"], strict=True))
+    assert not states.timers and not states.values["waiting"] and states.rows < 60
+    want = {}
+    for client in ("a", "b", None):
+        own = calls[calls["client"].isna() if client is None else calls["client"] == client].sort_values(["us", "call_id"])
+        meter, at = Meter(20, window), None
+        for us, call_id, weight in zip(own["us"], own["call_id"], own["weight"], strict=True):
+            if us // day != at:
+                meter.used, at = 0, us // day
+            want[call_id] = meter.decide(us, client, weight, 300)
+    assert got == want and set(want.values()) == {"admitted", "burst", "daily"}
+
+
 def test_problems_of_wide_files(spark):
     head = "freq,geo\\TIME_PERIOD\t2020\t2021"
     files = {"good": [head, "A,LV\t1\t: z", "A,EE\t\t2 p"], "bare": ["A,LV\t1\t2"], "twice": [head, "A,LV\t1\t2", head],
