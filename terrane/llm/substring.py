@@ -34,6 +34,8 @@ LEAST_CHUNK = 4
 MIN_WORDS = 40
 #: Bits of the bitmap at most (32 MB).
 MAX_BITS = 1 << 28
+#: Words of the bitmap that one task merges and the driver gets in one row (256 KB).
+BLOCK_WORDS = 1 << 15
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _SIDE = 16
 
@@ -105,10 +107,14 @@ def repeated_digests(texts: DataFrame) -> DataFrame:
 
 
 def bitmap(digests: DataFrame, n: int) -> np.ndarray:
-    """A bitmap of at most MAX_BITS with two bits set for each digest, made by one aggregation over its words."""
+    """A bitmap of at most MAX_BITS with two bits set for each digest.
+
+    Words of 64 bits meet by block of BLOCK_WORDS and are merged in the tasks; the driver gets one row for each block.
+    """
     size = 1 << 16
     while size < min(16 * n, MAX_BITS):
         size *= 2
+    width = min(BLOCK_WORDS, size // 64)
 
     def run(batches):
         part = np.zeros(size // 64, np.uint64)
@@ -116,11 +122,23 @@ def bitmap(digests: DataFrame, n: int) -> np.ndarray:
             for at in _bits(batch.column(0).to_numpy().view(np.uint64), size):
                 np.bitwise_or.at(part, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         used = np.flatnonzero(part)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(part[used].view(np.int64))], ["w", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array((used // width).astype(np.int32)), pa.array((used % width).astype(np.int32)),
+                                          pa.array(part[used].view(np.int64))], ["block", "w", "bits"])
+
+    def merged(batches):
+        whole: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, w, bits = (batch.column(c).to_numpy() for c in range(3))
+            for k in np.unique(block).tolist():
+                own = block == k
+                np.bitwise_or.at(whole.setdefault(k, np.zeros(width, np.uint64)), w[own], bits[own].view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([*whole], pa.int32()), pa.array([b.tobytes() for b in whole.values()], pa.binary())], ["block", "words"])
 
-    merged = digests.transform(in_arrow, run, "w int, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    blocks = digests.transform(in_arrow, run, "block int, w int, bits long").repartition("block").transform(in_arrow, merged, "block int, words binary")
     out = np.zeros(size // 64, np.uint64)
-    out[merged.w.to_numpy()] = merged.bits.to_numpy().view(np.uint64)
+    for batch in blocks.toArrow().to_batches():
+        for k, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out[k * width : (k + 1) * width] = np.frombuffer(words.as_buffer(), np.uint64)
     return out
 
 

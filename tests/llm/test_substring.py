@@ -96,3 +96,19 @@ def test_awkward_and_empty(spark):
     assert {r.doc_id: r.text for r in got}[2] is None and {r.doc_id: r.text for r in got}[4] == " \n\t "
     assert {r.doc_id: r.text for r in got}[9] == prose(9, 60_000)
     assert substring.deduplicated(docs.filter("false")).count() == 0
+
+
+def test_bitmap_reaches_the_driver_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_WORDS", 1 << 8, raising=False)
+    digests = np.random.default_rng(2).integers(-(2**63), 2**63, 9_000)
+    frame, brought = spark.createDataFrame([(int(d),) for d in digests], "d long").repartition(5), []
+    kind = type(frame)
+    for name, rows in (("collect", len), ("toPandas", len), ("toArrow", lambda found: found.num_rows)):
+        monkeypatch.setattr(kind, name, lambda self, get=getattr(kind, name), rows=rows: brought.append(rows(out := get(self))) or out)
+    bits = substring.bitmap(frame, len(digests))
+    expected = np.zeros(len(bits), np.uint64)
+    for at in substring._bits(digests.view(np.uint64), 64 * len(bits)):
+        np.bitwise_or.at(expected, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+    assert (bits == expected).all() and len(bits) == 1 << 12
+    assert sum(brought) <= 16  # a row for each block, not for each word of the bitmap
+    assert not substring.bitmap(frame.limit(0), 0).any()
