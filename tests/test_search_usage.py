@@ -1,5 +1,6 @@
 """Search, suggestions, usage, admission, streams."""
 
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -392,3 +393,88 @@ def test_scores_meet_by_document(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in "".join(line for line in plan.splitlines() if ", doc#" in line)
     assert {(r.query_id, r.doc): r.matched for r in hits.collect()} == {(q, d): 1 + q % 2 for q in range(30) for d in range(40)}
+
+
+def _brute_scores(rows, queries):
+    """`query_id, doc -> score, matched, terms` by definition; rows of one key are one document."""
+    words = [(doc, text.split()) for doc, text in rows]
+    mean = sum(len(w) for _, w in words) / len(words)
+    length = {doc: len(w) for doc, w in words}
+    terms = {q: {t[:-1] if len(t) > 3 and t.endswith("s") else t for t in text.split()} for q, text in queries}
+    tfs = {}
+    for term in {t for some in terms.values() for t in some}:
+        parts = term.split("_")
+        for doc in length:
+            own = [w for d, w in words if d == doc]
+            if len(parts) == 1:
+                tf = sum(word.startswith(term) for w in own for word in w)
+            else:
+                tf = len({p for w in own for p in range(len(w) - len(parts) + 1) if w[p : p + len(parts) - 1] == parts[:-1] and w[p + len(parts) - 1].startswith(parts[-1])})
+            if tf:
+                tfs.setdefault(term, {})[doc] = tf
+    found = {}
+    for q, some in terms.items():
+        for term in some & set(tfs):
+            idf = math.log((len(rows) - len(tfs[term]) + 0.5) / (len(tfs[term]) + 0.5))
+            for doc, tf in tfs[term].items():
+                s = (idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / mean))
+                score, matched, _ = found.get((q, doc), (0, 0, 0))
+                found[q, doc] = score + s, matched + 1, len(some)
+    return found
+
+
+@pytest.mark.parametrize("broadcast_rows, part_hits", [(20_000, 500_000), (20_000, 7), (3, 7)])
+def test_scores_against_definition(spark, monkeypatch, broadcast_rows, part_hits):
+    """Documents that come twice, one without a key, postings in any order, phrases, terms that begin many words."""
+    monkeypatch.setattr(search, "BROADCAST_ROWS", broadcast_rows, raising=False)
+    monkeypatch.setattr(search, "PART_HITS", part_hits)
+    monkeypatch.setattr(search, "PACK_ROWS", part_hits, raising=False)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abs") for _ in range(rnd.randint(1, 4)))
+    rows = [(k, " ".join(word() for _ in range(rnd.randint(1, 12)))) for k in range(30)]
+    rows += [rows[3], rows[3], (None, "ab ab sab b"), (40, "only words that nobody asks")]
+    queries = [(k, " ".join("_".join(word() for _ in range(rnd.choice((1, 1, 1, 2, 3)))) for _ in range(rnd.randint(1, 4)))) for k in range(25)]
+    queries += [(50, "ab sab"), (51, "zzz a"), (52, "zzz"), (queries[0])]
+    docs, asked = spark.createDataFrame(rows, "doc int, text string"), spark.createDataFrame(queries, "query_id int, query string")
+    index = search.cut_lineage(build_index(docs, "text").repartition(5, "term"))
+    statistics, want = corpus_statistics(index, docs), _brute_scores(rows, queries)
+    got = {(r.query_id, r.doc): (round(r.score, 9), r.matched, r.terms) for r in ranked_hits(asked, index, statistics).collect()}
+    assert got == {key: (round(score, 9), *rest) for key, (score, *rest) in want.items()} and (50, None) in got
+    some = {(r.query_id, r.doc): r.matched for r in ranked_hits(asked, index, statistics, within=docs.where("doc < 9")).collect()}
+    assert some == {key: matched for key, (_, matched, _) in want.items() if key[1] is not None and key[1] < 9}
+    whole = {q for (q, d), (_, matched, terms) in want.items() if matched == terms and d is not None}
+    want = {(q, d): (round(s, 9), q not in whole) for (q, d), (s, matched, terms) in want.items() if q not in whole or (d is not None and matched == terms)}
+    got = {(r.query_id, r.doc): (round(r.score, 9), r.partial) for r in search_all_then_any(asked, index, statistics, 100).collect()}
+    assert got == want and whole and len(whole) < 20
+
+
+def test_hits_travel_as_one_row_for_each_document(spark, monkeypatch):
+    """A document's hits are many more than documents: neither tables nor shuffles have a row for each."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 30}" for j in range(20))) for k in range(40)], "doc int, text string")
+    index = search.cut_lineage(build_index(docs, "text"))
+    asked = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 30}" for j in range(25))) for k in range(9)], "query_id int, query string")
+    statistics, rows, keep = corpus_statistics(index, docs), [], search.cut_lineage
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def exchanged(plan):
+        own = [v.value() for v in [plan.metrics().get("shuffleRecordsWritten").get()]] if plan.nodeName() == "Exchange" else []
+        return sum([own, *(exchanged(plan.children().apply(i)) for i in range(plan.children().size()))], [])
+
+    def kept(frame):
+        out = keep(frame)
+        rows.extend([out.count()] if "doc" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(search, "cut_lineage", kept)
+    try:
+        found = ranked_hits(asked, index, statistics)
+        assert found.count() == 360  # 20 hits or more of each document in each query
+        found.collect()
+        rows += exchanged(found._jdf.queryExecution().executedPlan())
+        assert rows and max(rows) <= 40
+        rows.clear()
+        search_all_then_any(asked, index, statistics).collect()
+        assert max(rows) <= 40
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
